@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
-from .common import read
+from . import chat, mixing, tokens
+from .common import read, scratch
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-store")
+    tokens.write_store(read(spark, sf_dir, "documents"), path, vocabulary())
+    return tokens.read_digest(spark, path)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
