@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, tokens
+from . import chat, mixing, quality, tokens
 from .common import read, scratch
 
 
@@ -17,6 +17,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-store")
     tokens.write_store(read(spark, sf_dir, "documents"), path, vocabulary())
