@@ -31,17 +31,18 @@ from .arrays import plain_text, ragged, slices
 from .common import materialise, small_side
 
 WINDOW, LEAST, MASK_BITS, MOST = 16, 192, 9, 4096
-#: Spaces beside other white space: there a word's encoding can depend on what stands around it.
-UNSAFE = r"(^ )|( $)|( [\s\x0b\x1c-\x1f\x{85}\p{Z}])|([\s\x0b\x1c-\x1f\x{85}\p{Z}] )"
-KEPT_UNITS, JOINED = 800_000, 2_000
+#: White space beside white space, or a space at an end: there an encoding can depend on what stands around it.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+UNSAFE = rf"(^ )|( $)|({SPACE}{SPACE})|\x00"
+KEPT_UNITS, JOINED = 500_000, 4_000
 
 
 class Encoder:
-    """Encodes many texts with the tokenizers library, each distinct space-separated unit once.
+    """Encodes many texts with the tokenizers library, each distinct unit once.
 
-    A byte-level pre-tokenizer never joins characters over a single space between two visible
-    characters, so a text's ids are those of its units in order. Texts with other spacing or with
-    a special token's string go through the library whole.
+    A byte-level pre-tokenizer always begins a new piece at a space between two visible characters, at
+    a lone line end, and where a letter meets a full stop or comma. Cut there, a text's ids are those of its units in order. Texts
+    with other spacing or with a special token's string go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,51 +51,68 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.units: dict[str, bytes] = {}
         size = self.library.get_vocab_size()
         self.spaced = np.fromiter((self.library.decode([k], skip_special_tokens=False).startswith(" ") for k in range(size)), bool, size)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def of_units(self, units: list[str]) -> list[bytes]:
-        """Ids of units that each begin with a space and hold no other: many are encoded as one text,
-        in which each id that begins with a space begins a unit."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.units: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.starts, self.lengths = np.zeros(KEPT_UNITS * 2, np.int64), np.zeros(KEPT_UNITS * 2, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, k = len(self.units), self.used
+        while k + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[k : k + len(ids)] = ids
+        self.used += len(ids)
+        if n + len(units) > len(self.starts):
+            more = np.zeros(len(units) + KEPT_UNITS, np.int64)
+            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
+        self.starts[n : n + len(units)], self.lengths[n : n + len(units)] = k + np.cumsum(lengths) - lengths, lengths
+        self.units.update(zip(units, range(n, n + len(units)), strict=True))
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """Where the ids of the distinct `units` are. Units that begin with a space and hold no other are
+        encoded many at a time: in their joined text each id that begins with a space begins a unit."""
+        if len(self.units) > KEPT_UNITS:
+            self.forget()
         known = self.units
         if new := [u for u in units if u not in known]:
-            if len(known) + len(new) > KEPT_UNITS:
-                known.clear()
-                new = units
-            known[""] = b""
-            new = [u for u in new if u]
-            joined = ["".join(new[k : k + JOINED]) for k in range(0, len(new), JOINED)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(joined, add_special_tokens=False)] or [np.zeros(0, "<u4")])
-            at = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
-            raw = ids.tobytes()
-            known.update(zip(new, map(lambda a, b: raw[a:b], at, [*at[1:], len(raw)]), strict=True))
-        return [known[u] for u in units]
+            spaced, plain = [u for u in new if u[:1] == " "], [u for u in new if u[:1] != " "]
+            if spaced:
+                ids = np.concatenate(self.whole(["".join(spaced[k : k + JOINED]) for k in range(0, len(spaced), JOINED)]))
+                self.learn(spaced, ids, np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids)))
+            if plain:
+                own = self.whole(plain)
+                self.learn(plain, np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own)))
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array (uint32) and the number of ids of each text."""
         odd = pc.match_substring_regex(text, UNSAFE)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(text, s))
-        odd = odd.to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar(""), text), " ")
+        cut = pc.if_else(odd, pa.scalar(""), text)
+        for old, new in ((" ", "\0 "), ("\n", "\0\n\0")):
+            cut = pc.replace_substring(cut, old, new)
+        cut = pc.replace_substring_regex(cut, r"(\p{L})([.,])", "\\1\0\\2")
+        lists = pc.split_pattern(cut, "\0")
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         found = lists.flatten().dictionary_encode()
-        codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        rest, first = found.dictionary.to_pylist(), at[:-1]
-        heads = found.indices.take(pa.array(first)).dictionary_encode()
-        codes[first] = len(rest) + heads.indices.to_numpy(zero_copy_only=False)
-        head_words = [rest[k] for k in heads.dictionary.to_pylist()]
-        own = self.whole([t for t, o in zip(text.to_pylist(), odd, strict=True) if o]) if odd.any() else []
-        codes[first[odd]] = len(rest) + len(head_words) + np.arange(len(own))
-        parts = self.of_units([" " + u if u else "" for u in rest]) + self.whole(head_words) + own
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids = ragged(np.frombuffer(b"".join(parts), "<u4"), (np.cumsum(lengths) - lengths)[codes], lengths[codes])
-        return ids, np.add.reduceat(lengths[codes], first) if len(first) else np.zeros(0, np.int64)
+        codes = self.places(found.dictionary.to_pylist())[found.indices.to_numpy(zero_copy_only=False)]
+        starts, lengths = self.starts[codes], self.lengths[codes]
+        ids, n = ragged(self.ids, starts, lengths), np.add.reduceat(lengths, at[:-1]) if len(text) else np.zeros(0, np.int64)
+        if pc.any(odd).as_py():
+            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            own = self.whole(text.filter(odd).to_pylist())
+            ids = np.insert(ids, np.repeat((np.cumsum(n) - n)[rows], [len(x) for x in own]), np.concatenate(own))
+            n[rows] = [len(x) for x in own]
+        return ids, n
 
 
 def gear_table(n: int) -> np.ndarray:
@@ -184,7 +202,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     chunks = rows.mapInArrow(_chunk_rows(vocabulary, end_id, width), schema)
     # payloads meet by digest, at most one from each task; rows that only refer are dealt evenly
     dealt = chunks.repartition(F.when(F.col("payload").isNull(), F.xxhash64("row", "seq")).otherwise(F.xxhash64("digest")))
-    dealt.mapInArrow(_once, schema).withColumn("width", F.lit(width)).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    dealt.mapInArrow(_once, schema).withColumn("width", F.lit(width)).write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
     spark = docs.sparkSession
     stored = spark.read.parquet(f"{path}/chunks")
     recipes = stored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("c"))
