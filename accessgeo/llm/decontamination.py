@@ -143,7 +143,7 @@ def find(text: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
             if edits <= e:
                 back = best_inside(index.texts[k][::-1], part[:end][::-1])[1]
                 span_key = (d, k, lo + end)
-                out[span_key] = min(out.get(span_key, (edits, 0)), (edits, lo + end - back))
+                out[span_key] = min(out.get(span_key, (edits + 1, 0)), (edits, lo + end - back))
     best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for (d, k, end), (edits, begin) in sorted(out.items()):
         runs = best.setdefault((d, k), [])
