@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, near_dedup, quality, tokens, toxicity
+from . import chat, decontamination, mixing, near_dedup, quality, substring_dedup, tokens, toxicity
 from .common import read, scratch
 
 
@@ -66,6 +66,11 @@ FROM shown GROUP BY conv_id
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.without_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", substring_dedup.digest(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
