@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, near_dedup, quality, substring_dedup, tokens, toxicity
+from . import chat, decontamination, embedding_dedup, mixing, near_dedup, quality, substring_dedup, tokens, toxicity
 from .common import read, scratch
 
 
@@ -75,6 +75,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_places(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
