@@ -75,6 +75,22 @@ def hash_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("key", "copies", "cut")
 
 
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+
+
+def mix_plan(sized: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """Per source: key, source_size, target, copies, cut."""
+    sizes = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
+    targets = materialise(source_targets(sizes, weights, share, most), "mix-targets")
+    cuts = materialise(hash_cuts(sized, targets), "mix-cuts")
+    return small_side(materialise(targets.join(cuts, "key").select("key", "source_size", "target", "copies", "cut"), "mix-plan"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return materialise(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), _key().alias("key"), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("h")), "mix-sized")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Take whole documents so that each source gives near its target number of words.
 
@@ -83,11 +99,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     Rows with one doc_id in one source share a hash and are taken together. An empty table gives no
     rows; a source without words takes nothing. Columns besides doc_id, text and source are ignored.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    sized = materialise(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("h")), "mix-sized")
-    sizes = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
-    targets = materialise(source_targets(sizes, weights, share, most), "mix-targets")
-    cuts = materialise(hash_cuts(sized, targets), "mix-cuts")
-    plan = small_side(materialise(targets.join(cuts, "key").select("key", "source_size", "target", "copies", "cut"), "mix-plan"))
+    sized = _sized(docs)
     copies = (F.col("copies") + (F.col("h") < F.col("cut")).cast("long")).alias("copies")
-    return sized.join(plan, "key").select("doc_id", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    return sized.join(mix_plan(sized, weights, share, most), "key").select("doc_id", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of `docs`, all columns, each as often as mix_sources takes it."""
+    plan = mix_plan(_sized(docs), weights, share, most).select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("cut").alias("__cut"))
+    times = F.col("__copies") + (document_hash(F.col("doc_id")) < F.col("__cut")).cast("long")
+    rows = docs.withColumn("__key", _key()).join(plan, "__key").withColumn("__times", times).where("__times > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__copy")).drop("__copy")

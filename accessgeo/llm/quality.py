@@ -181,3 +181,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, label: str = "quality", most_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is at least `least`."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most_labelled)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1_000_000):
+            yield batch.filter(pa.array(model.value.score(plain_text(batch.column("text"))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, mixing, near_dedup, quality, substring_dedup, tokens, toxicity
+from . import chat, decontamination, embedding_dedup, html_extraction, mixing, near_dedup, quality, substring_dedup, tokens, toxicity
 from .common import read, scratch
 
 
@@ -22,6 +22,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
