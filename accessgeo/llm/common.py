@@ -31,6 +31,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """At most `rows` rows in an Arrow batch from here on: rows are whole documents, and the default of
+    10,000 long ones would not fit beside the other tasks of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least number reachable from each of n nodes by the links a - b."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
+    names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    low = least_reachable(place[: len(u)], place[len(u) :], len(names)) if len(u) else place
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[low])], ["node", "component"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of u moves to the least of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,14 +47,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of `links` (columns a, b): component is its least node.
+#: Links that one task settles; more are settled by joins.
+LOCAL_LINKS = 100_000
+
+
+def components(links: DataFrame, most_rounds: int = 60, local: int = LOCAL_LINKS) -> DataFrame:
+    """(node, component) for every node of `links` (columns a, b, bigint): component is its least node.
 
-    Steps are joins and minima, so a node with very many links is no group of its own in any task.
+    At most `local` links, which are counted first, go through one task. Otherwise steps are joins and minima, so a node with very many links is no group of its own in any task.
     Nodes without links are absent; an empty table gives no rows.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "cc")
+    if edges.limit(local + 1).count() <= local:
+        return materialise(edges.coalesce(1).mapInArrow(_together, "node bigint, component bigint"), "cc")
     before = None
     for _ in range(most_rounds):
         edges = materialise(_small_star(_large_star(edges).where("u <> v")).distinct(), "cc")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_side
-from .components import components
+from .components import components, least_reachable
 
 THRESHOLD, PROBES, SUBSPACES, CODES = 0.9, 12, 8, 128
 #: Vectors the index is fitted on at most, and the most lists; rows of a block of a list, and of vectors that look into it.
@@ -97,19 +97,6 @@ def _index_rows(sent, kind: str):
     return run
 
 
-def _least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Least number reachable from each of n nodes by the links a - b."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _match(sent, kind: str, threshold: float):
     """One block of a list against one block of the vectors that look into it."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("reach", pa.int64())])
@@ -140,7 +127,7 @@ def _match(sent, kind: str, threshold: float):
         one_way = ~(probes[d] == home_q[q][:, None]).any(1)
         of_d = np.bincount(d[one_way], copies_q[q[one_way]], len(x)).astype(np.int64)
         names, place = np.unique(np.concatenate([nodes_q, nodes_in]), return_inverse=True)
-        low = names[_least_reachable(place[q], place[len(y) + d], len(names))]
+        low = names[least_reachable(place[q], place[len(y) + d], len(names))]
         use_q, use_d = np.unique(q), np.unique(d)
         return pa.table([np.concatenate([nodes_q[use_q], nodes_in[use_d]]), np.concatenate([of_q[use_q], of_d[use_d]]), np.concatenate([low[place[use_q]], low[place[len(y) + use_d]]])], schema=schema)
     return run

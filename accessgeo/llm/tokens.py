@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import plain_text, ragged, slices
-from .common import materialise, small_side
+from .common import bound_batches, materialise, small_side
 
 WINDOW, LEAST, MASK_BITS, MOST = 16, 192, 9, 4096
 #: White space beside white space, or a space at an end: there an encoding can depend on what stands around it.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 UNSAFE = rf"(^ )|( $)|({SPACE}{SPACE})|\x00"
-KEPT_UNITS, JOINED = 500_000, 4_000
+KEPT_UNITS, JOINED = 400_000, 10_000
 
 
 class Encoder:
@@ -47,9 +47,12 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # for units of a space and letters only: the same model, cut at spaces without the pattern
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", behavior="merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         self.spaced = np.fromiter((self.library.decode([k], skip_special_tokens=False).startswith(" ") for k in range(size)), bool, size)
@@ -82,9 +85,12 @@ class Encoder:
             self.forget()
         known = self.units
         if new := [u for u in units if u not in known]:
-            spaced, plain = [u for u in new if u[:1] == " "], [u for u in new if u[:1] != " "]
-            if spaced:
-                ids = np.concatenate(self.whole(["".join(spaced[k : k + JOINED]) for k in range(0, len(spaced), JOINED)]))
+            plain = [u for u in new if u[:1] != " "]
+            for spaced, library in (([u for u in new if u[:1] == " " and u[1:].isalpha() and u.isascii()], self.letters), ([u for u in new if u[:1] == " " and not (u[1:].isalpha() and u.isascii())], self.library)):
+                if not spaced:
+                    continue
+                joined = ["".join(spaced[k : k + JOINED]) for k in range(0, len(spaced), JOINED)]
+                ids = np.concatenate([np.array(e.ids, np.uint32) for e in library.encode_batch_fast(joined, add_special_tokens=False)])
                 self.learn(spaced, ids, np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids)))
             if plain:
                 own = self.whole(plain)
@@ -153,7 +159,7 @@ def _chunk_rows(path: str, end_id: int | None, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder(path), set()
         gear = gear_table(1 << 16)
-        for batch in slices(batches):
+        for batch in slices(batches, most=3_000_000):
             ids, lengths = encoder.encode(plain_text(batch.column("text")))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
@@ -175,20 +181,6 @@ def _chunk_rows(path: str, end_id: int | None, width: int):
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps a payload once in this partition; all rows with a payload of one digest are here."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests, has = batch.column("digest").to_pylist(), pc.is_valid(batch.column("payload")).to_pylist()
-        keep = []
-        for d, h in zip(digests, has, strict=True):
-            keep.append(h and d not in seen)
-            if h:
-                seen.add(d)
-        k = batch.schema.get_field_index("payload")
-        yield batch.set_column(k, batch.schema.field(k), pc.if_else(pa.array(keep), batch.column(k), pa.scalar(None, batch.column(k).type)))
-
-
 def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 0, width: int = 2) -> None:
     """Encode each whole text (null: empty), append `end_id`, and write the store under `path`.
 
@@ -196,13 +188,16 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     id. Repeated doc_ids stay separate documents, in the order of their roots; null ids come first. An empty
     table gives an empty store. A task keeps the digests of its own chunks only.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row bigint, doc_id {kind}, seq int, n bigint, tail bigint, digest binary, payload binary"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text"))
     chunks = rows.mapInArrow(_chunk_rows(vocabulary, end_id, width), schema)
     # payloads meet by digest, at most one from each task; rows that only refer are dealt evenly
-    dealt = chunks.repartition(F.when(F.col("payload").isNull(), F.xxhash64("row", "seq")).otherwise(F.xxhash64("digest")))
-    dealt.mapInArrow(_once, schema).withColumn("width", F.lit(width)).write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
+    chunks = chunks.withColumn("deal", F.when(F.col("payload").isNull(), F.xxhash64("row", "seq")).otherwise(F.xxhash64("digest")))
+    first = F.row_number().over(Window.partitionBy("deal", "digest").orderBy(F.col("payload").isNull(), "row", "seq")) == 1
+    dealt = chunks.repartition("deal").withColumn("payload", F.when(first, F.col("payload"))).drop("deal")
+    dealt.withColumn("width", F.lit(width)).write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
     spark = docs.sparkSession
     stored = spark.read.parquet(f"{path}/chunks")
     recipes = stored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("c"))
