@@ -98,7 +98,7 @@ def _q(ctes: str, select: str, recursive: bool = False) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "flood_tiers": _q(PIXELS, "SELECT tier, count(*) AS pixels, count(*) * 100 / 1e6 AS km2 FROM cells GROUP BY tier"),
-        "flood_statistics": _q(PIXELS + "," + STATS, "SELECT *, flood_px * 0.0001 AS flood_km2, preexisting_px * 0.0001 AS preexisting_km2, valid_px / cells AS valid_fraction, flood_px / nullif(valid_px, 0) AS flood_fraction_of_valid FROM st"),
+        "flood_statistics": _q(PIXELS + "," + STATS, "SELECT *, flood_px * 0.0001::DOUBLE AS flood_km2, preexisting_px * 0.0001::DOUBLE AS preexisting_km2, valid_px / cells AS valid_fraction, flood_px / nullif(valid_px, 0) AS flood_fraction_of_valid FROM st"),
         "flood_pixels": _q(PIXELS, "SELECT row, col, water_post, water_pre, preexisting, new_water, plausible, excluded, support, tier FROM cells"),
         "flood_components": _q(PIXELS + "," + COMPONENTS, "SELECT row, col, comp, count(*) OVER (PARTITION BY comp) AS size, count(*) OVER (PARTITION BY comp) >= 2 AS kept FROM lab", True),
         "component_statistics": _q(PIXELS + "," + COMPONENTS, "SELECT comp, count(*) AS size, max(tier) AS max_tier, quantile_cont(tier, 0.5)::DOUBLE AS median_tier FROM lab GROUP BY comp", True),
