@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fitting sees at most so many labelled documents, the first by a hash of their ids.
-MAX_LABELLED = 6_000
+MAX_LABELLED = 3_000
 
 
 def held_out(doc_id: Column) -> Column:

@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import coded, plain_text, slices, word_lists
+from .common import bound_batches
 from .labelled import MAX_LABELLED, fitting_sample, held_out
 
 DIMENSIONS, NONZERO, VOCABULARY, SHAPES, LEAST, REACH = 48, 6, 8_000, 2_000, 5, 2
+#: Neighbouring pairs that are summed at once.
+PAIRS = 100_000
 _SHAPE = [(re.compile(r"[^\W\d_a-z]*[A-ZÀ-Þ][^\W\d_a-z]*"), "X"), (re.compile(r"[^\W\d_A-Z]+"), "x"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1")]
 
 
@@ -61,17 +64,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def word_vectors(keys: Keys, codes: np.ndarray, words: list[str], seed: int = 11) -> np.ndarray:
     """Index vector plus the normed sum of the neighbours' index vectors, for each key."""
     index = index_vectors(keys.size, seed)
-    own, looks = keys.of(words)
-    own, looks = own[codes], looks[codes]
+    own, looks = (k.astype(np.int32) for k in keys.of(words))
     sums = np.zeros_like(index)
-    for d in range(1, REACH + 1):
-        for a, b in ((own, own), (looks, looks)):
-            pair, n = np.unique(a[:-d] * keys.size + b[d:], return_counts=True)
-            x, y = pair // keys.size, pair % keys.size
-            for at, to in ((x, y), (y, x)):
-                order = np.argsort(at, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-                sums[at[order][cut]] += np.add.reduceat(n[order, None] * index[to[order]], cut)
+    for kind in (own, looks):
+        each = kind[codes]
+        for d in range(1, REACH + 1):
+            pair, n = np.unique(each[:-d].astype(np.int64) * keys.size + each[d:], return_counts=True)
+            for a in range(0, len(pair), PAIRS):
+                x, y, many = pair[a : a + PAIRS] // keys.size, pair[a : a + PAIRS] % keys.size, n[a : a + PAIRS, None].astype(np.float32)
+                np.add.at(sums, x, many * index[y])
+                np.add.at(sums, y, many * index[x])
     vectors = _unit(index) + _unit(sums)
     vectors[keys.no_word] = 0
     return vectors.astype(np.float32)
@@ -171,6 +173,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     at most `most_labelled` rows that are not held out. Repeated rows are scored alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     model = spark.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most_labelled)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +188,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 def keep_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, label: str = "quality", most_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of `docs`, all columns, whose score is at least `least`."""
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most_labelled)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
