@@ -33,3 +33,10 @@ def population(tag: Column) -> Column:
 
 def care_tier(amenity: Column, healthcare: Column) -> Column:
     return F.when((amenity == "hospital") | (healthcare == "hospital"), "hospital").when(amenity.isin("clinic", "doctors") | healthcare.isin("clinic", "doctor"), "clinic")
+
+
+def quality(elements: DataFrame, day: Column, stale_days: int) -> DataFrame:
+    """Per type: distinct elements, median age in days at `day`, and the share older than `stale_days`; an element's newest time counts."""
+    newest = elements.groupBy("type", "id").agg(F.max("ts").alias("ts"))
+    aged = newest.withColumn("age", F.datediff(day, F.to_date("ts")))
+    return aged.groupBy("type").agg(F.count(F.lit(1)).alias("elements"), F.expr("percentile(age, 0.5)").alias("median_age"), F.avg((F.col("age") > stale_days).cast("double")).alias("stale_share"))

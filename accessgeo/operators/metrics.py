@@ -74,3 +74,10 @@ def log_loss(rows: DataFrame, weight: float, eps: float = 1e-6) -> DataFrame:
     bce = F.when(y == 1, -weight * F.log(p)).otherwise(-F.log(1 - p))
     known = rows.where(y.isNotNull())
     return known.agg(F.round(F.avg(bce), 9).alias("bce"), F.round(1 - (2 * F.sum(F.col("prob") * y) + eps) / (F.sum("prob") + F.sum(y) + eps), 9).alias("dice"))
+
+
+def inspection(rows: DataFrame, value: str, by: str) -> DataFrame:
+    """Per group: rows, lowest and highest value, and how often each label and no label stands."""
+    n = lambda c: F.sum(c.cast("long"))
+    y = F.col("label")
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), n(y.eqNullSafe(1)).alias("ones"), n(y.eqNullSafe(0)).alias("zeros"), n(y.isNull()).alias("no_data"))

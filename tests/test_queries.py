@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from accessgeo.plans import oracles, queries
+from accessgeo.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,12 +35,12 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_its_sql(spark, con, name):
-    df = queries.queries()[name](spark, SF_DIR)
+    df = registry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
     found = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
-    told = con.execute(oracles.oracle_sql()[name])
+    told = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in told.description]
     assert sorted(names) == columns
     place = [names.index(c) for c in columns]
@@ -48,7 +48,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries.queries()) == set(oracles.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
@@ -56,4 +56,4 @@ def test_entry_has_rows(spark):
 
 
 def test_registry_holds_the_library_queries():
-    assert set(queries.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
