@@ -31,10 +31,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """At most `rows` rows in an Arrow batch from here on: rows are whole documents, and the default of
-    10,000 long ones would not fit beside the other tasks of an executor."""
+def bound_batches(spark: SparkSession, rows: int = 2_000, megabytes: int = 8) -> None:
+    """At most `rows` rows or about `megabytes` in an Arrow batch from here on: rows are whole documents, and the
+    defaults of 10,000 rows or 64 MB would not fit beside the other tasks of an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
 def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:

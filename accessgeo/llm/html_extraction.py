@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 # Element groups of the HTML standard.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strong sub sup time tt u var wbr br".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -353,6 +355,7 @@ def main_text(pages: DataFrame, most_pages: int = 400) -> DataFrame:
     The whole html is read. Null or empty html gives empty text; repeated rows give the same text; an empty table
     gives no rows. The model is fitted on `most_pages` labelled pages, whatever the table.
     """
+    bound_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(fit(labelled_pages(most_pages)))
     kinds = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
 

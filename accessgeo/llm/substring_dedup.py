@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import coded, mix64, plain_text, ragged, slices, word_hashes, word_lists
-from .common import materialise
+from .common import bound_batches, materialise
 
 WINDOW, ANCHOR, GROUP = 50, 25, 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -174,6 +174,7 @@ def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, start, n: the windows that begin at words start .. start + n - 1 of the document also begin in
     one with a smaller doc_id."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     anchors = materialise(known.mapInArrow(_anchor_rows, f"doc_id {kind}, anchor bigint"), "anchors")

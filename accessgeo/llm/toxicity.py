@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, plain_text, ragged, slices, word_lists
+from .common import bound_batches
 from .labelled import fitting_sample, held_out
 
 BUCKETS, WIDTH, SPOKEN = 1 << 21, 24, 7
@@ -231,6 +232,7 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float = 0.3
 
 
 def _model(docs: DataFrame, labels: DataFrame, label: str, most: int):
+    bound_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most)))
 
 
@@ -263,7 +265,7 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, label: str = "toxic", least:
             m, ends = model.value.tag(text)
             at = np.flatnonzero(m >= least)
             doc = np.searchsorted(ends, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array((at - ends[doc]).astype(np.int64)), word_lists(text)[0].take(pa.array(at)), pa.array(m[at])], ["doc_id", "word_index", "word", "marginal"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array((at - ends[doc]).astype(np.int64)), word_lists(text)[0].take(pa.array(at)), pa.array(m[at].astype(float))], ["doc_id", "word_index", "word", "marginal"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, word_index bigint, word string, marginal double")
