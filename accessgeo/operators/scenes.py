@@ -20,15 +20,17 @@ def windows(flood: dt.date, pre_days: int = 60, post_days: int = 12) -> tuple[dt
 def passes(scenes: DataFrame) -> DataFrame:
     """One row per (orbit_state, relative_orbit, day): scene ids and the covered share of AREA.
 
-    Footprints are boxes on whole grid units, so the union is a count of distinct cells; it is taken per pass
-    and is at most the cells of AREA.
+    Footprints are boxes on whole grid units. A box is a bit mask of rows for each column of AREA, so the union over a
+    pass is a bitwise OR, which is taken before the shuffle like any sum.
     """
     w, s, e, n = AREA
-    boxes = scenes.withColumn("x0", F.greatest("w", F.lit(w))).withColumn("x1", F.least("e", F.lit(e))).withColumn("y0", F.greatest("s", F.lit(s))).withColumn("y1", F.least("n", F.lit(n))).where("x1 > x0 and y1 > y0")
-    cells = boxes.select("orbit_state", "relative_orbit", "day", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "y0", "y1").select("orbit_state", "relative_orbit", "day", "x", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y")).distinct()
-    covered = cells.groupBy("orbit_state", "relative_orbit", "day").agg((F.count(F.lit(1)) / ((e - w) * (n - s))).alias("coverage"))
-    ids = scenes.groupBy("orbit_state", "relative_orbit", "day").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count(F.lit(1)).alias("scenes"))
-    return ids.join(covered, ["orbit_state", "relative_orbit", "day"], "left").fillna(0.0, ["coverage"])
+    low, high = F.least(F.greatest("s", F.lit(s)), F.lit(n)) - s, F.least(F.greatest("n", F.lit(s)), F.lit(n)) - s
+    rows = F.when(F.col("high") > F.col("low"), F.expr("shiftleft(1L, high) - shiftleft(1L, low)")).otherwise(F.lit(0).cast("long"))
+    boxes = scenes.withColumn("low", low).withColumn("high", high).withColumn("rows", rows)
+    columns = [F.bit_or(F.when((F.col("w") <= x) & (F.col("e") > x), F.col("rows")).otherwise(F.lit(0).cast("long"))).alias(f"c{x}") for x in range(w, e)]
+    found = boxes.groupBy("orbit_state", "relative_orbit", "day").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count(F.lit(1)).alias("scenes"), *columns)
+    covered = sum((F.bit_count(f"c{x}") for x in range(w, e)), F.lit(0))
+    return found.select("orbit_state", "relative_orbit", "day", "ids", "scenes", (covered / ((e - w) * (n - s))).alias("coverage"))
 
 
 def rank_pairs(found: DataFrame, flood: dt.date, least_coverage: float = 0.5, good_coverage: float = 0.95, keep: int = 4) -> DataFrame:
