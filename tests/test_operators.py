@@ -94,6 +94,14 @@ class TestTerrain:
         z = [[9.0, 9.0, 9.0, 9.0], [9.0, -100.0, 5.0, 4.0], [9.0, 9.0, 9.0, 9.0]]
         assert grid(hydrology.fill_pits(cells(spark, z)), "fill")[(1, 1)] == 5.0
 
+    def test_small_enclosed_voids_continue_a_plane_and_others_stay(self, spark):
+        z = [[2.0 * r + 3.0 * c for c in range(14)] for r in range(12)]
+        gone = {(2, 2), (4, 9), (4, 10), (5, 10), (0, 5), (11, 13)} | {(r, c) for r in range(6, 11) for c in range(1, 6)}
+        told = {(r, c): v for r, row in enumerate(z) for c, v in enumerate(row)}
+        found = grid(raster.fill_voids(cells(spark, [[None if (r, c) in gone else v for c, v in enumerate(row)] for r, row in enumerate(z)]), "z"), "z")
+        assert all(math.isclose(found[p], told[p], abs_tol=1e-9) for p in told if p not in gone or p in {(2, 2), (4, 9), (4, 10), (5, 10)})
+        assert sum(v is None for v in found.values()) == 27
+
     def test_lee_filter_leaves_a_constant_grid(self, spark):
         assert set(grid(raster.lee_filter(cells(spark, [[2.0] * 6] * 6), "z"), "z").values()) == {2.0}
 
