@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import coded, mix64, plain_text, ragged, slices, word_hashes, word_lists
-from .common import bound_batches, materialise
+from .common import bound_batches, materialise, small_side
 
 WINDOW, ANCHOR, GROUP = 50, 25, 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -189,6 +189,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     small = grouped.mapInArrow(_subtrees, f"doc_id {kind}, start bigint, n bigint")
     single = suffixes.where("window is not null").select("doc_id", "anchor", "start", "window")
     nodes = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
+    nodes = small_side(materialise(nodes, "nodes"), 200_000)  # else both sides are dealt anew, and Spark splits a passage of very many documents
     large = single.join(nodes, ["anchor", "window"]).where("doc_id > lo").select("doc_id", "start", F.lit(1).cast("long").alias("n"))
     return small.unionByName(large)
 
