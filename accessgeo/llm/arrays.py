@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,16 +10,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers outlive their tasks, and what an idle one holds is missing beside the next tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `most` bytes of text, whole rows only: bounds a task's arrays."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        piece = (np.cumsum(size) - size) // most
-        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(size)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            piece = (np.cumsum(size) - size) // most
+            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(size)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield batch.slice(a, b - a)
+    finally:
+        give_back()
 
 
 def plain_text(column: pa.Array) -> pa.Array:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import plain_text, ragged, slices
+from .arrays import give_back, plain_text, ragged, slices
 from .common import bound_batches, materialise, small_side
 
 WINDOW, LEAST, MASK_BITS, MOST = 16, 192, 9, 4096
@@ -83,19 +83,28 @@ class Encoder:
         encoded many at a time: in their joined text each id that begins with a space begins a unit."""
         if len(self.units) > KEPT_UNITS:
             self.forget()
-        known = self.units
-        if new := [u for u in units if u not in known]:
-            plain = [u for u in new if u[:1] != " "]
-            for spaced, library in (([u for u in new if u[:1] == " " and u[1:].isalpha() and u.isascii()], self.letters), ([u for u in new if u[:1] == " " and not (u[1:].isalpha() and u.isascii())], self.library)):
-                if not spaced:
-                    continue
-                joined = ["".join(spaced[k : k + JOINED]) for k in range(0, len(spaced), JOINED)]
-                ids = np.concatenate([np.array(e.ids, np.uint32) for e in library.encode_batch_fast(joined, add_special_tokens=False)])
-                self.learn(spaced, ids, np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids)))
-            if plain:
-                own = self.whole(plain)
-                self.learn(plain, np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own)))
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        get = self.units.get
+        found = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return found
+        letters, spaced, plain = [], [], []
+        for k in missing.tolist():
+            u = units[k]
+            (plain if u[:1] != " " else letters if u.isascii() and u[1:].isalpha() else spaced).append(k)
+        for at, library in ((letters, self.letters), (spaced, self.library)):
+            for a in range(0, len(at), JOINED):
+                part = at[a : a + JOINED]
+                own = [units[k] for k in part]
+                ids = np.array(library.encode("".join(own), add_special_tokens=False).ids, np.uint32)
+                found[part] = len(self.units) + np.arange(len(part))
+                self.learn(own, ids, np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids)))
+        if plain:
+            own = [units[k] for k in plain]
+            ids = self.whole(own)
+            found[plain] = len(self.units) + np.arange(len(plain))
+            self.learn(own, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return found
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array (uint32) and the number of ids of each text."""
@@ -121,6 +130,17 @@ class Encoder:
         return ids, n
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process, which serves all its tasks, so that a vocabulary is read once."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def gear_table(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, n, np.uint64)
 
@@ -157,9 +177,9 @@ def cuts(ids: np.ndarray, ends: np.ndarray, gear: np.ndarray) -> tuple[np.ndarra
 
 def _chunk_rows(path: str, end_id: int | None, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path), set()
+        encoder, seen = encoder_of(path), set()
         gear = gear_table(1 << 16)
-        for batch in slices(batches, most=3_000_000):
+        for batch in slices(batches, most=1_000_000):
             ids, lengths = encoder.encode(plain_text(batch.column("text")))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
@@ -178,6 +198,8 @@ def _chunk_rows(path: str, end_id: int | None, width: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row").take(pa.array(docs)), batch.column("doc_id").take(pa.array(docs)), pa.array((np.arange(len(docs)) - first[docs]).astype(np.int32)), pa.array((stops - starts).astype(np.int64)), pa.array(ends[docs] - stops), pa.array(digests, pa.binary()), pa.array(payloads, pa.binary())],
                 ["row", "doc_id", "seq", "n", "tail", "digest", "payload"])
+        encoder.forget()  # an idle worker holds no units
+        give_back()
     return run
 
 
