@@ -177,7 +177,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     model = spark.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most_labelled)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1_000_000):
+        for batch in slices(batches, most=400_000):
             scores = model.value.score(plain_text(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores.astype(float))], ["doc_id", "score"])
 
@@ -192,7 +192,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, label
     model = docs.sparkSession.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most_labelled)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1_000_000):
+        for batch in slices(batches, most=400_000):
             yield batch.filter(pa.array(model.value.score(plain_text(batch.column("text"))) >= least))
 
     return docs.mapInArrow(run, docs.schema)
