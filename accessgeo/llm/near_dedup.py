@@ -4,7 +4,8 @@ A text's k-mers are its runs of five words, labelled with their occurrence numbe
 SAMPLE least distinct k-mers each seed takes the two least labelled ones and keeps them in text order; the
 pair is a bucket key, so texts share a key if they share k-mers in the same order. In a bucket every text is
 aligned with one pivot. Where a bucket still holds texts of several classes, other pivots follow,
-until a round adds no link.
+until a round adds no link. The pivots only merge most classes cheaply: in buckets that then still hold several classes all pairs
+of different classes are compared, in blocks, by their counts of words, and the pairs that these leave are aligned.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import bound_batches, materialise, small_side
 from .components import components
 
 K, SAMPLE, OCCURRENCES, SEEDS, SIMILARITY = 5, 64, 4, 24, 0.8
+#: Counters of a text's hashed words, as they are and summed to a few; members of a bucket's part, of which two meet in a block.
+BAG, SMALL_BAG, BLOCK = 512, 64, 1_000
 
 
 def kmers(words: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,6 +124,52 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words of each text, and how often each of BAG hashes of words stands in it, up to 255."""
+    for batch in slices(batches):
+        words, ends = word_lists(plain_text(batch.column("text")))
+        codes, distinct = coded(words)
+        slot = (word_hashes(distinct) % np.uint64(BAG)).astype(np.int64)[codes]
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        bags = np.bincount(doc * BAG + slot, minlength=batch.num_rows * BAG).clip(max=255).astype(np.uint8).reshape(-1, BAG)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(ends)), pa.array([b.tobytes() for b in bags], pa.binary())], ["node", "n", "bag"])
+
+
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of different classes, one of part i and one of part j of a bucket, that the counts of their words do not rule out: each
+    edit takes at most one word from either text, so no pair that is similar goes."""
+    node, c, n, part = (table.column(x).to_numpy() for x in ("node", "c", "n", "part"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(len(node), BAG).astype(np.int16)
+    small = bags.reshape(len(node), SMALL_BAG, -1).sum(2, dtype=np.int16)
+    others, out = np.flatnonzero(part == j), [np.zeros((0, 2), np.int64)]
+    for a in np.flatnonzero(part == i).tolist():
+        b = others[c[others] != c[a]]
+        b = b[node[b] > node[a]] if i == j else b
+        most = ((1 - SIMILARITY) * np.maximum(n[b], n[a]) + 1e-9).astype(np.int64)
+        b = b[np.abs(n[b] - n[a]) <= most]
+        for counts in (small, bags):
+            d = counts[b] - counts[a]
+            missed = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1))
+            b = b[missed <= ((1 - SIMILARITY) * np.maximum(n[b], n[a]) + 1e-9).astype(np.int64)]
+        if len(b):
+            out.append(np.stack([np.minimum(node[b], node[a]), np.maximum(node[b], node[a])], axis=1))
+    pairs = np.concatenate(out)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _unsettled_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of all pairs of different classes that share a bucket of `placed` (key, node, c) and may be similar. Of buckets with the same
+    members one is looked at; a block holds at most about 2 * BLOCK members, however large the bucket."""
+    sets = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")).where("lo < hi")
+    chosen = sets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    members = materialise(placed.join(chosen, "key").select("key", "node", "c", "parts"), "unsettled")
+    bags = materialise(texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node bigint, n bigint, bag binary"), "bags")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "c").join(bags, "node")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a bigint, b bigint").distinct()
+
+
 def node_of(text) -> F.Column:
     """A 64-bit name of a text, through its MD5."""
     return F.xxhash64(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
@@ -130,10 +179,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id: for each row of `docs` the least doc_id of its class.
 
     Two texts are linked if their words agree with a similarity of SIMILARITY or more (1 - edits / words of the
-    longer one); classes are the links' components, equal texts are of one class. A text without words, null or
+    longer one) and they share a key; classes are the links' components, equal texts are of one class. A text without words, null or
     empty, is a class of its own. Repeated rows keep their class; a null doc_id is never the least. An
     empty table gives no rows. Texts meet only in pairs; buckets, however large, are joined with one
-    pivot each.
+    pivot each. Members of a bucket that stay of several classes are compared by their counts of words in blocks, which is
+    quadratic in such a bucket but spread over tasks.
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -157,28 +207,43 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         return materialise(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"), "links")
 
+    def with_classes(found: DataFrame) -> DataFrame:
+        return buckets.select("key", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+
+    def untested(fresh: DataFrame, tested: DataFrame) -> DataFrame:
+        return materialise(fresh.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+
+    def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+        """`found` with the classes that the links `more` join."""
+        at = found.select("node", "component")
+        ends = more.join(at.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(at.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+        joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+        old = found.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+        new = joined.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("least").alias("component"))
+        return materialise(old.unionByName(new), "found")
+
     links = verify(pairs)
     tested, found = pairs, components(links)
     for turn in range(1, 30):
-        placed = buckets.select("key", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        placed = with_classes(found)
         draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "c")
         mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(draw).alias("p")).where("lo < hi").select("key", F.col("p.node").alias("p"), F.col("p.c").alias("pc"))
         fresh = placed.join(mixed, "key").where("c <> pc").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        fresh = materialise(fresh.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        fresh = untested(fresh, tested)
         if fresh.isEmpty():
             break
         more = verify(fresh)
         tested = tested.select("a", "b").unionByName(fresh)
         if more.isEmpty():
             break
-        # classes that the new links join
-        at = found.select("node", "component")
-        ends = more.join(at.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(at.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-        joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
-        old = found.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
-        new = joined.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("least").alias("component"))
-        found = materialise(old.unionByName(new), "found")
+        found = merged(found, more)
+    # the pivots may have missed links: what is left of each bucket is compared wholly
+    left = untested(_unsettled_pairs(materialise(with_classes(found), "placed"), texts), tested)
+    if not left.isEmpty():
+        more = verify(left)
+        if not more.isEmpty():
+            found = merged(found, more)
 
     linked = found.join(nodes, "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("class_id"))

@@ -96,6 +96,19 @@ def test_large_group_of_copies_and_near_copies(documents, prose):
     assert {r["class_id"] for r in near_dedup.near_duplicate_classes(documents(rows)).collect()} == {1}
 
 
+def test_each_pair_of_a_bucket_of_unlike_texts_is_compared(documents, prose, monkeypatch):
+    """200 unlike holders of one passage; the copies share keys with their originals in that passage only."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 60)
+    (passage,) = prose(1, 100, 20)
+    own = [[f"w{k}n{j}" for j in range(30)] for k in range(200)]
+    rows = [(k, f"{passage} {' '.join(w)}") for k, w in enumerate(own)]
+    for k in range(0, 200, 25):
+        edited = [f"e{k}n{j}" if j % 5 in (1, 3) else x for j, x in enumerate(own[k])]
+        rows.append((1_000 + k, f"{passage} {' '.join(edited)}"))
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(documents(rows)).collect()}
+    assert found == {k: k % 1_000 for k, _ in rows}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_banded_distance_is_exact(seed):
     rng = random.Random(seed)
