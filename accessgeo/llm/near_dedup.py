@@ -1,8 +1,9 @@
 """Near-duplicate texts by Order MinHash and banded alignment.
 
-A text's k-mers are its runs of five words, labelled with their occurrence number. From a text's
+A text's k-mers are its runs of five and, in a second sketch, of two words, labelled with their occurrence number. From a text's
 SAMPLE least distinct k-mers each seed takes the two least labelled ones and keeps them in text order; the
-pair is a bucket key, so texts share a key if they share k-mers in the same order. In a bucket every text is
+pair is a bucket key, so texts share a key if they share k-mers in the same order. Short texts have further keys of
+words (see short_keys). In a bucket every text is
 aligned with one pivot. Where a bucket still holds texts of several classes, other pivots follow,
 until a round adds no link. The pivots only merge most classes cheaply: in buckets that then still hold several classes all pairs
 of different classes are compared, in blocks, by their counts of words, and the pairs that these leave are aligned.
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,22 +25,22 @@ from .arrays import coded, mix64, plain_text, slices, word_hashes, word_lists
 from .common import bound_batches, materialise, small_side
 from .components import components
 
-K, SAMPLE, OCCURRENCES, SEEDS, SIMILARITY = 5, 64, 4, 24, 0.8
+RUNS, SAMPLE, OCCURRENCES, SEEDS, SIMILARITY = (5, 2), 64, 4, 24, 0.8
+#: Texts of up to so many words have keys of three words; up to so many, where one edit is all that can be, keys without one word.
+SHORT, ONE_EDIT = 24, 9
 #: Counters of a text's hashed words, as they are and summed to a few; members of a bucket's part, of which two meet in a block.
 BAG, SMALL_BAG, BLOCK = 512, 64, 1_000
 
 
-def kmers(words: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, position, hash) of all runs of K words; a shorter text is one k-mer."""
-    codes, distinct = coded(words)
-    h = word_hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+def kmers(h: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, position, hash) of all runs of `size` words, given as hashes; a shorter text is one k-mer."""
     n = np.diff(ends)
-    runs = np.maximum(n - K + 1, (n > 0).astype(np.int64))
+    runs = np.maximum(n - size + 1, (n > 0).astype(np.int64))
     doc = np.repeat(np.arange(len(n)), runs)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs)
     start = ends[:-1][doc] + at
-    out = n[doc].clip(max=K).astype(np.uint64)
-    for k in range(K):
+    out = n[doc].clip(max=size).astype(np.uint64)
+    for k in range(size):
         inside = at + k < n[doc]
         out = mix_in(out, np.where(inside, h[np.minimum(start + k, len(h) - 1)], np.uint64(k)))
     return doc, at, mix64(out)
@@ -74,31 +76,74 @@ def sample(doc: np.ndarray, at: np.ndarray, h: np.ndarray, docs: int) -> tuple[n
     return d[keep], p[keep], mix64(x[keep] + occurrence[keep].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def sketches(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """SEEDS bucket keys for each text, and which texts hold words."""
-    words, ends = word_lists(text)
-    out, some = np.zeros((len(text), SEEDS), np.int64), np.diff(ends) > 0
-    if not some.any():
-        return out, some
-    d, p, x = sample(*kmers(words, ends), len(text))
+def pair_keys(h: np.ndarray, ends: np.ndarray, size: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that hold words, and SEEDS keys of each from its runs of `size` words."""
+    d, p, x = sample(*kmers(h, ends, size), len(ends) - 1)
     order = np.lexsort((p, d))
     d, x = d[order], x[order]
     begin = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    size = np.diff(np.r_[begin, len(d)])
+    count = np.diff(np.r_[begin, len(d)])
     place = np.arange(len(d))
     none, far = np.uint64(2**64 - 1), np.int64(2**62)
-    for s in range(SEEDS):
+    out = np.zeros((len(begin), SEEDS), np.int64)
+    for s in range(salt, salt + SEEDS):
         v = mix64(x ^ np.uint64((s + 1) * 0xA0761D6478BD642F % 2**64))
         picked = []
         for _ in range(2):
             least = np.minimum.reduceat(v, begin)
-            where = np.minimum.reduceat(np.where(v == np.repeat(least, size), place, far), begin)
+            where = np.minimum.reduceat(np.where(v == np.repeat(least, count), place, far), begin)
             picked.append(np.where(least == none, far, where))
             v[where] = none
         a, b = np.minimum(*picked), np.maximum(*picked)
         second = np.where(b == far, np.uint64(0), x[np.minimum(b, len(x) - 1)])
-        out[d[begin], s] = (mix64(mix_in(x[a], second)) ^ np.uint64(s * 0xE7037ED1A0B428DB % 2**64)).astype(np.int64)
-    return out, some
+        out[:, s - salt] = (mix64(mix_in(x[a], second)) ^ np.uint64(s * 0xE7037ED1A0B428DB % 2**64)).astype(np.int64)
+    return d[begin], out
+
+
+def short_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of one short text. Up to ONE_EDIT words: the text and, where an edit is allowed, the text without each of its words,
+    so that all similar pairs share one. From ONE_EDIT - 1 words: the three least labelled words of each seed, in text order."""
+    import xxhash
+
+    out = []
+    if len(h) <= ONE_EDIT:
+        cut = [h] + ([np.delete(h, k) for k in range(len(h))] if len(h) >= 1 / (1 - SIMILARITY) - 1e-9 else [])
+        out.append(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in cut], np.uint64))
+    if len(h) >= ONE_EDIT - 1:
+        seen: Counter = Counter()
+        label = np.zeros(len(h), np.uint64)
+        for k, w in enumerate(h.tolist()):
+            label[k] = seen[w]
+            seen[w] += 1
+        x = mix64(h + label * np.uint64(0xD1B54A32D192ED03))
+        seeds = np.arange(1, SEEDS + 1, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
+        picked = np.sort(np.argpartition(mix64(x ^ seeds[:, None]), 2, axis=1)[:, :3], axis=1)
+        key = seeds
+        for k in range(3):
+            key = mix64(mix_in(x[picked[:, k]], key))
+        out.append(key)
+    return np.unique(np.concatenate(out))
+
+
+def sketches(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket keys of all texts in one array, how many each text has, and which texts hold words. Case does not count."""
+    words, ends = word_lists(pc.utf8_lower(text))
+    n = np.diff(ends)
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(len(n), np.int64), n > 0
+    codes, distinct = coded(words)
+    h = word_hashes(distinct)[codes]
+    docs, keys = [], []
+    for turn, size in enumerate(RUNS):
+        d, found = pair_keys(h, ends, size, turn * SEEDS)
+        docs.append(np.repeat(d, SEEDS))
+        keys.append(found.ravel())
+    for d in np.flatnonzero((n > 0) & (n <= SHORT)).tolist():
+        found = short_keys(h[ends[d] : ends[d + 1]]).view(np.int64)
+        docs.append(np.full(len(found), d))
+        keys.append(found)
+    doc, key = np.concatenate(docs), np.concatenate(keys)
+    return key[np.argsort(doc, kind="stable")], np.bincount(doc, minlength=len(n)), n > 0
 
 
 def similar(a: list[str], b: list[str], least: float = SIMILARITY) -> bool:
@@ -113,8 +158,8 @@ def similar(a: list[str], b: list[str], least: float = SIMILARITY) -> bool:
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        keys, some = sketches(plain_text(batch.column("text")))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, SEEDS, dtype=np.int32)), pa.array(keys.ravel()))
+        keys, n, some = sketches(plain_text(batch.column("text")))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(keys))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(some), lists], ["doc_id", "node", "some", "keys"])
 
 
@@ -192,7 +237,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     full = sketched.where("some")
     nodes = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
     one = full.groupBy("node").agg(F.first("keys").alias("keys"))
-    members = one.select("node", F.explode("keys").alias("key"))
+    members = one.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     crowded = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     buckets = materialise(members.join(crowded.select("key", "pivot"), "key"), "buckets")
     pairs = materialise(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from accessgeo.llm import alignment, components, near_dedup
@@ -109,6 +111,40 @@ def test_each_pair_of_a_bucket_of_unlike_texts_is_compared(documents, prose, mon
     assert found == {k: k % 1_000 for k, _ in rows}
 
 
+def key_recall(bases, share):
+    """Share of texts that have a key in common with a copy of which every 1 / share-th word was replaced."""
+    copies = []
+    for t in bases:
+        w = t.split()
+        many = int(share * len(w) + 1e-9)
+        for j in range(many):
+            w[(2 * j + 1) * len(w) // (2 * many)] = f"edit{j}"
+        copies.append(" ".join(w).upper())
+    keys, n, _ = near_dedup.sketches(pa.array([*bases, *copies], pa.string()))
+    lists = [set(x.tolist()) for x in np.split(keys, np.cumsum(n)[:-1])]
+    return sum(bool(a & b) for a, b in zip(lists[: len(bases)], lists[len(bases) :], strict=True)) / len(bases)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.12, 0.15, 0.2])
+def test_similar_texts_share_a_key(prose, share):
+    assert all(key_recall(prose(200, words, words), share) >= 0.97 for words in (30, 60, 100, 300))
+
+
+def test_short_similar_texts_share_a_key(prose):
+    assert all(key_recall(prose(200, words, words), 0.2) >= 0.99 for words in range(5, 25))
+
+
+def test_short_texts_are_classed_as_by_brute_force(documents, prose):
+    rows = []
+    for words in range(4, 21):
+        for k, t in enumerate(prose(2, words, 40 + words)):
+            w = t.split()
+            edited = w[: words // 2] + ["edit"] + w[words // 2 + 1 :]
+            rows += [(1_000 * words + 10 * k + j, x) for j, x in enumerate([t, " ".join(edited), t + " end"])]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(documents(rows)).collect()}
+    assert found == {rows[k][0]: c for k, c in brute_classes(rows).items()}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_banded_distance_is_exact(seed):
     rng = random.Random(seed)
