@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by product quantisation.
 
 Vectors on the unit sphere lie in coarse inverted lists; the residual to the list's centroid is stored as
-one code per subspace, with the length of what the codes miss. A vector looks into the lists nearest to it:
-table look-ups give its inner product with each code, which errs by no more than the stored length, and what
+one code per subspace, with the length of what the codes miss. A vector looks into each list that can hold one as near
+as the threshold asks: table look-ups give its inner product with each code, which errs by no more than the stored length, and what
 that bound leaves is ranked by the exact cosine. Lists and codebooks are fitted on a bounded sample;
 every vector is indexed.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialise, small_side
 from .components import components, least_reachable
 
-THRESHOLD, PROBES, SUBSPACES, CODES = 0.9, 12, 8, 128
+THRESHOLD, SUBSPACES, CODES = 0.9, 8, 128
 #: Vectors the index is fitted on at most, and the most lists; rows of a block of a list, and of vectors that look into it.
 FIT_ROWS, MOST_LISTS, BLOCK, QUERY_BLOCK = 16_384, 4_096, 1_000, 2_000
 
@@ -83,16 +83,36 @@ def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _index_rows(sent, kind: str):
+def lists_within(x: np.ndarray, lists: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows of x the lists that can hold a vector at most `reach` away, the row's own list first, in one array, and how
+    many each row has. What lies nearer to list l than to the row's list h is beyond the plane between them, which
+    is (d(x, l)^2 - d(x, h)^2) / (2 d(l, h)) away, so no other list can hold it."""
+    out, many = [], []
+    size = (lists * lists).sum(1)
+    for a in range(0, len(x), 500):
+        d = size - 2 * x[a : a + 500] @ lists.T
+        home = d.argmin(1)
+        apart = np.sqrt(np.maximum(size + size[home][:, None] - 2 * lists[home] @ lists.T, 0))
+        row = np.arange(len(d))
+        near = d - d[row, home][:, None] <= 2 * apart * reach + 1e-9
+        near[row, home] = False
+        found = [np.r_[h, np.flatnonzero(n)] for h, n in zip(home, near, strict=True)]
+        out += found
+        many += [len(f) for f in found]
+    return np.concatenate(out), np.array(many)
+
+
+def _index_rows(sent, kind: str, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit_rows(batch.column("vector").to_pylist(), kind)
-            probes = nearest(x, index.lists, min(PROBES, len(index.lists)))
-            codes, missed = index.encode(x, probes[:, 0])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, probes.size + 1, probes.shape[1], dtype=np.int32)), pa.array(probes.ravel().astype(np.int32)))
+            probes, many = lists_within(x, index.lists, math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6)
+            ends = np.concatenate([[0], np.cumsum(many)])
+            codes, missed = index.encode(x, probes[ends[:-1]])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(probes.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed), batch.column("vector")], ["node", "copies", "probes", "codes", "missed", "vector"])
     return run
 
@@ -119,17 +139,12 @@ def _match(sent, kind: str, threshold: float):
         q, d = q[keep], d[keep]
         if not len(q):
             return schema.empty_table()
-        copies_in, copies_q = inside.column("copies").to_numpy(), asking.column("copies").to_numpy()
-        of_q = np.bincount(q, copies_in[d], len(y)).astype(np.int64)
-        # a vector that does not look back counts the link here
-        probes = np.stack(inside.column("probes").to_pylist())
-        home_q = np.array([p[0] for p in asking.column("probes").to_pylist()])
-        one_way = ~(probes[d] == home_q[q][:, None]).any(1)
-        of_d = np.bincount(d[one_way], copies_q[q[one_way]], len(x)).astype(np.int64)
+        # both ends of a link look into each other's list, so each counts it once
+        of_q = np.bincount(q, inside.column("copies").to_numpy()[d], len(y)).astype(np.int64)
         names, place = np.unique(np.concatenate([nodes_q, nodes_in]), return_inverse=True)
         low = names[least_reachable(place[q], place[len(y) + d], len(names))]
         use_q, use_d = np.unique(q), np.unique(d)
-        return pa.table([np.concatenate([nodes_q[use_q], nodes_in[use_d]]), np.concatenate([of_q[use_q], of_d[use_d]]), np.concatenate([low[place[use_q]], low[place[len(y) + use_d]]])], schema=schema)
+        return pa.table([np.concatenate([nodes_q[use_q], nodes_in[use_d]]), np.concatenate([of_q[use_q], np.zeros(len(use_d), np.int64)]), np.concatenate([low[place[use_q]], low[place[len(y) + use_d]]])], schema=schema)
     return run
 
 
@@ -139,16 +154,16 @@ def _links(vectors: DataFrame, kind: str, threshold: float) -> DataFrame:
     total = vectors.count()
     drawn = vectors.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(FIT_ROWS).select("vector").toPandas()["vector"].tolist()
     sent = spark.sparkContext.broadcast(fit(unit_rows(drawn, kind), total))
-    indexed = materialise(vectors.mapInArrow(_index_rows(sent, kind), "node bigint, copies bigint, probes array<int>, codes binary, missed double, vector binary"), "indexed")
+    indexed = materialise(vectors.mapInArrow(_index_rows(sent, kind, threshold), "node bigint, copies bigint, probes array<int>, codes binary, missed double, vector binary"), "indexed")
     inside = indexed.withColumn("list", F.col("probes")[0])
     looks = indexed.select("*", F.explode("probes").alias("list"))
     sizes = inside.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asked = looks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
     plan = small_side(materialise(sizes.join(asked, "list"), "lists"), MOST_LISTS)
     # a block of a list meets each block of the vectors that look into it; neither grows with the list
-    here = inside.join(plan, "list").select(F.lit(False).alias("query"), "list", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns").cast("long") - 1)).alias("turn"), "node", "copies", "probes", "codes", "missed", "vector")
+    here = inside.join(plan, "list").select(F.lit(False).alias("query"), "list", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns").cast("long") - 1)).alias("turn"), "node", "copies", "codes", "missed", "vector")
     none = [F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("missed")]
-    there = looks.join(plan, "list").select(F.lit(True).alias("query"), "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).alias("turn"), "node", "copies", "probes", *none, "vector")
+    there = looks.join(plan, "list").select(F.lit(True).alias("query"), "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).alias("turn"), "node", "copies", *none, "vector")
     return here.unionByName(there).groupBy("list", "block", "turn").applyInArrow(_match(sent, kind, threshold), "node bigint, n bigint, reach bigint")
 
 

@@ -68,6 +68,19 @@ def test_a_list_that_is_cut_into_blocks_loses_no_link(spark, monkeypatch):
     assert sum(g[1] for g in whole) >= 0.95 * sum(t[1] for t in told) and [g[2] for g in whole] == [t[2] for t in told]
 
 
+def test_no_pair_just_above_the_threshold_is_lost(spark):
+    """Without clusters, so that the ends of a link lie in lists far down each other's order."""
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(0, 1, (2, 1_500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.901 * x + np.sqrt(1 - 0.901**2) * z
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(10_000 + k, v.tolist()) for k, v in enumerate(y)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in e.near_vectors(frame(spark, rows)).collect())
+    assert got == [(k, 1, k % 10_000) for k, _ in rows]
+
+
 def test_nulls_zeros_odd_lengths_and_repeats(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.01]), (9, [1.0, 0.0, 0.0]), (10, [1e30, 0.0]), (7, [1.0, 0.0]), (11, [0.0, -1.0]), (12, [-0.0, -1.0])]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in e.near_vectors(frame(spark, rows)).collect())
