@@ -1,12 +1,11 @@
 """Near-duplicate texts by Order MinHash and banded alignment.
 
-A text's k-mers are its runs of five and, in a second sketch, of two words, labelled with their occurrence number. From a text's
-SAMPLE least distinct k-mers each seed takes the two least labelled ones and keeps them in text order; the
+A text's k-mers are its runs of five and, in a second sketch, of two words, labelled with their occurrence number. Of the
+labelled k-mers of a text's SAMPLE least distinct ones each seed takes the two least and keeps them in text order; the
 pair is a bucket key, so texts share a key if they share k-mers in the same order. Short texts have further keys of
-words (see short_keys). In a bucket every text is
-aligned with one pivot. Where a bucket still holds texts of several classes, other pivots follow,
-until a round adds no link. The pivots only merge most classes cheaply: in buckets that then still hold several classes all pairs
-of different classes are compared, in blocks, by their counts of words, and the pairs that these leave are aligned.
+words (see short_keys). In a bucket every text is aligned with one pivot, which merges most classes. Buckets that
+then still hold several classes are compared wholly, in blocks: pairs of different classes whose counts of words do not rule them
+out are aligned. So each pair of different texts that shares a key is looked at, or is already of one class.
 """
 
 from __future__ import annotations
@@ -25,11 +24,12 @@ from .arrays import coded, mix64, plain_text, slices, word_hashes, word_lists
 from .common import bound_batches, materialise, small_side
 from .components import components
 
-RUNS, SAMPLE, OCCURRENCES, SEEDS, SIMILARITY = (5, 2), 64, 4, 24, 0.8
+RUNS, SAMPLE, SEEDS, SIMILARITY = (5, 2), 64, 24, 0.8
 #: Texts of up to so many words have keys of three words; up to so many, where one edit is all that can be, keys without one word.
 SHORT, ONE_EDIT = 24, 9
-#: Counters of a text's hashed words, as they are and summed to a few; members of a bucket's part, of which two meet in a block.
-BAG, SMALL_BAG, BLOCK = 512, 64, 1_000
+#: Counters of a text's hashed words, as they are and summed to a few; members of a bucket's part, of which two meet in a block;
+#: counters that are compared at once.
+BAG, SMALL_BAG, BLOCK, AT_ONCE = 256, 64, 1_000, 4_000_000
 
 
 def kmers(h: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,8 +51,7 @@ def mix_in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sample(doc: np.ndarray, at: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k-mers whose hash is among the SAMPLE least distinct ones of their text, with occurrence
-    numbers below OCCURRENCES mixed in."""
+    """The k-mers whose hash is among the SAMPLE least distinct ones of their text, with their occurrence numbers mixed in."""
     n = np.bincount(doc, minlength=docs)
     share = np.minimum(1.0, 4.0 * SAMPLE / np.maximum(n, 1))
     low = h.astype(np.float64) < share[doc] * 2.0**64
@@ -72,7 +71,7 @@ def sample(doc: np.ndarray, at: np.ndarray, h: np.ndarray, docs: int) -> tuple[n
     begin = np.flatnonzero(fresh)
     occurrence = np.arange(len(d)) - begin[run]
     rank = run - (np.cumsum(kinds) - kinds)[d]
-    keep = (rank < SAMPLE) & (occurrence < OCCURRENCES)
+    keep = rank < SAMPLE
     return d[keep], p[keep], mix64(x[keep] + occurrence[keep].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -160,7 +159,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         keys, n, some = sketches(plain_text(batch.column("text")))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(some), lists], ["doc_id", "node", "some", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array(some), lists], ["doc_id", "name", "some", "keys"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,48 +179,90 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(ends)), pa.array([b.tobytes() for b in bags], pa.binary())], ["node", "n", "bag"])
 
 
-def _block_pairs(table: pa.Table) -> pa.Table:
+def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Words of either side that are missing on the other, the larger number: at least so many edits lie between them."""
+    d = x - y
+    more = np.maximum(d, 0).sum(-1)
+    return np.maximum(more, more - d.sum(-1))
+
+
+def _block_pairs(node: np.ndarray, c: np.ndarray, n: np.ndarray, part: np.ndarray, bags: np.ndarray, i: int, j: int, first: bool) -> np.ndarray:
     """Pairs of different classes, one of part i and one of part j of a bucket, that the counts of their words do not rule out: each
-    edit takes at most one word from either text, so no pair that is similar goes."""
-    node, c, n, part = (table.column(x).to_numpy() for x in ("node", "c", "n", "part"))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(len(node), BAG).astype(np.int16)
+    edit takes at most one word from either text, so no pair that is similar goes. With `first` a text of part i has its nearest partner only."""
     small = bags.reshape(len(node), SMALL_BAG, -1).sum(2, dtype=np.int16)
-    others, out = np.flatnonzero(part == j), [np.zeros((0, 2), np.int64)]
-    for a in np.flatnonzero(part == i).tolist():
-        b = others[c[others] != c[a]]
-        b = b[node[b] > node[a]] if i == j else b
-        most = ((1 - SIMILARITY) * np.maximum(n[b], n[a]) + 1e-9).astype(np.int64)
-        b = b[np.abs(n[b] - n[a]) <= most]
-        for counts in (small, bags):
-            d = counts[b] - counts[a]
-            missed = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1))
-            b = b[missed <= ((1 - SIMILARITY) * np.maximum(n[b], n[a]) + 1e-9).astype(np.int64)]
-        if len(b):
-            out.append(np.stack([np.minimum(node[b], node[a]), np.maximum(node[b], node[a])], axis=1))
-    pairs = np.concatenate(out)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _unsettled_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of all pairs of different classes that share a bucket of `placed` (key, node, c) and may be similar. Of buckets with the same
-    members one is looked at; a block holds at most about 2 * BLOCK members, however large the bucket."""
+    these, others, out = np.flatnonzero(part == i), np.flatnonzero(part == j), []
+    step = max(1, AT_ONCE // (SMALL_BAG * max(len(others), 1)))
+    for at in range(0, len(these), step):
+        a = these[at : at + step]
+        most = ((1 - SIMILARITY) * np.maximum(n[a][:, None], n[others]) + 1e-9).astype(np.int64)
+        open_ = (c[a][:, None] != c[others]) & (np.abs(n[a][:, None] - n[others]) <= most)
+        if i == j:
+            open_ &= node[a][:, None] < node[others]
+        x, y = np.nonzero(open_)
+        left, right, most = a[x], others[y], most[x, y]
+        for counts, width in ((small, SMALL_BAG), (bags, BAG)):
+            parts = [_missing(counts[left[k : k + AT_ONCE // width]], counts[right[k : k + AT_ONCE // width]]) for k in range(0, len(left), AT_ONCE // width)]
+            missing = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            keep = missing <= most
+            left, right, most, missing = left[keep], right[keep], most[keep], missing[keep]
+        if first:
+            order = np.lexsort((node[right], missing, left))
+            keep = order[np.flatnonzero(np.diff(left[order], prepend=-1))]
+            left, right = left[keep], right[keep]
+        out.append(np.stack([np.minimum(node[left], node[right]), np.maximum(node[left], node[right])], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block (key, i, j); a block that a batch cuts is completed by the next one."""
+    held: pa.Table | None = None
+
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = {x: table.column(x).to_numpy() for x in ("key", "i", "j", "part", "node", "c", "n")}
+        bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+        change = np.ones(table.num_rows, bool)
+        change[1:] = np.any([cols[x][1:] != cols[x][:-1] for x in ("key", "i", "j")], axis=0)
+        edges = np.append(np.flatnonzero(change), table.num_rows).tolist()
+        found = [_block_pairs(*(cols[x][a:b] for x in ("node", "c", "n", "part")), bags[a:b], cols["i"][a], cols["j"][a], first) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        last = [table.column(x).to_numpy() for x in ("key", "i", "j")]
+        cut = int(np.flatnonzero(np.any([x != x[-1] for x in last], axis=0))[-1]) + 1 if any((x != x[-1]).any() for x in last) else 0
+        held = table.slice(cut).combine_chunks()
+        if cut:
+            yield from compared(table.slice(0, cut))
+    if held is not None and held.num_rows:
+        yield from compared(held)
+
+
+def _mixed_buckets(placed: DataFrame) -> DataFrame:
+    """key, node, c, parts of the buckets of `placed` (key, node, c) that hold several classes, one of those with the same members."""
     sets = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")).where("lo < hi")
     chosen = sets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    members = materialise(placed.join(chosen, "key").select("key", "node", "c", "parts"), "unsettled")
-    bags = materialise(texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node bigint, n bigint, bag binary"), "bags")
+    return materialise(placed.join(chosen, "key").select("key", "node", "c", "parts"), "mixed")
+
+
+def _open_pairs(members: DataFrame, bags: DataFrame, first: bool) -> DataFrame:
+    """(a, b) of all pairs of different classes in a bucket of `members` that may be similar, or with `first` the nearest of
+    each text. A block holds at most about 2 * BLOCK members, however large the bucket."""
     dealt = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "c").join(bags, "node")
-    return dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a bigint, b bigint").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: _blocks(batches, first), "a bigint, b bigint").distinct()
 
 
-def node_of(text) -> F.Column:
-    """A 64-bit name of a text, through its MD5."""
-    return F.xxhash64(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+def name_of(text) -> F.Column:
+    """A 128-bit name of a text."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id: for each row of `docs` the least doc_id of its class.
+    """doc_id, name, class_id: for each row of `docs` the least doc_id of its class; `name` is the text's (see name_of).
 
     Two texts are linked if their words agree with a similarity of SIMILARITY or more (1 - edits / words of the
     longer one) and they share a key; classes are the links' components, equal texts are of one class. A text without words, null or
@@ -232,18 +273,18 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    named = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("node", node_of(F.col("text")))
-    sketched = materialise(named.mapInArrow(_sketch_rows, f"doc_id {kind}, node bigint, some boolean, keys array<bigint>"), "sketches")
-    full = sketched.where("some")
-    nodes = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
-    one = full.groupBy("node").agg(F.first("keys").alias("keys"))
-    members = one.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    crowded = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    buckets = materialise(members.join(crowded.select("key", "pivot"), "key"), "buckets")
+    named = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("name", name_of(F.col("text")))
+    sketched = materialise(named.mapInArrow(_sketch_rows, f"doc_id {kind}, name binary, some boolean, keys array<bigint>"), "sketches")
+    one = sketched.where("some").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    keyed = materialise(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = keyed.select("name", "node", "rep")
+    members = keyed.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    crowded = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("pivot < last").select("key", "pivot", "size")
+    buckets = materialise(members.join(crowded, "key"), "buckets")
     pairs = materialise(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
-    wanted = small_side(materialise(buckets.select("node").distinct().join(nodes, "node"), "wanted"), 400_000)
-    kept = named.join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    wanted = small_side(materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "wanted"), 200_000)
+    kept = named.join(wanted, "name").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     words = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
     texts = materialise(kept.groupBy("node").agg(F.first(words).alias("text")), "texts")
 
@@ -252,60 +293,37 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         return materialise(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"), "links")
 
-    def with_classes(found: DataFrame) -> DataFrame:
-        return buckets.select("key", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-
-    def untested(fresh: DataFrame, tested: DataFrame) -> DataFrame:
-        return materialise(fresh.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-
-    def merged(found: DataFrame, more: DataFrame) -> DataFrame:
-        """`found` with the classes that the links `more` join."""
-        at = found.select("node", "component")
-        ends = more.join(at.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(at.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-        joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
-        old = found.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
-        new = joined.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("least").alias("component"))
-        return materialise(old.unionByName(new), "found")
-
-    links = verify(pairs)
-    tested, found = pairs, components(links)
-    for turn in range(1, 30):
-        placed = with_classes(found)
-        draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "c")
-        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(draw).alias("p")).where("lo < hi").select("key", F.col("p.node").alias("p"), F.col("p.c").alias("pc"))
-        fresh = placed.join(mixed, "key").where("c <> pc").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        fresh = untested(fresh, tested)
-        if fresh.isEmpty():
-            break
-        more = verify(fresh)
-        tested = tested.select("a", "b").unionByName(fresh)
-        if more.isEmpty():
-            break
-        found = merged(found, more)
-    # the pivots may have missed links: what is left of each bucket is compared wholly
-    left = untested(_unsettled_pairs(materialise(with_classes(found), "placed"), texts), tested)
-    if not left.isEmpty():
-        more = verify(left)
-        if not more.isEmpty():
-            found = merged(found, more)
+    tested, links = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), verify(pairs)
+    # a bucket of two is settled by its pivot; larger ones that hold several classes first join each text to its nearest one of
+    # another class, which merges what belongs together, and then all pairs of classes that are left are compared
+    wide, bags = buckets.where("size > 2").select("key", "node"), None
+    for first in (True, False):
+        placed = wide.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        mixed = _mixed_buckets(materialise(placed, "placed"))
+        if bags is None:
+            wide = mixed.select("key", "node")
+            bags = materialise(texts.join(wide.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node bigint, n bigint, bag binary"), "bags")
+        fresh = materialise(_open_pairs(mixed, bags, first).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, links = tested.unionByName(fresh), links.unionByName(verify(fresh))
+    found = components(links)
 
     linked = found.join(nodes, "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    classes = nodes.join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))
-    return sketched.join(classes, "node", "left").select("doc_id", "node", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    classes = nodes.join(found, "node", "left").join(least, "component", "left").select("name", F.coalesce("class_id", "rep").alias("class_id"))
+    return sketched.select("doc_id", "name", "some").join(classes, "name", "left").select("doc_id", "name", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, without those that are not the first of their class.
 
     Rows that repeat a doc_id with the same text leave one; texts without words are classes of their own, so they
-    stay. A row without doc_id stays only if no row of its class has one.
+    stay. A row without doc_id stays only if no row of its class has one. Columns of the input may have any names.
     """
     classes = materialise(near_duplicate_classes(docs), "classes")
-    gone = small_side(materialise(classes.where("not doc_id <=> class_id").select("doc_id", "node").distinct(), "gone"), 400_000)
-    kept = docs.withColumn("__node", node_of(F.col("text")))
-    kept = kept.join(gone.select(F.col("doc_id").alias("__id"), F.col("node").alias("__gone")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__gone")), "left_anti")
-    if not classes.groupBy("doc_id", "node").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__node"])
-    return kept.drop("__node")
+    gone = small_side(materialise(classes.where("not doc_id <=> class_id").select("doc_id", "name").distinct(), "gone"), 200_000)
+    # the input's columns go in one struct, so that none clashes with ours
+    kept = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), name_of(F.col("text")).alias("own"))
+    kept = kept.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("name")), "left_anti")
+    if not classes.groupBy("doc_id", "name").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "own"])
+    return kept.select("row.*")
