@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import coded, plain_text, slices, word_lists
-from .common import bound_batches
-from .labelled import MAX_LABELLED, fitting_sample, held_out
+from .labelled import MAX_LABELLED, fitted, held_out
 
 DIMENSIONS, NONZERO, VOCABULARY, SHAPES, LEAST, REACH = 48, 6, 8_000, 2_000, 5, 2
 #: Neighbouring pairs that are summed at once.
@@ -172,9 +171,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     Only the text is scored; a null text counts as empty and gets a score like any other. Learns from
     at most `most_labelled` rows that are not held out. Repeated rows are scored alike; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    model = spark.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most_labelled)))
+    model = fitted(docs, labels, label, most_labelled, fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=400_000):
@@ -188,8 +185,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 def keep_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, label: str = "quality", most_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of `docs`, all columns, whose score is at least `least`."""
-    bound_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most_labelled)))
+    model = fitted(docs, labels, label, most_labelled, fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=400_000):

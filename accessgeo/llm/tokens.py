@@ -4,12 +4,13 @@ Layout under one folder (Parquet files, written by Spark's own committers):
 
     chunks/     one row per chunk of a document's ids; `payload` (little-endian ids of `width` bytes)
                 is there once for each digest, other rows refer to it
-    recipes/    one row per document in ascending doc_id order over ascending `part`: number of ids,
-                digests of its chunks, root = sha256 of the digests
-    manifest/   one row per part: first and last doc_id, documents, ids, ids of all parts before it, and
-                root = sha256 of the documents' roots
+    recipes/    one row per document in ascending doc_id order over ascending `part`: its place in the part, number of
+                ids, digests of its chunks in order, root = sha256 of the digests
+    manifest/   one row per part: first and last doc_id, documents, ids, ids of all parts before it, root of the tree over
+                the documents' roots with FANOUT children a node, and `top`, the hash of all parts' roots
 
-A gear hash over the last 16 ids cuts a document's ids into chunks, so equal passages give equal
+A document is read by its recipe: its digests name the payloads. Digests, documents' roots, parts' roots and the top are all computed
+anew from what is read and compared with what is stored. A gear hash over the last 16 ids cuts a document's ids into chunks, so equal passages give equal
 chunks wherever they stand.
 """
 
@@ -25,12 +26,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .arrays import give_back, plain_text, ragged, slices
 from .common import bound_batches, materialise, small_side
 
 WINDOW, LEAST, MASK_BITS, MOST = 16, 192, 9, 4096
+#: Children of a node of the manifest's tree, and levels of such nodes below a part's root.
+FANOUT, LEVELS = 1_024, 3
 #: White space beside white space, or a space at an end: there an encoding can depend on what stands around it.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 UNSAFE = rf"(^ )|( $)|({SPACE}{SPACE})|\x00"
@@ -184,6 +186,8 @@ def _chunk_rows(path: str, end_id: int | None, width: int):
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 lengths = lengths + 1
+            if len(ids) and int(ids.max()) >> (8 * width):
+                raise ValueError(f"an id does not fit in {width} bytes")
             ends = np.cumsum(lengths)
             docs, stops = cuts(ids, ends, gear)
             starts = np.concatenate([[0], stops[:-1]])
@@ -223,15 +227,37 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     spark = docs.sparkSession
     stored = spark.read.parquet(f"{path}/chunks")
     recipes = stored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("c"))
-    digests = F.col("c.digest")
-    recipes = recipes.select("row", "doc_id", "n_tokens", digests.alias("digests"), F.unhex(F.sha2(F.aggregate(digests, F.lit(b""), lambda a, d: F.concat(a, d)), 256)).alias("root"))
-    ordered = materialise(recipes, "recipes").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root", "row")
-    ordered.withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/recipes")
+    recipes = recipes.select("row", "doc_id", "n_tokens", F.col("c.digest").alias("digests")).withColumn("root", joined_hash(F.col("digests")))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("row")]
+    ordered = materialise(recipes, "recipes").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root")).sortWithinPartitions(*order)
+    ordered = ordered.withColumn("part", F.spark_partition_id()).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+    ordered.write.parquet(f"{path}/recipes")
     found = spark.read.parquet(f"{path}/recipes")
-    parts = found.groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "root"))).alias("c"))
-    parts = parts.withColumn("root", F.unhex(F.sha2(F.aggregate("c.root", F.lit(b""), lambda a, d: F.concat(a, d)), 256))).drop("c")
+    parts = found.groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens")).join(part_roots(found), "part")
     along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(along), F.lit(0))).coalesce(1).write.parquet(f"{path}/manifest")
+    parts = with_top(parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(along), F.lit(0))))
+    parts.coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def joined_hash(parts: F.Column) -> F.Column:
+    """SHA-256 of an array of hashes in order, written one behind the other."""
+    return F.unhex(F.sha2(F.unhex(F.array_join(F.transform(parts, F.hex), "")), 256))
+
+
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """(part, root) of the tree over the roots of each part's documents (part, place, root); no node has more than FANOUT children
+    below the part's root, which joins the topmost nodes."""
+    level = recipes.select("part", F.col("place").cast("long").alias("place"), "root")
+    for _ in range(LEVELS):
+        node = F.floor(F.col("place") / FANOUT)
+        level = level.groupBy("part", node.alias("node")).agg(F.array_sort(F.collect_list(F.struct("place", "root"))).alias("c")).select("part", F.col("node").alias("place"), joined_hash(F.col("c.root")).alias("root"))
+    return level.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", "root"))).alias("c")).select("part", joined_hash(F.col("c.root")).alias("root"))
+
+
+def with_top(parts: DataFrame) -> DataFrame:
+    """`top`, the hash of all parts' roots in order; there are as many parts as Spark partitions."""
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return parts.withColumn("top", joined_hash(F.collect_list("root").over(everything)))
 
 
 def _shift_tables() -> np.ndarray:
@@ -276,50 +302,62 @@ def shifted_crc(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each stored payload: whether its digest is right, its CRC as 32-bit ids, its number of ids."""
     for batch in batches:
-        good, crcs = [], []
+        good, crcs, many = [], [], []
         for d, p, w in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist(), batch.column("width").to_pylist(), strict=True):
             good.append(hashlib.sha256(p).digest() == d)
             crcs.append(zlib.crc32(np.frombuffer(p, f"<u{w}").astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(good), pa.array(crcs, pa.int64())], ["digest", "good", "crc"])
+            many.append(len(p) // w)
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(good, pa.bool_()), pa.array(crcs, pa.int64()), pa.array(many, pa.int64())], ["digest", "good", "crc", "n"])
+
+
+def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document, from the chunks its recipe names, in order: ids read, their CRC, and whether all were found and right."""
+    for batch in batches:
+        lists = batch.column("c")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        inner = lists.flatten()
+        n, crc, good = (pc.fill_null(inner.field(x), y).to_numpy(zero_copy_only=False) for x, y in (("n", 0), ("crc", 0), ("good", False)))
+        upto = np.cumsum(n)
+        total = np.diff(np.concatenate([[0], upto])[ends])
+        tail = np.repeat(np.concatenate([[0], upto])[ends[1:]], np.diff(ends)) - upto
+        share = shifted_crc(crc, tail * 4)
+        whole = np.bitwise_xor.reduceat(share, ends[:-1]) if len(share) else np.zeros(len(lists), np.uint32)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(total.astype(np.int64)), pa.array(whole.astype(np.int64)), pa.array(np.logical_and.reduceat(good.astype(bool), ends[:-1]) if len(good) else np.zeros(len(lists), bool))], ["row", "read_tokens", "ids_crc32", "good"])
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and `verified`.
 
-    Each stored payload is read once and its digest and CRC are taken from its bytes; a document's
-    CRC is put together from those of its chunks, and its root is compared with the recipe's.
+    Recipes drive the read. Each stored payload is read once; its digest and CRC are taken from its bytes, and a document's CRC is put
+    together from those of the chunks its recipe names. `verified` says that all payloads were found with right digests, that their
+    ids are as many as the recipe says, and that the roots of the document, of its part and of all parts are those computed anew.
     """
     chunks, recipes, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("chunks", "recipes", "manifest"))
-    stored = chunks.where(F.col("payload").isNotNull()).select("digest", "payload", "width").mapInArrow(_checked, "digest binary, good boolean, crc bigint")
-
-    @F.pandas_udf(T.LongType())
-    def share(crc, zeros):
-        import pandas as pd
-
-        return pd.Series(shifted_crc(crc.to_numpy(np.int64), zeros.to_numpy(np.int64)).astype(np.int64))
-
-    parts = chunks.select("row", "seq", "n", "tail", "digest").join(stored, "digest")
-    docs = parts.withColumn("share", share("crc", F.col("tail") * 4)).groupBy("row").agg(F.sum("n").alias("read_tokens"), F.expr("bit_xor(share)").alias("ids_crc32"), F.bool_and("good").alias("good"), F.count(F.lit(1)).alias("read_chunks"))
-    along = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root", "row").rowsBetween(Window.unboundedPreceding, -1)
-    base = small_side(manifest.select("part", F.col("start").alias("base")))
-    placed = recipes.select("row", "doc_id", "part", "root", "n_tokens", F.size("digests").alias("n_chunks")).withColumn("inside", F.coalesce(F.sum("n_tokens").over(along), F.lit(0)))
-    out = placed.join(base, "part").join(docs, "row")
-    sound = F.col("good") & (F.col("read_tokens") == F.col("n_tokens")) & (F.col("read_chunks") == F.col("n_chunks"))
-    return out.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", sound.alias("verified"))
+    stored = chunks.where(F.col("payload").isNotNull()).select("digest", "payload", "width").mapInArrow(_checked, "digest binary, good boolean, crc bigint, n bigint")
+    named = recipes.select("row", F.posexplode("digests").alias("seq", "digest")).join(stored, "digest", "left")
+    whole = named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "good"))).alias("c"))
+    docs = whole.mapInArrow(_read_documents, "row bigint, read_tokens bigint, ids_crc32 bigint, good boolean")
+    computed = with_top(part_roots(recipes)).select("part", F.col("root").alias("root2"), F.col("top").alias("top2"))
+    parts = manifest.join(computed, "part", "left").select("part", F.col("start").alias("base"), (F.col("root").eqNullSafe(F.col("root2")) & F.col("top").eqNullSafe(F.col("top2"))).alias("part_good"))
+    along = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = recipes.select("row", "doc_id", "part", "place", "n_tokens", (F.col("root") == joined_hash(F.col("digests"))).alias("root_good")).withColumn("inside", F.coalesce(F.sum("n_tokens").over(along), F.lit(0)))
+    out = placed.join(small_side(parts), "part", "left").join(docs, "row", "left")
+    sound = F.coalesce(F.col("good") & F.col("part_good") & F.col("root_good") & (F.col("read_tokens") == F.col("n_tokens")), F.lit(False))
+    return out.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", F.coalesce("ids_crc32", F.lit(0)).alias("ids_crc32"), sound.alias("verified"))
+
+
+def _joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.frombuffer(b"".join(x["payload"] for x in c), f"<u{c[0]['width']}").astype(np.int64) for c in batch.column("c").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "row", "ids"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, row and the ids of each document, rebuilt from its recipe."""
-    chunks = spark.read.parquet(f"{path}/chunks")
+    """doc_id, row and the ids of each document, rebuilt from its recipe. A document whose recipe names an absent chunk is left out."""
+    chunks, recipes = (spark.read.parquet(f"{path}/{x}") for x in ("chunks", "recipes"))
     stored = chunks.where(F.col("payload").isNotNull()).select("digest", "payload", "width")
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def ids(payload, width):
-        import pandas as pd
-
-        return pd.Series([np.frombuffer(p, f"<u{w}").astype(np.int64) for p, w in zip(payload, width, strict=True)])
-
-    parts = chunks.select("row", "doc_id", "seq", "digest").join(stored, "digest")
-    whole = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("c"), F.first("width").alias("width"))
-    return whole.select("doc_id", "row", ids(F.aggregate("c.payload", F.lit(b""), lambda a, p: F.concat(a, p)), "width").alias("ids"))
+    named = recipes.select("row", "doc_id", F.size("digests").alias("many"), F.posexplode("digests").alias("seq", "digest")).join(stored, "digest")
+    whole = named.groupBy("row", "many").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "payload", "width"))).alias("c")).where(F.size("c") == F.col("many"))
+    return whole.mapInArrow(_joined_ids, f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, row bigint, ids array<bigint>")

@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, plain_text, ragged, slices, word_lists
-from .common import bound_batches
-from .labelled import fitting_sample, held_out
+from .labelled import fitted, held_out
 
 BUCKETS, WIDTH, SPOKEN = 1 << 21, 24, 7
 SEGMENT = 200
@@ -231,11 +230,6 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float = 0.3
     return head
 
 
-def _model(docs: DataFrame, labels: DataFrame, label: str, most: int):
-    bound_batches(docs.sparkSession)
-    return docs.sparkSession.sparkContext.broadcast(fit(*fitting_sample(docs, labels, label, most)))
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled: int = MAX_TOXIC) -> DataFrame:
     """doc_id, held_out, score: probability that a document is toxic, for every row of `docs`.
 
@@ -243,7 +237,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     that are not held out; without both labels the score is their rate. Repeated rows are scored alike;
     an empty table gives no rows.
     """
-    model = _model(docs, labels, label, most_labelled)
+    model = fitted(docs, labels, label, most_labelled, fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -257,7 +251,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
 
 def toxic_spans(docs: DataFrame, labels: DataFrame, label: str = "toxic", least: float = 0.5, most_labelled: int = MAX_TOXIC) -> DataFrame:
     """doc_id, word_index, word, marginal of each word whose marginal is at least `least`."""
-    model = _model(docs, labels, label, most_labelled)
+    model = fitted(docs, labels, label, most_labelled, fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -65,7 +65,7 @@ class TestEdges:
     def test_a_held_out_label_is_never_learnt(self, spark, documents, module, column):
         apart = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 0]
         docs = documents([(k, f"text {k}") for k in range(200)])
-        texts, _ = labelled.fitting_sample(docs, labels(spark, [(k, k % 2) for k in range(200)], column), column)
+        texts = [r["text"] for r in labelled.fitting_sample(docs, labels(spark, [(k, k % 2) for k in range(200)], column), column).collect()]
         assert not {f"text {k}" for k in apart} & set(texts) and len(texts) == 200 - len(apart)
 
 

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from accessgeo.llm import queries, tokens
 from accessgeo.llm.common import scratch
@@ -100,3 +101,40 @@ def test_encoder_by_units_equals_whole_texts(library, prose):
     texts = [*ODD, *prose(30, 60, 9), "Word, word. Word.word A.B, c"]
     ids, n = tokens.Encoder(queries.vocabulary()).encode(pa.array(texts))
     assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and len(n) == len(texts)
+
+
+CORRUPTED = {
+    "recipe digest": ("recipes", lambda t: t.withColumn("digests", F.transform("digests", lambda d, k: F.when((k == 0) & (F.col("doc_id") == 3), F.unhex(F.sha2(F.lit("x"), 256))).otherwise(d))), "one"),
+    "recipe root": ("recipes", lambda t: t.withColumn("root", F.when(F.col("doc_id") == 3, F.unhex(F.sha2(F.lit("x"), 256))).otherwise(F.col("root"))), "all"),
+    "payload": ("chunks", lambda t: t.withColumn("payload", F.when(F.col("doc_id") == 3, F.concat(F.unhex(F.lit("0102")), F.col("payload").substr(3, 100_000))).otherwise(F.col("payload"))), "one"),
+    "part root": ("manifest", lambda t: t.withColumn("root", F.unhex(F.sha2(F.lit("x"), 256))), "all"),
+    "top": ("manifest", lambda t: t.withColumn("top", F.unhex(F.sha2(F.lit("x"), 256))), "all"),
+}
+
+
+@pytest.fixture(scope="module")
+def small_store(spark, documents, prose):
+    path = scratch(spark, "tokens")
+    tokens.write_store(documents(list(enumerate(prose(9, 600, 12)))), path, queries.vocabulary())
+    return path
+
+
+@pytest.mark.parametrize("what", CORRUPTED)
+def test_a_changed_file_is_not_verified(spark, small_store, what):
+    table, change, reach = CORRUPTED[what]
+    other = scratch(spark, "tokens")
+    for name in ("chunks", "recipes", "manifest"):
+        stored = spark.read.parquet(f"{small_store}/{name}")
+        (change(stored) if name == table else stored).write.parquet(f"{other}/{name}")
+    told = {r["doc_id"]: r["verified"] for r in tokens.read_digest(spark, other).collect()}
+    assert len(told) == 9 and not told[3] and (reach == "one" or not any(told.values()))
+
+
+def test_a_tree_of_several_levels(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(tokens, "FANOUT", 3)
+    digest(spark, documents(list(enumerate(prose(40, 20, 13)))))
+
+
+def test_an_id_that_does_not_fit_raises(spark, documents):
+    with pytest.raises(Exception, match="does not fit in 1 bytes"):
+        tokens.write_store(documents([(1, "some longer words 日本語")]), scratch(spark, "tokens"), queries.vocabulary(), width=1)
