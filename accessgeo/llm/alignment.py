@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Sequence
+from collections.abc import Hashable, Iterator, Sequence
 
 
 def masks(pattern: Sequence[Hashable]) -> dict[Hashable, int]:
@@ -56,13 +56,12 @@ def _band(a: Sequence[Hashable], b: Sequence[Hashable], k: int) -> int:
     return cost
 
 
-def best_inside(pattern: Sequence[Hashable], text: Sequence[Hashable]) -> tuple[int, int]:
-    """Least edit distance of `pattern` to any part of `text`, and where the first such part ends."""
+def costs_inside(pattern: Sequence[Hashable], text: Sequence[Hashable]) -> Iterator[int]:
+    """For each place of `text` the least edit distance of `pattern` to a part of it that ends there."""
     where, n = masks(pattern), len(pattern)
     full, last = (1 << n) - 1, 1 << (n - 1)
     plus, minus, cost = full, 0, n
-    best, end = n, 0
-    for i, c in enumerate(text):
+    for c in text:
         m = where.get(c, 0)
         d = ((((m & plus) + plus) ^ plus) | m | minus) & full
         hp, hn = (minus | ~(d | plus)) & full, d & plus
@@ -72,6 +71,27 @@ def best_inside(pattern: Sequence[Hashable], text: Sequence[Hashable]) -> tuple[
             cost -= 1
         hp = (hp << 1) & full
         plus, minus = ((hn << 1) | ~(d | hp)) & full, hp & d
+        yield cost
+
+
+def best_inside(pattern: Sequence[Hashable], text: Sequence[Hashable]) -> tuple[int, int]:
+    """Least edit distance of `pattern` to any part of `text`, and where the first such part ends."""
+    best, end = len(pattern), 0
+    for i, cost in enumerate(costs_inside(pattern, text)):
         if cost < best:
             best, end = cost, i + 1
     return best, end
+
+
+def ends_inside(pattern: Sequence[Hashable], text: Sequence[Hashable], most: int) -> Iterator[tuple[int, int]]:
+    """(edits, end) of parts within `most` edits of `pattern`: the first best end of each run of such ends, and again half a
+    pattern after it where the run goes on."""
+    found = None
+    for i, cost in enumerate(costs_inside(pattern, text)):
+        if found and (cost > most or i + 1 - found[1] > len(pattern) // 2):
+            yield found
+            found = None
+        if cost <= most and (found is None or cost < found[0]):
+            found = (cost, i + 1)
+    if found:
+        yield found

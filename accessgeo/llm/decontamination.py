@@ -3,7 +3,8 @@
 An item of m characters that stands in a text with at most e edits shares at least m - q + 1 - q * e
 q-grams with it (the q-gram lemma), on diagonals at most e apart. Positions of shared q-grams are counted in
 bands of 2 (e + 1) diagonals, each overlapping the next by half, so that one band holds all of them.
-Bands that reach the bound are aligned with the item. Case and the amount of white space do not count.
+Bands that reach the bound are aligned with the item. Case and the amount of white space do not count. Items of fewer than Q bytes
+have no q-gram: they are looked for exactly, as whole words.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import best_inside
+from .alignment import best_inside, ends_inside
 from .arrays import mix64, plain_text, ragged, slices
 from .common import bound_batches
 
 Q, BUDGET, BITMAP_BITS, BLOCK_CHARS = 10, 0.08, 22, 4_000_000
+#: Shared q-grams that are counted at once.
+AT_ONCE = 2_000_000
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -67,9 +70,10 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items, their edit budgets and bounds, and where each q-gram stands in them."""
+    """Distinct item texts with the ids of each, their edit budgets and bounds, where each q-gram stands in them, and the short
+    ones by length: their first eight bytes as one number, sorted, and their places in `texts`."""
 
-    ids: list
+    ids: list[list]
     texts: list[bytes]
     budget: np.ndarray
     bound: np.ndarray
@@ -79,16 +83,34 @@ class Index:
     item: np.ndarray
     at: np.ndarray
     bitmap: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def packed(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The first `length` bytes, at most eight, from each place as one number."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(min(length, 8)):
+        out |= data[at + k].astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
 def build_index(ids: list, texts: list[str]) -> Index:
-    """The budget of an item is BUDGET of its bytes, less if its bound would fall below 1; items of fewer than Q bytes are left out."""
+    """The budget of an item is BUDGET of its bytes, less if its bound would fall below 1. Items that are equal but for case and
+    white space are one; empty ones match nothing."""
     data, starts, stops, _ = normalised(pa.array(texts, pa.string()))
-    while len(texts) and (trim := (stops > starts) & (data[np.maximum(stops - 1, 0)] == 32)).any():
-        stops = stops - trim
-    while len(texts) and (trim := (stops > starts) & (data[np.minimum(starts, len(data) - 1)] == 32)).any():
-        starts = starts + trim
+    named: dict[bytes, list] = {}
+    for k, (a, b) in enumerate(zip(starts, stops, strict=True)):
+        named.setdefault(data[a:b].tobytes().strip(b" "), []).append(ids[k])
+    named.pop(b"", None)
+    ordered = sorted(named, key=lambda t: (len(t) < Q, t))
+    data, starts, stops, _ = normalised(pa.array([t.decode() for t in ordered], pa.string()))
     keep = np.flatnonzero(stops - starts >= Q)
+    short = {}
+    for n in sorted({len(t) for t in ordered if len(t) < Q}):
+        which = np.array([k for k, t in enumerate(ordered) if len(t) == n])
+        values = packed(data, starts[which], n)
+        order = np.argsort(values, kind="stable")
+        short[n] = (values[order], which[order])
     length = (stops - starts)[keep]
     budget = np.minimum(np.floor(BUDGET * length), np.maximum((length - Q) // Q, 0)).astype(np.int64)
     n = length - Q + 1
@@ -99,40 +121,82 @@ def build_index(ids: list, texts: list[str]) -> Index:
     keys, first, count = np.unique(g[order], return_index=True, return_counts=True)
     bitmap = np.zeros(1 << BITMAP_BITS, bool)
     bitmap[keys >> np.uint64(64 - BITMAP_BITS)] = True
-    return Index([ids[k] for k in keep], [data[a:b].tobytes() for a, b in zip(starts[keep], stops[keep], strict=True)], budget, np.maximum(n - Q * budget, 1), keys, first, count, item[order], at[order], bitmap)
+    return Index([sorted(set(named[t]), key=lambda x: (x is not None, x)) for t in ordered], ordered, budget, np.maximum(n - Q * budget, 1), keys, first, count, item[order], at[order], bitmap, short)
+
+
+def _short_places(data: np.ndarray, index: Index) -> Iterator[tuple[int, int]]:
+    """(item, start) of each place where a short item stands as whole words."""
+    apart = (data == 32) | (data == 255)
+    edge = np.concatenate([[True], apart, np.ones(Q, bool)])
+    begin = np.flatnonzero(edge[: len(data)] & ~apart)
+    for n, (values, which) in index.short.items():
+        at = begin[begin + n <= len(data)]
+        at = at[edge[at + n + 1]]
+        found = packed(data, at, n)
+        lo, hi = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+        for place, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            for k in which[a:b].tolist():
+                if data[place : place + n].tobytes() == index.texts[k]:
+                    yield k, place
+
+
+def _band_counts(at: np.ndarray, place: np.ndarray, index: Index, span: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Item and band as one number, and how many places of the text share a q-gram there: one that stands twice in an item counts once."""
+    kinds, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _pieces(index.count[place]):
+        n = index.count[place[a:b]]
+        item, inside = ragged(index.item, index.first[place[a:b]], n), ragged(index.at, index.first[place[a:b]], n)
+        where = np.repeat(at[a:b], n)
+        band = (where - inside) // (index.budget[item] + 1)
+        # places in an item ascend, so the bands of one place of the text and one item descend, equal ones side by side
+        fresh = np.ones(len(band), bool)
+        fresh[1:] = (band[1:] != band[:-1]) | (item[1:] != item[:-1]) | (where[1:] != where[:-1])
+        item, band, where = item[fresh], band[fresh], where[fresh]
+        again = np.zeros(len(band), bool)
+        again[:-1] = (band[1:] == band[:-1] - 1) & (item[1:] == item[:-1]) & (where[1:] == where[:-1])
+        key = item * (2 * span) + (band - low)
+        some, many = np.unique(np.concatenate([key, key[~again] - 1]), return_counts=True)
+        kinds.append(some)
+        counts.append(many)
+    kinds, inverse = np.unique(np.concatenate(kinds), return_inverse=True)
+    return kinds, np.bincount(inverse, np.concatenate(counts), len(kinds)).astype(np.int64)
+
+
+def _pieces(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose numbers sum to about AT_ONCE."""
+    piece = (np.cumsum(n) - n) // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(n)]
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
+def _regions(kinds: np.ndarray, span: int, low: int) -> Iterator[tuple[int, int, int]]:
+    """(item, first band, last band) of runs of neighbouring bands, so that each region is aligned once."""
+    edges = [0, *(np.flatnonzero(np.diff(kinds) > 1) + 1).tolist(), len(kinds)] if len(kinds) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(kinds[a]) // (2 * span), int(kinds[a]) % (2 * span) + low, int(kinds[b - 1]) % (2 * span) + low
 
 
 def find(text: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of each place, start and end in code points of the text."""
-    if not len(index.keys) or not len(text):
+    if not index.texts or not len(text):
         return []
     data, starts, stops, points = normalised(text)
+    short = [(int(np.searchsorted(stops, at, "right")), k, int(points[at]), int(points[at + len(index.texts[k]) - 1]) + 1, 0) for k, at in _short_places(data, index)]
+    if not len(index.keys):
+        return short
     g = grams(data)
     at = np.flatnonzero(index.bitmap[g >> np.uint64(64 - BITMAP_BITS)])
     place = np.minimum(np.searchsorted(index.keys, g[at]), len(index.keys) - 1)
     same = index.keys[place] == g[at]
     at, place = at[same], place[same]
-    n = index.count[place]
-    item, inside = ragged(index.item, index.first[place], n), ragged(index.at, index.first[place], n)
-    diagonal = np.repeat(at, n) - inside
-    width = index.budget[item] + 1
-    band = diagonal // width
     span = len(data) + 2
     low = -(len(data) + 2)
-    pairs = np.concatenate([item * (2 * span) + (band - low), item * (2 * span) + (band - 1 - low)])
-    # a q-gram that stands twice in an item counts once for its place in the text
-    where = np.concatenate([np.repeat(at, n)] * 2)
-    order = np.lexsort((where, pairs))
-    pairs, where = pairs[order], where[order]
-    fresh = np.ones(len(pairs), bool)
-    fresh[1:] = (pairs[1:] != pairs[:-1]) | (where[1:] != where[:-1])
-    kinds, counts = np.unique(pairs[fresh], return_counts=True)
+    kinds, counts = _band_counts(at, place, index, span, low)
     enough = counts >= index.bound[kinds // (2 * span)]
     out: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for key in kinds[enough].tolist():
-        k, b = key // (2 * span), key % (2 * span) + low
+    for k, b, c in _regions(kinds[enough], span, low):
         e, m = int(index.budget[k]), len(index.texts[k])
-        begin, stop = b * (e + 1) - e, (b + 2) * (e + 1) + m + e
+        begin, stop = b * (e + 1) - e, (c + 2) * (e + 1) + m + e
         for d in range(max(int(np.searchsorted(stops, begin, "right")), 0), len(starts)):
             if starts[d] >= stop:
                 break
@@ -140,9 +204,8 @@ def find(text: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
             if hi - lo < m - e:
                 continue
             part = data[lo:hi].tobytes()
-            edits, end = best_inside(index.texts[k], part)
-            if edits <= e:
-                back = best_inside(index.texts[k][::-1], part[:end][::-1])[1]
+            for edits, end in ends_inside(index.texts[k], part, e):
+                back = best_inside(index.texts[k][::-1], part[max(end - m - e, 0) : end][::-1])[1]
                 span_key = (d, k, lo + end)
                 out[span_key] = min(out.get(span_key, (edits + 1, 0)), (edits, lo + end - back))
     best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
@@ -153,24 +216,24 @@ def find(text: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
                 runs[-1] = (begin, end, edits)
         else:
             runs.append((begin, end, edits))
-    return [(d, k, int(points[a]), int(points[b - 1]) + 1, e) for (d, k), runs in best.items() for a, b, e in runs]
+    return short + [(d, k, int(points[a]), int(points[b - 1]) + 1, e) for (d, k), runs in best.items() for a, b, e in runs]
 
 
 def _blocks(items: DataFrame) -> Iterator[Index]:
     """Indexes over about BLOCK_CHARS characters of items each: what is sent to the tasks at once is bounded."""
-    items = items.where(F.col("text").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
+    items = items.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_CHARS))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id").collect()
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         yield build_index([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
 def contaminated_places(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, edits: each place where an item stands in a text within its budget.
 
-    All texts are searched whole; null texts hold nothing. Null items and items of fewer than Q
-    bytes match nothing; of several items with one item_id the first by text counts. Repeated rows give repeated
+    All texts are searched whole; null texts hold nothing. Null and empty items match nothing, items of fewer than Q
+    bytes only as whole words without edits. All distinct texts of one item_id count. Repeated rows give repeated
     places. Empty tables give no rows. No shuffle of the documents.
     """
     bound_batches(docs.sparkSession)
@@ -181,9 +244,9 @@ def contaminated_places(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, most=2_000_000):
-                found = find(plain_text(batch.column("text")), sent.value)
+                found = [(d, i, *rest) for d, k, *rest in find(plain_text(batch.column("text")), sent.value) for i in sent.value.ids[k]]
                 rows = pa.array([d for d, *_ in found], pa.int64())
-                named = pa.array([sent.value.ids[k] for _, k, *_ in found])
+                named = pa.array([i for _, i, *_ in found])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), named.cast(pa.string()) if item_kind == "string" else named.cast(pa.int64()), *[pa.array([f[j] for f in found], pa.int64()) for j in (2, 3, 4)]], ["doc_id", "item_id", "start", "end", "edits"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id {'string' if item_kind == 'string' else 'bigint'}, start bigint, end bigint, edits bigint")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 from accessgeo.llm import decontamination, queries
 
 
@@ -90,3 +92,25 @@ def test_query_finds_every_verbatim_item(spark):
     docs = [(r["doc_id"], clean(r["text"])) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     told = {(d, i) for d, t in docs for i, b in bench if len(b.encode()) >= decontamination.Q and b in t}
     assert told <= {(r["doc_id"], r["item_id"]) for r in queries.op10_decontamination(spark, SF_DIR).collect()}
+
+
+def test_short_items_are_found_as_whole_words(spark, documents):
+    rows = [(1, "Yes, no"), (2, "say  YES now"), (3, "yesterday"), (4, "aye"), (5, "é a\nb"), (6, "a bc")]
+    got = decontamination.contaminated_places(documents(rows), items(spark, [(1, "yes"), (2, " a B"), (3, "Aye"), (4, "")])).collect()
+    assert sorted((r["doc_id"], r["item_id"], rows[r["doc_id"] - 1][1][r["start"] : r["end"]], r["edits"]) for r in got) == [(2, 1, "YES", 0), (4, 3, "aye", 0), (5, 2, "a\nb", 0)]
+
+
+def test_items_that_share_an_id_or_a_text(spark, documents):
+    one, two = "a first text of the item in question", "quite another passage under the same name"
+    got = decontamination.contaminated_places(documents([(1, "x " + one), (2, two)]), items(spark, [(7, one), (7, two), (8, two.upper())])).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 7), (2, 7), (2, 8)]
+
+
+def test_periodic_texts_count_in_pieces(monkeypatch):
+    bench = ["ab " * k for k in range(20, 30)]
+    index = decontamination.build_index(list(range(10)), bench)
+    text = pa.array(["ab " * 300, "ab " * 12, "xy " * 300])
+    whole = decontamination.find(text, index)
+    monkeypatch.setattr(decontamination, "AT_ONCE", 1_000)
+    assert whole == decontamination.find(text, index)
+    assert {(d, k) for d, k, *_ in whole} == {(0, k) for k in range(10)}
