@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by product quantisation.
 
 Vectors on the unit sphere lie in coarse inverted lists; the residual to the list's centroid is stored as
-one code per subspace, with the length of what the codes miss. A vector looks into each list that can hold one as near
-as the threshold asks: table look-ups give its inner product with each code, which errs by no more than the stored length, and what
+one code per subspace, with the length of what the codes miss. A vector looks into each list that is likely to hold one as near
+as the threshold asks (see SPREAD); neighbouring lists form groups, and a vector is sent once to each group it looks into. Table look-ups give its inner product with each code, which errs by no more than the stored length, and what
 that bound leaves is ranked by the exact cosine. Lists and codebooks are fitted on a bounded sample;
 every vector is indexed.
 """
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,12 @@ from .common import materialise, small_side
 from .components import components, least_reachable
 
 THRESHOLD, SUBSPACES, CODES = 0.9, 8, 128
-#: Vectors the index is fitted on at most, and the most lists; rows of a block of a list, and of vectors that look into it.
-FIT_ROWS, MOST_LISTS, BLOCK, QUERY_BLOCK = 16_384, 4_096, 1_000, 2_000
+#: How far a near vector may lie towards another list, in standard deviations of one component of a random step as long as the threshold
+#: allows. In few dimensions that is more than the step itself, and no list that can hold a near vector is left out.
+SPREAD = 4.5
+#: Vectors the index is fitted on at most, and the most lists; rows of a block of a group of lists, and of vectors that look into it;
+#: inner products that are held at once.
+FIT_ROWS, MOST_LISTS, BLOCK, QUERY_BLOCK, AT_ONCE = 16_384, 4_096, 6_000, 16_000, 2_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -55,6 +60,20 @@ class Index:
     lists: np.ndarray
     books: list[np.ndarray]
     edges: list[int]
+    group: np.ndarray
+    reach: float = 0.0
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return nearest(x, self.lists, 1)[:, 0]
+
+    def looks(self, x: np.ndarray, home: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether the rows of x look into the lists `which`. What lies nearer to list l than to the row's list h is beyond the plane
+        between them, which is (d(x, l)^2 - d(x, h)^2) / (2 d(l, h)) away."""
+        size = (self.lists * self.lists).sum(1)
+        own, inverse = np.unique(home, return_inverse=True)
+        apart = np.sqrt(np.maximum(size[own][:, None] + size[which] - 2 * self.lists[own] @ self.lists[which].T, 0))[inverse]
+        near = size[which] - 2 * x @ self.lists[which].T - (size[home] - 2 * np.einsum("ij,ij->i", x, self.lists[home]))[:, None]
+        return (near <= 2 * apart * self.reach + 1e-9) | (which == home[:, None])
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One code per subspace of the residuals, and the length of what they miss."""
@@ -74,7 +93,8 @@ def fit(sample: np.ndarray, vectors: int) -> Index:
     left = sample - lists[nearest(sample, lists, 1)[:, 0]]
     edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int).tolist()
     books = [kmeans(left[:, a:b], CODES, 6, 5 + m) for m, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-    return Index(lists, books, edges)
+    near = kmeans(lists, max(1, math.ceil(vectors / BLOCK)), 8, 4)
+    return Index(lists, books, edges, nearest(lists, near, 1)[:, 0])
 
 
 def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
@@ -83,63 +103,74 @@ def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def lists_within(x: np.ndarray, lists: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """For the rows of x the lists that can hold a vector at most `reach` away, the row's own list first, in one array, and how
-    many each row has. What lies nearer to list l than to the row's list h is beyond the plane between them, which
-    is (d(x, l)^2 - d(x, h)^2) / (2 d(l, h)) away, so no other list can hold it."""
-    out, many = [], []
-    size = (lists * lists).sum(1)
-    for a in range(0, len(x), 500):
-        d = size - 2 * x[a : a + 500] @ lists.T
-        home = d.argmin(1)
-        apart = np.sqrt(np.maximum(size + size[home][:, None] - 2 * lists[home] @ lists.T, 0))
-        row = np.arange(len(d))
-        near = d - d[row, home][:, None] <= 2 * apart * reach + 1e-9
-        near[row, home] = False
-        found = [np.r_[h, np.flatnonzero(n)] for h, n in zip(home, near, strict=True)]
-        out += found
-        many += [len(f) for f in found]
-    return np.concatenate(out), np.array(many)
-
-
-def _index_rows(sent, kind: str, threshold: float):
+def _index_rows(sent, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit_rows(batch.column("vector").to_pylist(), kind)
-            probes, many = lists_within(x, index.lists, math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6)
-            ends = np.concatenate([[0], np.cumsum(many)])
-            codes, missed = index.encode(x, probes[ends[:-1]])
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(probes.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed), batch.column("vector")], ["node", "copies", "probes", "codes", "missed", "vector"])
+            home = index.home(x)
+            codes, missed = index.encode(x, home)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array(home.astype(np.int32)), pa.array(index.group[home].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed), batch.column("vector")], ["node", "copies", "home", "group", "codes", "missed", "vector"])
+    return run
+
+
+def _look_rows(sent, kind: str):
+    """A row for each vector and group that it looks into."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = sent.value
+        order = np.argsort(index.group, kind="stable")
+        begin = np.flatnonzero(np.diff(index.group[order], prepend=-1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                looks = index.looks(unit_rows(part.column("vector").to_pylist(), kind), part.column("home").to_numpy(), order)
+                row, group = np.nonzero(np.logical_or.reduceat(looks, begin, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(index.group[order][begin][group].astype(np.int32)), *[part.column(c).take(pa.array(row)) for c in ("node", "home", "vector")]], ["group", "node", "home", "vector"])
     return run
 
 
 def _match(sent, kind: str, threshold: float):
-    """One block of a list against one block of the vectors that look into it."""
+    """One block of a group's vectors against one block of those that look into the group, list by list."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("reach", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         index: Index = sent.value
-        inside = table.filter(table.column("query").combine_chunks().cast(pa.bool_()).to_numpy(zero_copy_only=False) == False)  # noqa: E712
-        asking = table.filter(table.column("query"))
+        inside, asking = table.filter(pc.invert(table.column("query"))), table.filter(table.column("query"))
         if not inside.num_rows or not asking.num_rows:
             return schema.empty_table()
         x, y = unit_rows(inside.column("vector").to_pylist(), kind), unit_rows(asking.column("vector").to_pylist(), kind)
-        home = int(inside.column("list")[0].as_py())
-        codes = np.frombuffer(b"".join(inside.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-        close = np.repeat((y @ index.lists[home])[:, None], len(x), axis=1)
-        for m, book in enumerate(index.books):
-            close += (y[:, index.edges[m] : index.edges[m + 1]] @ book.T)[:, codes[:, m]]
-        q, d = np.nonzero(close >= threshold - 1e-9 - inside.column("missed").to_numpy()[None, :])
+        codes, missed = np.frombuffer(b"".join(inside.column("codes").to_pylist()), np.uint8).reshape(len(x), -1), inside.column("missed").to_numpy()
         nodes_in, nodes_q = inside.column("node").to_numpy(), asking.column("node").to_numpy()
-        keep = (nodes_q[q] != nodes_in[d]) & (np.einsum("ij,ij->i", y[q], x[d]) >= threshold)
-        q, d = q[keep], d[keep]
+        home_in, home_q = inside.column("home").to_numpy(), asking.column("home").to_numpy()
+        tables = [y[:, index.edges[m] : index.edges[m + 1]] @ book.T for m, book in enumerate(index.books)]
+        lists = np.unique(home_in)
+        looks = index.looks(y, home_q, lists)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k, home in enumerate(lists.tolist()):
+            d, asks = np.flatnonzero(home_in == home), np.flatnonzero(looks[:, k])
+            step = max(1, AT_ONCE // len(d))
+            for at in range(0, len(asks), step):
+                q = asks[at : at + step]
+                close = np.repeat((y[q] @ index.lists[home])[:, None], len(d), axis=1)
+                for m, distances in enumerate(tables):
+                    close += distances[q][:, codes[d, m]]
+                i, j = np.nonzero(close >= threshold - 1e-9 - missed[d][None, :])
+                i, j = q[i], d[j]
+                for a in range(0, len(i), AT_ONCE // 16):
+                    u, v = i[a : a + AT_ONCE // 16], j[a : a + AT_ONCE // 16]
+                    keep = (nodes_q[u] != nodes_in[v]) & (np.einsum("ij,ij->i", y[u], x[v]) >= threshold)
+                    found.append((u[keep], v[keep]))
+        q, d = (np.concatenate(f) for f in zip(*found, strict=True))
+        # a link counts if each end looks into the other's list, so that both ends count it, each in the other's block
+        kept = np.zeros(len(q), bool)
+        for home in np.unique(home_q[q]).tolist():
+            at = np.flatnonzero(home_q[q] == home)
+            kept[at] = index.looks(x, home_in, np.array([home]))[d[at], 0]
+        q, d = q[kept], d[kept]
         if not len(q):
             return schema.empty_table()
-        # both ends of a link look into each other's list, so each counts it once
         of_q = np.bincount(q, inside.column("copies").to_numpy()[d], len(y)).astype(np.int64)
         names, place = np.unique(np.concatenate([nodes_q, nodes_in]), return_inverse=True)
         low = names[least_reachable(place[q], place[len(y) + d], len(names))]
@@ -148,23 +179,24 @@ def _match(sent, kind: str, threshold: float):
     return run
 
 
-def _links(vectors: DataFrame, kind: str, threshold: float) -> DataFrame:
+def _links(vectors: DataFrame, kind: str, threshold: float, length: int) -> DataFrame:
     """(node, n, reach) for distinct vectors of one length; `reach` spans what blocks have found."""
     spark = vectors.sparkSession
     total = vectors.count()
     drawn = vectors.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(FIT_ROWS).select("vector").toPandas()["vector"].tolist()
-    sent = spark.sparkContext.broadcast(fit(unit_rows(drawn, kind), total))
-    indexed = materialise(vectors.mapInArrow(_index_rows(sent, kind, threshold), "node bigint, copies bigint, probes array<int>, codes binary, missed double, vector binary"), "indexed")
-    inside = indexed.withColumn("list", F.col("probes")[0])
-    looks = indexed.select("*", F.explode("probes").alias("list"))
-    sizes = inside.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = looks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
-    plan = small_side(materialise(sizes.join(asked, "list"), "lists"), MOST_LISTS)
-    # a block of a list meets each block of the vectors that look into it; neither grows with the list
-    here = inside.join(plan, "list").select(F.lit(False).alias("query"), "list", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns").cast("long") - 1)).alias("turn"), "node", "copies", "codes", "missed", "vector")
-    none = [F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("missed")]
-    there = looks.join(plan, "list").select(F.lit(True).alias("query"), "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).alias("turn"), "node", "copies", *none, "vector")
-    return here.unionByName(there).groupBy("list", "block", "turn").applyInArrow(_match(sent, kind, threshold), "node bigint, n bigint, reach bigint")
+    index = fit(unit_rows(drawn, kind), total)
+    index.reach = (math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6) * min(1.0, SPREAD / math.sqrt(length))
+    sent = spark.sparkContext.broadcast(index)
+    inside = materialise(vectors.mapInArrow(_index_rows(sent, kind), "node bigint, copies bigint, home int, group int, codes binary, missed double, vector binary"), "indexed")
+    looks = inside.select("node", "home", "vector").mapInArrow(_look_rows(sent, kind), "group int, node bigint, home int, vector binary")
+    sizes = inside.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    asked = looks.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
+    plan = small_side(materialise(sizes.join(asked, "group"), "groups"), MOST_LISTS)
+    # a block of a group meets each block of the vectors that look into it; neither grows with the group
+    here = inside.join(plan, "group").select(F.lit(False).alias("query"), "group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns").cast("long") - 1)).alias("turn"), "node", "home", "copies", "codes", "missed", "vector")
+    none = [F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("missed")]
+    there = looks.join(plan, "group").select(F.lit(True).alias("query"), "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).alias("turn"), "node", "home", *none, "vector")
+    return here.unionByName(there).groupBy("group", "block", "turn").applyInArrow(_match(sent, kind, threshold), "node bigint, n bigint, reach bigint")
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,7 +225,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = None
     for (length,) in nodes.select(F.size("embedding")).distinct().collect():
         part = materialise(nodes.where(F.size("embedding") == length).select("node", "copies", "embedding").mapInArrow(packed, "node bigint, copies bigint, vector binary"), "packed")
-        links = _links(part, kind, threshold)
+        links = _links(part, kind, threshold, length)
         found = links if found is None else found.unionByName(links)
     if found is None:
         return kept.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
