@@ -213,6 +213,14 @@ def _block_pairs(node: np.ndarray, c: np.ndarray, n: np.ndarray, part: np.ndarra
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def _met_here_first(pairs: np.ndarray, node: np.ndarray, keys: pa.ChunkedArray, key: int) -> np.ndarray:
+    """Those of the pairs of bucket `key` that share no lesser key: texts that share many buckets are paired in one of them."""
+    place = {int(x): k for k, x in enumerate(node.tolist())}
+    used = sorted({place[x] for x in np.unique(pairs).tolist()})
+    own = {int(node[k]): set(x) for k, x in zip(used, keys.take(pa.array(used, pa.int64())).to_pylist(), strict=True)}
+    return pairs[np.array([min(own[a] & own[b]) == key for a, b in pairs.tolist()], bool)]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block (key, i, j); a block that a batch cuts is completed by the next one."""
     held: pa.Table | None = None
@@ -223,7 +231,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.Recor
         change = np.ones(table.num_rows, bool)
         change[1:] = np.any([cols[x][1:] != cols[x][:-1] for x in ("key", "i", "j")], axis=0)
         edges = np.append(np.flatnonzero(change), table.num_rows).tolist()
-        found = [_block_pairs(*(cols[x][a:b] for x in ("node", "c", "n", "part")), bags[a:b], cols["i"][a], cols["j"][a], first) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        found, held_keys = [], None if first else table.column("keys")
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            pairs = _block_pairs(*(cols[x][a:b] for x in ("node", "c", "n", "part")), bags[a:b], cols["i"][a], cols["j"][a], first)
+            found.append(pairs if first else _met_here_first(pairs, cols["node"][a:b], held_keys.slice(a, b - a), int(cols["key"][a])))
         pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -252,7 +263,7 @@ def _open_pairs(members: DataFrame, bags: DataFrame, first: bool) -> DataFrame:
     """(a, b) of all pairs of different classes in a bucket of `members` that may be similar, or with `first` the nearest of
     each text. A block holds at most about 2 * BLOCK members, however large the bucket."""
     dealt = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "c").join(bags, "node")
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "c").join(bags.drop("keys") if first else bags, "node")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: _blocks(batches, first), "a bigint, b bigint").distinct()
 
 
@@ -302,7 +313,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         mixed = _mixed_buckets(materialise(placed, "placed"))
         if bags is None:
             wide = mixed.select("key", "node")
-            bags = materialise(texts.join(wide.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node bigint, n bigint, bag binary"), "bags")
+            counted = texts.join(wide.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node bigint, n bigint, bag binary")
+            bags = materialise(counted.join(wide.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "bags")
         fresh = materialise(_open_pairs(mixed, bags, first).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested, links = tested.unionByName(fresh), links.unionByName(verify(fresh))
     found = components(links)
