@@ -16,19 +16,18 @@ from pyspark.sql import functions as F
 from accessgeo.session import checkpointed
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], sign: str, most_rounds: int = 200) -> DataFrame:
-    """Apply `step` until the aggregate `sign` (an SQL expression) no longer changes."""
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], sign: str) -> DataFrame:
+    """Apply `step`, which only ever lowers or only ever raises values, until the aggregate `sign` (an SQL expression) no longer changes."""
     now, before = checkpointed(start), None
-    for _ in range(most_rounds):
+    while True:
         after = now.agg(F.expr(sign).alias("s")).first()["s"]
         if after == before:
             return now
         before, now = after, checkpointed(step(now))
-    raise RuntimeError("no fixed point within the rounds given")
 
 
-#: Edges that one task settles; more are settled by joins.
-LOCAL_EDGES = 100_000
+#: Edges that one task settles; more are settled by joins. Hops of a round of shortest paths, and rows that are broadcast at most.
+LOCAL_EDGES, HOPS, SENT_ROWS = 100_000, 6, 50_000
 
 
 def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,18 +70,33 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataF
 
     `seeds`: keys, node, target; `edges`: keys that the edges depend on (a subset of `keys`), u, v, cost, in
     both directions. Returns keys, node, cost, target; equal costs go to the least target.
+
+    A round moves only the nodes whose cost fell in the round before, HOPS edges far, and keeps what is better than before; so there
+    are about as many rounds as HOPS goes into the most edges of a cheapest path, and there is no limit on them.
     """
     on = [k for k in keys if k in edges.columns]
-    edges = checkpointed(edges)
-    best = F.min(F.struct("cost", "target")).alias("b")
-    start = seeds.groupBy(*keys, "node").agg(F.min(F.struct(F.lit(0).cast("long").alias("cost"), "target")).alias("b")).select(*keys, "node", "b.cost", "b.target")
-
-    def step(now: DataFrame) -> DataFrame:
-        moved = now.withColumnRenamed("node", "u").withColumnRenamed("cost", "c").join(edges.withColumnRenamed("cost", "w"), [*on, "u"])
-        reached = moved.select(*keys, F.col("v").alias("node"), (F.col("c") + F.col("w")).alias("cost"), "target")
-        return now.unionByName(reached).groupBy(*keys, "node").agg(best).select(*keys, "node", "b.cost", "b.target")
-
-    return fixpoint(start, step, "struct(count(*), sum(cost), sum(hash(target)))")
+    edges = checkpointed(edges.groupBy(*on, F.col("u"), F.col("v")).agg(F.min("cost").alias("w")))
+    at = [*keys, "node"]
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*at).agg(F.min(F.struct("cost", "target")).alias("b")).select(*at, "b.cost", "b.target")
+
+    now = front = checkpointed(best(seeds.select(*at, F.lit(0).cast("long").alias("cost"), "target")))
+    while True:
+        reached, step = None, front
+        for _ in range(HOPS):
+            moved = step.withColumnRenamed("node", "u").join(edges, [*on, "u"])
+            step = best(moved.select(*keys, F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), "target"))
+            reached = step if reached is None else reached.unionByName(step)
+        reached = checkpointed(best(reached))
+        sent = F.broadcast(reached) if reached.limit(SENT_ROWS + 1).count() <= SENT_ROWS else reached
+        known = now.join(sent.select(*at), at, "left_semi").select(*at, F.struct("cost", "target").alias("old"))
+        front = checkpointed(reached.join(known, at, "left").where(F.col("old").isNull() | (F.struct("cost", "target") < F.col("old"))).drop("old"))
+        fell = front.count()
+        if not fell:
+            return now
+        gone = front.select(*at)
+        now = checkpointed(now.join(F.broadcast(gone) if fell <= SENT_ROWS else gone, at, "left_anti").unionByName(front))
 
 
 def jump_to_marked(pointers: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accessgeo.operators.fixpoint import fixpoint, jump_to_marked
-from accessgeo.operators.raster import EIGHT, receivers, shifted
+from accessgeo.operators.raster import EIGHT, cell_number, receivers, shifted
 
 
 def fill_pits(cells: DataFrame, z: str = "z") -> DataFrame:
@@ -21,7 +21,7 @@ def fill_pits(cells: DataFrame, z: str = "z") -> DataFrame:
         low = shifted(now.select("row", "col", F.col("fill").alias("f")), EIGHT, ["f"]).groupBy("row", "col").agg(F.min("f").alias("low"))
         return now.join(low, ["row", "col"], "left").select("row", "col", "z", "border", F.when(F.col("border"), F.col("z")).otherwise(F.least("fill", F.greatest("z", F.coalesce("low", "fill")))).alias("fill"))
 
-    return fixpoint(start, step, "sum(fill)").select("row", "col", "z", "fill")
+    return fixpoint(start, step, "bit_xor(xxhash64(row, col, fill))").select("row", "col", "z", "fill")
 
 
 def accumulation(links: DataFrame) -> DataFrame:
@@ -41,11 +41,10 @@ def accumulation(links: DataFrame) -> DataFrame:
 
 def height_above_drainage(cells: DataFrame, least_cells: int, z: str = "z") -> DataFrame:
     """row, col, cells (accumulated), stream and hand (null where no stream is reached) over a surface with receivers."""
-    name = lambda r, c: (F.col(r) * 1_000_000 + F.col(c)).cast("long")
-    down = receivers(cells, z).select("row", "col", name("row", "col").alias("node"), name("to_row", "to_col").alias("next"))
+    down = receivers(cells, z).select("row", "col", cell_number("row", "col").alias("node"), cell_number("to_row", "to_col").alias("next"))
     total = accumulation(down.select("node", "next"))
     marked = down.join(total, "node").withColumn("marked", F.col("cells") >= least_cells)
     root = jump_to_marked(marked.select("node", "next", "marked"))
-    heights = cells.select(name("row", "col").alias("root"), F.col(z).alias("z0"))
+    heights = cells.select(cell_number("row", "col").alias("root"), F.col(z).alias("z0"))
     out = marked.join(root, "node").join(cells.select("row", "col", F.col(z).alias("z1")), ["row", "col"]).join(heights, "root", "left")
     return out.select("row", "col", "cells", F.col("marked").alias("stream"), F.when(F.col("z0").isNotNull(), F.greatest(F.col("z1") - F.col("z0"), F.lit(0.0))).alias("hand"))

@@ -50,9 +50,14 @@ def shifted(cells: DataFrame, offsets: list[tuple[int, int]], keep: list[str]) -
     return moved.select((F.col("row") - F.col("s.a")).alias("row"), (F.col("col") - F.col("s.b")).alias("col"), F.col("s.k").alias("k"), *keep)
 
 
+def cell_number(row: str, col: str) -> Column:
+    """One number for a cell, in the order of rows and columns; both may be any 32-bit integers."""
+    return F.col(row).cast("long") * 2**32 + F.col(col).cast("long")
+
+
 def label_components(cells: DataFrame) -> DataFrame:
     """8-connected components of the rows of (row, col): row, col, comp (the least cell number in it)."""
-    named = cells.select("row", "col", (F.col("row") * 1_000_000 + F.col("col")).cast("long").alias("node"))
+    named = cells.select("row", "col", cell_number("row", "col").alias("node"))
     near = shifted(named, EIGHT[:4], ["node"]).withColumnRenamed("node", "v").drop("k")
     edges = named.join(near, ["row", "col"]).select(F.col("node").alias("u"), "v")
     return named.join(components(named.select("node"), edges), "node").select("row", "col", "comp")

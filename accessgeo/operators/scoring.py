@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def explained(df: DataFrame, values: dict[str, Column], weights: dict[str, float], id_col: str) -> DataFrame:
-    """score, rank and `why` over transformed values; equal scores go by id.
+def explained(df: DataFrame, values: dict[str, Column], weights: dict[str, float], id_col: str, shown: dict[str, Column] | None = None) -> DataFrame:
+    """score, rank and `why` over transformed values; equal scores go by id. `why` tells each value, from `shown` where it was transformed,
+    and what it contributes.
 
     The rank is the number of rows with a higher (score, id): taken in ranges, so that no task orders all rows.
     """
     parts = {k: v.cast("double") * weights[k] for k, v in values.items()}
     score = sum(parts.values(), F.lit(0.0))
-    why = F.array(*[F.format_string(f"{k} contributes %.3f", v) for k, v in parts.items()])
+    why = F.array(*[F.format_string(f"{k}=%s contributes %.3f", (shown or {}).get(k, values[k]).cast("string"), v) for k, v in parts.items()])
     scored = df.withColumn("score", F.round(score, 6)).withColumn("why", F.array_join(why, "; "))
     bucket = F.floor(-F.col("score") / 10)
     sizes = scored.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

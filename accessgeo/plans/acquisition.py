@@ -80,7 +80,7 @@ def stopped_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clipped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = areas.clip_segments(_segments(spark, sf_dir).where("seg_id % 3 <> 2"), 101, 12, 403, 331)
+    out = areas.clip_segments(_segments(spark, sf_dir).withColumn("y1", F.expr("case when seg_id % 3 = 2 then y0 else y1 end")), 101, 12, 403, 331)
     return out.withColumns({c: F.round(c, 6) for c in ("x0", "y0", "x1", "y1", "length")})
 
 
@@ -149,7 +149,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY run, streak ORDER BY epoch) - 1
 z AS (SELECT run, min(epoch) FILTER (stale >= 7) AS till FROM t GROUP BY 1)
 SELECT run, max(epoch) AS last_epoch, arg_max(epoch, (score, -epoch)) AS best_epoch, max(score) AS best_score FROM t JOIN z USING (run) WHERE till IS NULL OR epoch <= till GROUP BY 1
 """,
-    "clipped_segments": _q(PIXELS + "," + SEGMENTS + ", k AS (SELECT seg_id, greatest(x0, 101) AS a, greatest(y0, 12) AS b, least(x1, 403) AS c, least(y1, 331) AS d FROM sg WHERE seg_id % 3 <> 2)", "SELECT seg_id, a::DOUBLE AS x0, b::DOUBLE AS y0, c::DOUBLE AS x1, d::DOUBLE AS y1, (c - a + d - b)::DOUBLE AS length FROM k WHERE c >= a AND d >= b AND c - a + d - b > 0"),
+    "clipped_segments": _q(PIXELS + "," + SEGMENTS + ", k AS (SELECT seg_id, greatest(x0, 101) AS a, greatest(y0, 12) AS b, least(x1, 403) AS c, least(CASE WHEN seg_id % 3 = 2 THEN y0 ELSE y1 END, 331) AS d FROM sg)", "SELECT seg_id, a::DOUBLE AS x0, b::DOUBLE AS y0, c::DOUBLE AS x1, d::DOUBLE AS y1, (c - a + d - b)::DOUBLE AS length FROM k WHERE c >= a AND d >= b AND c - a + d - b > 0"),
     "blended_patches": _q(PIXELS + """, p AS (SELECT row, col, p_post, row - row % 4 - i AS tr, col - col % 4 - j AS tc FROM px, (VALUES (0), (4)) a(i), (VALUES (0), (4)) b(j)),
 w AS (SELECT row, col, p_post + (((tr + tc) % 3) + 3) % 3 * 0.01::DOUBLE AS v, greatest(sin(pi() * (row - tr + 0.5) / 8) ** 2, 0.001) * greatest(sin(pi() * (col - tc + 0.5) / 8) ** 2, 0.001) AS w FROM p)""", "SELECT row, col, round(sum(v * w) / sum(w), 8) AS value, count(*) AS patches FROM w GROUP BY 1, 2"),
     "resampled_heights": _q(PIXELS + """, n AS (SELECT p.id, q.hand, CASE WHEN a = 1 THEN p.id % 4 * 0.25 ELSE 1 - p.id % 4 * 0.25 END * CASE WHEN b = 1 THEN p.id % 2 * 0.5 ELSE 1 - p.id % 2 * 0.5 END AS w FROM px p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(a, b) LEFT JOIN px q ON q.row = p.row + b AND q.col = p.col + a)""", "SELECT id, CASE WHEN count(hand) = count(*) THEN round(sum(hand * w)::DOUBLE, 8) END AS hand FROM n WHERE w > 0 GROUP BY 1"),

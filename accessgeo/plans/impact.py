@@ -17,7 +17,7 @@ KINDS_SQL = "seg_id % 7 IN (0, 3) AS is_bridge, seg_id % 7 = 1 AS is_tunnel, seg
 
 
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).where("seg_id % 3 <> 2").selectExpr("*", "seg_id % 7 in (0, 3) as is_bridge", "seg_id % 7 = 1 as is_tunnel", "seg_id % 7 = 2 as is_ford")
+    return _segments(spark, sf_dir).withColumn("y1", F.expr("case when seg_id % 3 = 2 then y0 else y1 end")).selectExpr("*", "seg_id % 7 in (0, 3) as is_bridge", "seg_id % 7 = 1 as is_tunnel", "seg_id % 7 = 2 as is_ford")
 
 
 def line_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +38,9 @@ def damage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells whose centre lies in one of the triangles around every 31st pixel."""
+    """Cells whose centre lies in one of the triangles beside the pixels."""
     px = adapters.pixels(spark, sf_dir)
-    corners = px.where("id % 31 = 0").selectExpr("id as poly_id", "explode(array(struct(0 as dx0, 0 as dy0, 47 as dx1, 13 as dy1), struct(47 as dx0, 13 as dy0, 5 as dx1, 61 as dy1), struct(5 as dx0, 61 as dy0, 0 as dx1, 0 as dy1))) as e", "col * 10 + 1 as x", "row * 10 + 2 as y")
+    corners = px.selectExpr("id as poly_id", "explode(array(struct(0 as dx0, 0 as dy0, 47 as dx1, 13 as dy1), struct(47 as dx0, 13 as dy0, 5 as dx1, 61 as dy1), struct(5 as dx0, 61 as dy0, 0 as dx1, 0 as dy1))) as e", "col * 10 + 1 as x", "row * 10 + 2 as y")
     edges = corners.selectExpr("poly_id", "cast(x + e.dx0 as double) as x0", "cast(y + e.dy0 as double) as y0", "cast(x + e.dx1 as double) as x1", "cast(y + e.dy1 as double) as y1")
     return damage.inside_polygons(px, edges, 10)
 
@@ -124,7 +124,7 @@ def _damage_sql(name: str, cells: str) -> str:
 """
 
 
-KD = PIXELS + "," + SEGMENTS + f", kd AS (SELECT *, {KINDS_SQL} FROM sg WHERE seg_id % 3 <> 2), wetc AS (SELECT row, col, tier FROM cells WHERE tier > 0)," + _damage_sql("dmg", "wetc")
+KD = PIXELS + "," + SEGMENTS + f", kd AS (SELECT * REPLACE (CASE WHEN seg_id % 3 = 2 THEN y0 ELSE y1 END AS y1), {KINDS_SQL} FROM sg), wetc AS (SELECT row, col, tier FROM cells WHERE tier > 0)," + _damage_sql("dmg", "wetc")
 DAMAGED = ROADS + "," + PLACES + "," + ACCESS + """, gone AS (SELECT link_id, evidence_tier, x.comp AS ca, y.comp AS cb FROM links JOIN comp x ON x.scenario = 'likely' AND x.node = a JOIN comp y ON y.scenario = 'likely' AND y.node = b WHERE lost_likely),
  back AS (SELECT g.link_id, i.osm_id, lost_h AND EXISTS (SELECT 1 FROM dest d JOIN comp z ON z.scenario = 'likely' AND z.node = d.loc WHERE d.class = 'hospital' AND d.osm_id <> i.osm_id AND z.comp IN (g.ca, g.cb)) AS h, lost_t AND EXISTS (SELECT 1 FROM dest d JOIN comp z ON z.scenario = 'likely' AND z.node = d.loc WHERE d.class = 'town' AND d.osm_id <> i.osm_id AND z.comp IN (g.ca, g.cb)) AS t
   FROM gone g JOIN comp c ON c.scenario = 'likely' AND c.comp IN (g.ca, g.cb) JOIN isolated i ON i.loc = c.node),
@@ -135,7 +135,7 @@ SQL = {
     "merged_damage": _q(KD + ", debc AS (SELECT row, col, 1 AS tier FROM cells WHERE valid AND NOT water_post AND dvv >= 3)," + _damage_sql("deb", "debc"),
         "SELECT f.seg_id, f.flooded, d.flooded AS candidate_m, f.hit AS flood_hit, d.hit AS candidate_hit, f.hit OR d.hit AS hit, CASE WHEN NOT f.hit AND d.hit THEN 1 ELSE f.damage_tier END AS damage_tier, CASE WHEN f.hit THEN 'flood' WHEN d.hit THEN 'debris_candidate' ELSE 'none' END AS evidence_source FROM dmg f JOIN deb d USING (seg_id)"),
     "damage_summary": _q(KD, f"SELECT {list(SPEEDS)}[seg_id % 15 + 1] AS highway, count(*) AS segments, count(*) FILTER (hit) AS hits, " + ", ".join(f"count(*) FILTER (hit AND damage_tier = {k}) AS tier{k}" for k in (1, 2, 3)) + ", round(coalesce(sum(length) FILTER (hit), 0) / 1000, 6) AS hit_km, round(sum(flooded) / 1000, 6) AS flooded_km FROM dmg GROUP BY 1"),
-    "polygon_cells": _q(PIXELS + """, tri AS (SELECT id AS poly_id, col * 10 + 1 + e.a AS x0, row * 10 + 2 + e.b AS y0, col * 10 + 1 + e.c AS x1, row * 10 + 2 + e.d AS y1 FROM px, (VALUES (0, 0, 47, 13), (47, 13, 5, 61), (5, 61, 0, 0)) e(a, b, c, d) WHERE id % 31 = 0)""",
+    "polygon_cells": _q(PIXELS + """, tri AS (SELECT id AS poly_id, col * 10 + 1 + e.a AS x0, row * 10 + 2 + e.b AS y0, col * 10 + 1 + e.c AS x1, row * 10 + 2 + e.d AS y1 FROM px, (VALUES (0, 0, 47, 13), (47, 13, 5, 61), (5, 61, 0, 0)) e(a, b, c, d))""",
         "SELECT poly_id, p.row, p.col FROM px p JOIN tri ON row * 10 + 5 >= least(y0, y1) AND row * 10 + 5 < greatest(y0, y1) AND x0 + (row * 10 + 5 - y0)::DOUBLE / (y1 - y0) * (x1 - x0) > col * 10 + 5 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1"),
     "road_pieces": """
 WITH v0 AS (SELECT o_orderkey AS way, i, (o_custkey % 100 + i * (1 + o_orderkey % 3)) * 100 AS x, (o_custkey // 100 + i * (o_orderkey % 2)) * 100 AS y FROM orders, range(5) t(i) WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P'),
@@ -160,7 +160,7 @@ hc AS (SELECT node, cost FROM cost WHERE scenario = 'baseline' AND class = 'hosp
 ahead AS (SELECT u.node, arg_min(e.v, (e.v, e.link_id)) AS next, arg_min(e.hit, (e.v, e.link_id)) AS hit FROM hc u JOIN (SELECT a AS u, b AS v, travel_ms, link_id, fastest_hit AS hit FROM links UNION ALL SELECT b, a, travel_ms, link_id, fastest_hit FROM links) e ON e.u = u.node JOIN hc w ON w.node = e.v WHERE u.cost > 0 AND w.cost + e.travel_ms = u.cost GROUP BY 1),
 walk(node, links, responsible) AS (SELECT node, 0, 0 FROM hc WHERE cost = 0 UNION ALL SELECT a.node, w.links + 1, w.responsible + a.hit::INT FROM walk w JOIN ahead a ON a.next = w.node)""",
         "SELECT node, links, responsible FROM walk", True),
-    "link_priorities": _q(DAMAGED + ", s AS (SELECT *, count * 10.0::DOUBLE + hospital * 20 + town * 10 + evidence_tier * 3 AS score FROM dl WHERE count > 0)", "SELECT link_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, link_id) AS rank, format('settlements contributes {:.3f}; hospital contributes {:.3f}; town contributes {:.3f}; evidence contributes {:.3f}', count * 10.0::DOUBLE, hospital * 20.0::DOUBLE, town * 10.0::DOUBLE, evidence_tier * 3.0::DOUBLE) AS why FROM s", True),
+    "link_priorities": _q(DAMAGED + ", s AS (SELECT *, count * 10.0::DOUBLE + hospital * 20 + town * 10 + evidence_tier * 3 AS score FROM dl WHERE count > 0)", "SELECT link_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, link_id) AS rank, format('settlements={} contributes {:.3f}; hospital={} contributes {:.3f}; town={} contributes {:.3f}; evidence={} contributes {:.3f}', count, count * 10.0::DOUBLE, hospital, hospital * 20.0::DOUBLE, town, town * 10.0::DOUBLE, evidence_tier, evidence_tier * 3.0::DOUBLE) AS why FROM s", True),
     "links_without_leverage": _q(DAMAGED, "SELECT link_id, evidence_tier FROM dl WHERE count = 0", True),
     "data_gaps": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT osm_id, snapped, CASE WHEN NOT snapped THEN 'not on the network' ELSE 'no baseline road access: ' || concat_ws(', ', CASE WHEN NOT baseline_hospital THEN 'hospital' END, CASE WHEN NOT baseline_town THEN 'town' END) END AS reason FROM isolated WHERE status = 'UNCERTAIN' AND (NOT snapped OR NOT baseline_hospital OR NOT baseline_town) AND NOT ((baseline_hospital AND NOT possible_hospital) OR (baseline_town AND NOT possible_town))", True),
     "status_tallies": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT t.s AS status, count(i.osm_id) AS n FROM (VALUES ('CUT OFF'), ('UNCERTAIN'), ('CONNECTED')) t(s) LEFT JOIN isolated i ON i.status = t.s GROUP BY 1", True),

@@ -14,7 +14,7 @@ cm AS (SELECT *, water_post AND water_pre AS preexisting, water_post AND NOT wat
 cells AS (SELECT *, CASE WHEN new_water AND plausible AND support AND p_post >= 0.8 AND p_pre < 0.2 THEN 3 WHEN new_water AND plausible AND (support OR p_post >= 0.8) THEN 2 WHEN new_water AND plausible THEN 1 ELSE 0 END AS tier FROM cm)
 """
 COMPONENTS = """
-wet AS (SELECT row, col, tier, (row * 1000000 + col)::BIGINT AS node FROM cells WHERE tier > 0),
+wet AS (SELECT row, col, tier, (row::BIGINT * 4294967296 + col) AS node FROM cells WHERE tier > 0),
 we AS (SELECT a.node AS u, b.node AS v FROM wet a JOIN wet b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.node <> b.node),
 cc(n, l) USING KEY (n) AS (SELECT node, node FROM wet UNION SELECT e.v, min(cc.l) FROM cc JOIN we e ON e.u = cc.n JOIN recurring.cc r ON r.n = e.v WHERE cc.l < r.l GROUP BY e.v),
 lab AS (SELECT w.row, w.col, w.tier, cc.l AS comp FROM wet w JOIN cc ON cc.n = w.node)
@@ -102,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
         "flood_pixels": _q(PIXELS, "SELECT row, col, water_post, water_pre, preexisting, new_water, plausible, excluded, support, tier FROM cells"),
         "flood_components": _q(PIXELS + "," + COMPONENTS, "SELECT row, col, comp, count(*) OVER (PARTITION BY comp) AS size, count(*) OVER (PARTITION BY comp) >= 2 AS kept FROM lab", True),
         "component_statistics": _q(PIXELS + "," + COMPONENTS, "SELECT comp, count(*) AS size, max(tier) AS max_tier, quantile_cont(tier, 0.5)::DOUBLE AS median_tier FROM lab GROUP BY comp", True),
-        "hole_filling": _q(PIXELS + """, dry AS (SELECT row, col, (row * 1000000 + col)::BIGINT AS node, valid AND plausible AND NOT water_pre AS eligible FROM cells WHERE NOT p_post >= 0.3),
+        "hole_filling": _q(PIXELS + """, dry AS (SELECT row, col, (row::BIGINT * 4294967296 + col) AS node, valid AND plausible AND NOT water_pre AS eligible FROM cells WHERE NOT p_post >= 0.3),
           de AS (SELECT a.node AS u, b.node AS v FROM dry a JOIN dry b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.node <> b.node),
           dc(n, l) USING KEY (n) AS (SELECT node, node FROM dry UNION SELECT e.v, min(dc.l) FROM dc JOIN de e ON e.u = dc.n JOIN recurring.dc r ON r.n = e.v WHERE dc.l < r.l GROUP BY e.v),
           ed AS (SELECT min(row) r0, max(row) r1, min(col) c0, max(col) c1 FROM cells),
@@ -117,7 +117,7 @@ def oracle_sql() -> dict[str, str]:
           h AS (SELECT row, col, CASE WHEN w IS NULL THEN e - z WHEN e IS NULL THEN z - w ELSE (e - w) / 2 END / 10 AS gx, CASE WHEN n IS NULL THEN s - z WHEN s IS NULL THEN z - n ELSE (s - n) / 2 END / 10 AS gy FROM g)""", "SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope FROM h"),
         "flow_receivers": _q(PIXELS + "," + FLOW, "SELECT row, col, to_row, to_col FROM recv"),
         "filled_pits": _q(PIXELS + """, ed AS (SELECT min(row) r0, max(row) r1, min(col) c0, max(col) c1, max(hand) AS top FROM px),
-          zz AS (SELECT row, col, (row * 1000000 + col)::BIGINT AS node, hand AS z, row = r0 OR row = r1 OR col = c0 OR col = c1 AS border, top FROM px, ed),
+          zz AS (SELECT row, col, (row::BIGINT * 4294967296 + col) AS node, hand AS z, row = r0 OR row = r1 OR col = c0 OR col = c1 AS border, top FROM px, ed),
           ne AS (SELECT a.node AS u, b.node AS v, b.z, b.border FROM zz a JOIN zz b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.node <> b.node),
           ff(n, f) USING KEY (n) AS (SELECT node, CASE WHEN border THEN z ELSE top END FROM zz UNION SELECT e.v, min(greatest(e.z, ff.f)) FROM ff JOIN ne e ON e.u = ff.n JOIN recurring.ff r ON r.n = e.v WHERE NOT e.border AND greatest(e.z, ff.f) < r.f GROUP BY e.v)""", "SELECT row, col, z, f AS fill FROM zz JOIN ff ON ff.n = node", True),
         "drainage_height": _q(PIXELS + "," + FLOW + """, walk(row, col, r, c, steps) AS (SELECT row, col, row, col, 0 FROM recv UNION ALL SELECT w.row, w.col, t.to_row, t.to_col, steps + 1 FROM walk w JOIN recv t ON t.row = w.r AND t.col = w.c WHERE t.to_row IS NOT NULL),
@@ -138,7 +138,7 @@ def oracle_sql() -> dict[str, str]:
             FROM sg JOIN cells ON tier > 0 AND col BETWEEN floor(least(x0, x1) / 10) AND floor(greatest(x0, x1) / 10) AND row BETWEEN floor(least(y0, y1) / 10) AND floor(greatest(y0, y1) / 10)),
           f AS (SELECT seg_id, sum((hi - lo) * len) AS flooded, max(tier) AS tier FROM m WHERE hi > lo GROUP BY 1),
           o AS (SELECT sg.seg_id, round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) AS length, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len, round(coalesce(flooded, 0), 6) AS flooded, coalesce(tier, 0) AS tier FROM sg LEFT JOIN f USING (seg_id))""", "SELECT seg_id, length, flooded, tier, flooded > 0 AND (flooded >= 20 OR flooded / len >= 0.1) AS hit FROM o"),
-        "line_samples": _q(PIXELS + "," + SEGMENTS + """, k AS (SELECT *, greatest(ceil(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / 5), 1)::INT AS n FROM sg WHERE seg_id % 3 <> 2), p AS (SELECT seg_id, floor((y0 + i / n * (y1 - y0)) / 10)::INT AS row, floor((x0 + i / n * (x1 - x0)) / 10)::INT AS col FROM k, LATERAL (SELECT unnest(range(n + 1)) AS i))""", "SELECT seg_id, count(*) AS samples, count(c.tier) AS wet, coalesce(quantile_cont(c.tier, 0.5), 0)::DOUBLE AS median_tier FROM p LEFT JOIN cells c ON c.tier > 0 AND c.row = p.row AND c.col = p.col GROUP BY 1"),
+        "line_samples": _q(PIXELS + "," + SEGMENTS + """, k AS (SELECT *, greatest(ceil(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / 5), 1)::INT AS n FROM sg), p AS (SELECT seg_id, floor((y0 + i / n * (y1 - y0)) / 10)::INT AS row, floor((x0 + i / n * (x1 - x0)) / 10)::INT AS col FROM k, LATERAL (SELECT unnest(range(n + 1)) AS i))""", "SELECT seg_id, count(*) AS samples, count(c.tier) AS wet, coalesce(quantile_cont(c.tier, 0.5), 0)::DOUBLE AS median_tier FROM p LEFT JOIN cells c ON c.tier > 0 AND c.row = p.row AND c.col = p.col GROUP BY 1"),
         "road_links": _q(ROADS, "SELECT * FROM links"),
         "scenario_links": _q(ROADS, "SELECT a, b, travel_ms, fastest, members, scenario FROM surv WHERE scenario <> 'baseline'"),
         "road_components": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT node, comp FROM comp WHERE scenario = 'baseline'", True),
@@ -154,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
         "detours": _q(ROADS + "," + PLACES + "," + SP + ", w AS (SELECT node, min(cost) FILTER (scenario = 'baseline') AS before, min(cost) FILTER (scenario = 'likely') AS after FROM cost WHERE class = 'hospital' GROUP BY 1), r AS (SELECT *, CASE WHEN before IS NULL OR after IS NULL THEN NULL WHEN before = 0 THEN 1.0::DOUBLE ELSE after / before END AS x FROM w)", "SELECT node, before, after, round(x, 9) AS ratio, CASE WHEN before IS NULL THEN 'unmapped' WHEN after IS NULL THEN 'none' WHEN x > 1.5 THEN 'degraded' ELSE 'full' END AS detail FROM r", True),
         "snapped_settlements": _q(ROADS + "," + PLACES + ", nd AS (SELECT node, (node % 100) * 100 AS x, (node // 100) * 100 AS y FROM nodes), pr AS (SELECT s.osm_id, (s.x + 37 - nd.x) ** 2 + (s.y - 21 - nd.y) ** 2 AS d2, node FROM subjects s JOIN nd ON abs(s.x + 37 - nd.x) <= 120 AND abs(s.y - 21 - nd.y) <= 120), bs AS (SELECT osm_id, arg_min(node, (d2, node)) AS node, min(d2) AS d2 FROM pr WHERE d2 <= 14400 GROUP BY 1)", "SELECT s.osm_id, node, round(sqrt(d2), 6) AS distance FROM subjects s LEFT JOIN bs USING (osm_id)"),
         "buildings_near": _q(PLACES + "," + BUILDINGS, "SELECT osm_id, buildings FROM buildings"),
-        "settlement_priorities": _q(ROADS + "," + PLACES + "," + ACCESS + "," + BUILDINGS + ", sv AS (SELECT osm_id, lost_h::INT AS h, lost_t::INT AS t, least(log10(buildings + 1), 3) AS b FROM isolated JOIN buildings USING (osm_id) WHERE status = 'CUT OFF'), sr AS (SELECT *, round(0.0::DOUBLE + 100 + h * 50.0::DOUBLE + t * 20.0::DOUBLE + b * 10.0::DOUBLE, 6) AS score FROM sv)", "SELECT osm_id, score, row_number() OVER (ORDER BY score DESC, osm_id) AS rank, format('status contributes 100.000; hospital contributes {:.3f}; town contributes {:.3f}; buildings contributes {:.3f}', h * 50.0::DOUBLE, t * 20.0::DOUBLE, b * 10) AS why FROM sr", True),
+        "settlement_priorities": _q(ROADS + "," + PLACES + "," + ACCESS + "," + BUILDINGS + ", sv AS (SELECT osm_id, lost_h::INT AS h, lost_t::INT AS t, least(log10(buildings + 1), 3) AS b, buildings FROM isolated JOIN buildings USING (osm_id) WHERE status = 'CUT OFF'), sr AS (SELECT *, round(0.0::DOUBLE + 100 + h * 50.0::DOUBLE + t * 20.0::DOUBLE + b * 10.0::DOUBLE, 6) AS score FROM sv)", "SELECT osm_id, score, row_number() OVER (ORDER BY score DESC, osm_id) AS rank, format('status=CUT OFF contributes 100.000; hospital={} contributes {:.3f}; town={} contributes {:.3f}; buildings={} contributes {:.3f}', h, h * 50.0::DOUBLE, t, t * 20.0::DOUBLE, buildings, b * 10) AS why FROM sr", True),
         "confusion_by_region": _q(LABELS + ", c AS (SELECT region, " + COUNTS.format(t=0.5) + " FROM known GROUP BY ROLLUP (region))", f"SELECT *, {RATIOS} FROM c"),
         "threshold_sweep": _q(LABELS + ", c AS (SELECT k / 20.0::DOUBLE AS threshold, " + COUNTS.format(t="k / 20.0::DOUBLE") + " FROM known, range(1, 20) t(k) GROUP BY k)", f"SELECT *, {RATIOS} FROM c"),
         "best_threshold": _q(LABELS + ", c AS (SELECT k / 20.0::DOUBLE AS threshold, " + COUNTS.format(t="k / 20.0::DOUBLE") + f" FROM known, range(1, 20) t(k) GROUP BY k), r AS (SELECT *, {RATIOS} FROM c)", "SELECT arg_max(threshold, (f1, -abs(threshold - 0.5), -threshold)) AS threshold, max(f1) AS f1 FROM r"),

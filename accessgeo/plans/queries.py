@@ -142,7 +142,7 @@ def line_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposure.line_samples(_segments(spark, sf_dir).where("seg_id % 3 <> 2"), _cells(spark, sf_dir).where("tier > 0"), 10)
+    return exposure.line_samples(_segments(spark, sf_dir), _cells(spark, sf_dir).where("tier > 0"), 10)
 
 
 def road_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +215,8 @@ def buildings_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settlement_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _isolated(spark, sf_dir).where("status = 'CUT OFF'").join(buildings_near(spark, sf_dir), "osm_id")
     values = {"status": F.lit(STATUS_POINTS["CUT OFF"]), "hospital": F.col("lost_likely_hospital").cast("int"), "town": F.col("lost_likely_town").cast("int"), "buildings": F.least(F.log10(F.col("buildings") + 1), F.lit(3.0))}
-    return scoring.explained(rows, values, SETTLEMENT_WEIGHTS, "osm_id").select("osm_id", "score", "rank", "why")
+    shown = {"status": F.lit("CUT OFF"), "buildings": F.col("buildings")}
+    return scoring.explained(rows, values, SETTLEMENT_WEIGHTS, "osm_id", shown).select("osm_id", "score", "rank", "why")
 
 
 def confusion_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
