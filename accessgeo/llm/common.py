@@ -16,11 +16,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: `spark.checkpoint.dir`, or one of our own where that is unset."""
+    """The folder all machines share: `spark.checkpoint.dir`, or one of our own where that is unset and all runs on this machine."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.conf.get("spark.accessgeo.scratch", None)
         if not at:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             at = "file://" + tempfile.mkdtemp(prefix="accessgeo-")
             spark.conf.set("spark.accessgeo.scratch", at)
     return at.rstrip("/")
