@@ -46,11 +46,11 @@ def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways of five vertices on a lattice, one per late order; in every fourth a vertex is there twice."""
-    o = read(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW' and o_orderstatus = 'P'")
+    """Ways of five vertices on a lattice, one per order; in every fourth a vertex is there twice."""
+    o = read(spark, sf_dir, "orders")
     at = o.selectExpr("o_orderkey as way", "o_custkey as c", "explode(case when o_orderkey % 4 = 0 then array(0, 1, 2, 2, 3, 4) else array(0, 1, 2, 3, 4) end) as i", "o_orderkey as k")
     return at.selectExpr("way", "c", "k", "i").groupBy("way", "i").agg(F.first("c").alias("c"), F.first("k").alias("k"), F.count(F.lit(1)).alias("n")).selectExpr(
-        "way", "i", "(c % 100 + i * (1 + k % 3)) * 100 as x", "(c div 100 + i * (k % 2)) * 100 as y", "explode(sequence(1, n)) as twice").selectExpr("way", "i * 2 + twice as idx", "x", "y")
+        "way", "i", "(c % 100 * 10 + k % 10 + i * (1 + k % 3)) * 100 as x", "(c div 100 * 7 + k % 7 + i * (k % 2)) * 100 as y", "explode(sequence(1, n)) as twice").selectExpr("way", "i * 2 + twice as idx", "x", "y")
 
 
 def road_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ SQL = {
     "polygon_cells": _q(PIXELS + """, tri AS (SELECT id AS poly_id, col * 10 + 1 + e.a AS x0, row * 10 + 2 + e.b AS y0, col * 10 + 1 + e.c AS x1, row * 10 + 2 + e.d AS y1 FROM px, (VALUES (0, 0, 47, 13), (47, 13, 5, 61), (5, 61, 0, 0)) e(a, b, c, d))""",
         "SELECT poly_id, p.row, p.col FROM px p JOIN tri ON row * 10 + 5 >= least(y0, y1) AND row * 10 + 5 < greatest(y0, y1) AND x0 + (row * 10 + 5 - y0)::DOUBLE / (y1 - y0) * (x1 - x0) > col * 10 + 5 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1"),
     "road_pieces": """
-WITH v0 AS (SELECT o_orderkey AS way, i, (o_custkey % 100 + i * (1 + o_orderkey % 3)) * 100 AS x, (o_custkey // 100 + i * (o_orderkey % 2)) * 100 AS y FROM orders, range(5) t(i) WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P'),
+WITH v0 AS (SELECT o_orderkey AS way, i, (o_custkey % 100 * 10 + o_orderkey % 10 + i * (1 + o_orderkey % 3)) * 100 AS x, (o_custkey // 100 * 7 + o_orderkey % 7 + i * (o_orderkey % 2)) * 100 AS y FROM orders, range(5) t(i)),
 j AS (SELECT x, y FROM v0 GROUP BY 1, 2 HAVING count(DISTINCT way) > 1),
 m AS (SELECT v0.*, j.x IS NOT NULL OR i IN (0, 4) AS cut FROM v0 LEFT JOIN j USING (x, y)),
 c AS (SELECT way, i, x, y, row_number() OVER (PARTITION BY way ORDER BY i) - 1 AS piece, lead(i) OVER (PARTITION BY way ORDER BY i) AS till, lead(x) OVER (PARTITION BY way ORDER BY i) AS x2, lead(y) OVER (PARTITION BY way ORDER BY i) AS y2 FROM m WHERE cut)

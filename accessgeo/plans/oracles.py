@@ -20,7 +20,7 @@ cc(n, l) USING KEY (n) AS (SELECT node, node FROM wet UNION SELECT e.v, min(cc.l
 lab AS (SELECT w.row, w.col, w.tier, cc.l AS comp FROM wet w JOIN cc ON cc.n = w.node)
 """
 ROADS = f"""
-mem AS (SELECT o_custkey AS u, o_custkey + 1 + o_orderkey % 5 AS v, o_orderkey AS k, t.twin FROM orders, (VALUES (0), (1)) t(twin) WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P' AND (t.twin = 0 OR o_orderkey % 4 = 0)),
+mem AS (SELECT o_custkey * 10 + o_orderkey % 10 AS u, o_custkey * 10 + o_orderkey % 10 + 1 + o_orderkey % 7 AS v, o_orderkey AS k, t.twin FROM orders, (VALUES (0), (1)) t(twin) WHERE t.twin = 0 OR o_orderkey % 4 = 0),
 members AS (SELECT least(u, v) AS a, greatest(u, v) AS b, k * 2 + twin AS member_id, (100 + k % 900 + 50 * twin) AS length_m, {list(SPEEDS)}[k % 15 + 1] AS highway, ((100 + k % 900 + 50 * twin) * 3600 // {list(SPEEDS.values())}[k % 15 + 1])::BIGINT AS travel_ms,
   ((k + twin) // 7) % 9 = 0 AS hit, (1 + (k // 11) % 3)::INT AS tier, k % 5 = 0 AS is_bridge FROM mem),
 links AS (SELECT a || '-' || b AS link_id, a, b, min(travel_ms) AS travel_ms, arg_min(member_id, (travel_ms, member_id)) AS fastest, arg_min(length_m, (travel_ms, member_id)) AS length_m, arg_min(hit, (travel_ms, member_id)) AS fastest_hit, count(*) AS members,
@@ -30,9 +30,8 @@ surv AS (SELECT s.name AS scenario, a, b, min(travel_ms) AS travel_ms, arg_min(m
 nodes AS (SELECT a AS node FROM links UNION SELECT b FROM links)
 """
 PLACES = """
-subjects AS (SELECT 's' || c_custkey AS osm_id, c_custkey AS loc, (c_custkey % 100) * 100 AS x, (c_custkey // 100) * 100 AS y, CASE WHEN c_custkey % 3 = 0 AND c_mktsegment = 'BUILDING' THEN 'town' ELSE 'village' END AS place FROM customer
-  WHERE (c_custkey % 3 = 0 AND c_mktsegment = 'BUILDING') OR (c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING')),
-dest AS (SELECT 'h' || s_suppkey AS osm_id, s_suppkey * 3 + s_suppkey % 4 AS loc, CASE WHEN s_suppkey % 4 = 0 THEN 'hospital' ELSE 'clinic' END AS class FROM supplier WHERE s_suppkey % 4 < 2
+subjects AS (SELECT 's' || c_custkey AS osm_id, c_custkey * 10 AS loc, (c_custkey % 100) * 100 AS x, (c_custkey // 100) * 100 AS y, CASE WHEN c_custkey % 3 = 0 AND c_mktsegment = 'BUILDING' THEN 'town' WHEN c_custkey % 2 = 0 THEN 'village' ELSE 'hamlet' END AS place FROM customer),
+dest AS (SELECT 'h' || s_suppkey AS osm_id, s_suppkey * 30 + s_suppkey % 4 AS loc, CASE WHEN s_suppkey % 4 < 2 THEN 'hospital' ELSE 'clinic' END AS class FROM supplier
   UNION ALL SELECT osm_id, loc, 'town' FROM subjects WHERE place = 'town')
 """
 ACCESS = """

@@ -19,11 +19,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def road_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One road piece per late order, with a twin beside every fourth: u, v, member_id, exposure and attributes."""
-    orders = read(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW' and o_orderstatus = 'P'")
+    """One road piece per order, with a twin beside every fourth: u, v, member_id, exposure and attributes. Ten nodes lie between
+    one customer's place and the next."""
+    orders = read(spark, sf_dir, "orders")
     classes = F.array(*[F.lit(c) for c in SPEEDS])
     speeds = F.array(*[F.lit(v) for v in SPEEDS.values()])
-    base = orders.selectExpr("o_orderkey as k", "o_custkey as u", "o_custkey + 1 + o_orderkey % 5 as v", "explode(case when o_orderkey % 4 = 0 then array(0, 1) else array(0) end) as twin")
+    base = orders.selectExpr("o_orderkey as k", "o_custkey * 10 + o_orderkey % 10 as u", "o_custkey * 10 + o_orderkey % 10 + 1 + o_orderkey % 7 as v", "explode(case when o_orderkey % 4 = 0 then array(0, 1) else array(0) end) as twin")
     at = (F.col("k") % 15 + 1).cast("int")
     length = 100 + F.col("k") % 900 + 50 * F.col("twin")
     return base.select(
@@ -32,16 +33,16 @@ def road_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settlements: villages and towns, one per customer: osm_id, node, x, y, place."""
+    """Settlements, one per customer, towns, villages and hamlets: osm_id, node, x, y, place."""
     c = read(spark, sf_dir, "customer")
     town = "c_custkey % 3 = 0 and c_mktsegment = 'BUILDING'"
-    return c.where(f"({town}) or (c_custkey % 2 = 0 and c_mktsegment <> 'BUILDING')").selectExpr("concat('s', c_custkey) as osm_id", "c_custkey as at", "(c_custkey % 100) * 100 as x", "(c_custkey div 100) * 100 as y", f"case when {town} then 'town' else 'village' end as place")
+    return c.selectExpr("concat('s', c_custkey) as osm_id", "c_custkey * 10 as at", "(c_custkey % 100) * 100 as x", "(c_custkey div 100) * 100 as y", f"case when {town} then 'town' when c_custkey % 2 = 0 then 'village' else 'hamlet' end as place")
 
 
 def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hospitals and clinics at suppliers, and the towns: osm_id, node, class."""
+    """A hospital or a clinic at each supplier, and the towns: osm_id, node, class."""
     s = read(spark, sf_dir, "supplier")
-    care = s.where("s_suppkey % 4 < 2").selectExpr("concat('h', s_suppkey) as osm_id", "s_suppkey * 3 + s_suppkey % 4 as at", "case when s_suppkey % 4 = 0 then 'hospital' else 'clinic' end as class")
+    care = s.selectExpr("concat('h', s_suppkey) as osm_id", "s_suppkey * 30 + s_suppkey % 4 as at", "case when s_suppkey % 4 < 2 then 'hospital' else 'clinic' end as class")
     return care.unionByName(subjects(spark, sf_dir).where("place = 'town'").selectExpr("osm_id", "at", "'town' as class"))
 
 
