@@ -86,7 +86,7 @@ rn AS (SELECT DISTINCT scenario, u AS node FROM re),
 rc AS (SELECT scenario, class, node, 0::BIGINT AS cost FROM dest JOIN rn ON rn.node = dest.loc),
 seed AS (SELECT rn.scenario, c.class, rn.node, CASE WHEN EXISTS (SELECT 1 FROM rc WHERE rc.scenario = rn.scenario AND rc.class = c.class AND rc.node = rn.node) THEN 0 ELSE 1000000000000 END::BIGINT AS cost FROM rn, (VALUES ('hospital'), ('town'), ('clinic')) c(class)),
 sp(s, c, n, d) USING KEY (s, c, n) AS (SELECT scenario, class, node, cost FROM seed UNION SELECT e.scenario, sp.c, e.v, min(sp.d + e.w) FROM sp JOIN re e ON e.u = sp.n AND e.scenario = sp.s JOIN recurring.sp r ON r.n = e.v AND r.s = sp.s AND r.c = sp.c WHERE sp.d + e.w < r.d GROUP BY 1, 2, 3),
-cost AS (SELECT s AS scenario, c AS class, n AS node, d AS cost FROM sp WHERE d < 1000000000000)
+cost AS MATERIALIZED (SELECT s AS scenario, c AS class, n AS node, d AS cost FROM sp WHERE d < 1000000000000)
 """
 
 
@@ -148,8 +148,10 @@ def oracle_sql() -> dict[str, str]:
         "damaged_links": _q(ROADS + "," + PLACES + "," + ACCESS + """, gone AS (SELECT link_id, evidence_tier, x.comp AS ca, y.comp AS cb FROM links JOIN comp x ON x.scenario = 'likely' AND x.node = a JOIN comp y ON y.scenario = 'likely' AND y.node = b WHERE lost_likely),
           back AS (SELECT g.link_id, i.osm_id, lost_h AND EXISTS (SELECT 1 FROM dest d JOIN comp z ON z.scenario = 'likely' AND z.node = d.loc WHERE d.class = 'hospital' AND d.osm_id <> i.osm_id AND z.comp IN (g.ca, g.cb)) AS h, lost_t AND EXISTS (SELECT 1 FROM dest d JOIN comp z ON z.scenario = 'likely' AND z.node = d.loc WHERE d.class = 'town' AND d.osm_id <> i.osm_id AND z.comp IN (g.ca, g.cb)) AS t
             FROM gone g JOIN comp c ON c.scenario = 'likely' AND c.comp IN (g.ca, g.cb) JOIN isolated i ON i.loc = c.node)""", "SELECT g.link_id, g.evidence_tier, count(*) FILTER (h) AS hospital, count(*) FILTER (t) AS town, count(*) FILTER (h OR t) AS count FROM gone g LEFT JOIN back USING (link_id) GROUP BY 1, 2", True),
-        "nearest_routes": _q(ROADS + "," + PLACES + "," + SP + """, tgt(s, c, n, t) USING KEY (s, c, n) AS (SELECT k.scenario, k.class, k.node, coalesce((SELECT min(osm_id) FROM dest d WHERE d.loc = k.node AND d.class = k.class AND k.cost = 0), '~') FROM cost k UNION
-            SELECT e.scenario, tgt.c, e.v, min(tgt.t) FROM tgt JOIN re e ON e.u = tgt.n AND e.scenario = tgt.s JOIN cost a ON a.scenario = tgt.s AND a.class = tgt.c AND a.node = e.u JOIN cost b ON b.scenario = tgt.s AND b.class = tgt.c AND b.node = e.v AND b.cost = a.cost + e.w JOIN recurring.tgt r ON r.s = tgt.s AND r.c = tgt.c AND r.n = e.v WHERE tgt.t < r.t GROUP BY 1, 2, 3)""", "SELECT scenario, class, node, cost, t AS target FROM cost JOIN tgt ON s = scenario AND c = class AND n = node", True),
+        "nearest_routes": _q(ROADS + "," + PLACES + "," + SP + """, tight AS MATERIALIZED (SELECT e.scenario, a.class, e.u, e.v FROM re e JOIN cost a ON a.scenario = e.scenario AND a.node = e.u JOIN cost b ON b.scenario = e.scenario AND b.class = a.class AND b.node = e.v AND b.cost = a.cost + e.w),
+          near_dest AS (SELECT loc, class, min(osm_id) AS osm_id FROM dest GROUP BY 1, 2),
+          tgt(s, c, n, t) USING KEY (s, c, n) AS (SELECT k.scenario, k.class, k.node, coalesce(d.osm_id, '~') FROM cost k LEFT JOIN near_dest d ON d.loc = k.node AND d.class = k.class AND k.cost = 0 UNION
+            SELECT e.scenario, tgt.c, e.v, min(tgt.t) FROM tgt JOIN tight e ON e.u = tgt.n AND e.scenario = tgt.s AND e.class = tgt.c JOIN recurring.tgt r ON r.s = tgt.s AND r.c = tgt.c AND r.n = e.v WHERE tgt.t < r.t GROUP BY 1, 2, 3)""", "SELECT scenario, class, node, cost, t AS target FROM cost JOIN tgt ON s = scenario AND c = class AND n = node", True),
         "detours": _q(ROADS + "," + PLACES + "," + SP + ", w AS (SELECT node, min(cost) FILTER (scenario = 'baseline') AS before, min(cost) FILTER (scenario = 'likely') AS after FROM cost WHERE class = 'hospital' GROUP BY 1), r AS (SELECT *, CASE WHEN before IS NULL OR after IS NULL THEN NULL WHEN before = 0 THEN 1.0::DOUBLE ELSE after / before END AS x FROM w)", "SELECT node, before, after, round(x, 9) AS ratio, CASE WHEN before IS NULL THEN 'unmapped' WHEN after IS NULL THEN 'none' WHEN x > 1.5 THEN 'degraded' ELSE 'full' END AS detail FROM r", True),
         "snapped_settlements": _q(ROADS + "," + PLACES + ", nd AS (SELECT node, (node % 100) * 100 AS x, (node // 100) * 100 AS y FROM nodes), pr AS (SELECT s.osm_id, (s.x + 37 - nd.x) ** 2 + (s.y - 21 - nd.y) ** 2 AS d2, node FROM subjects s JOIN nd ON abs(s.x + 37 - nd.x) <= 120 AND abs(s.y - 21 - nd.y) <= 120), bs AS (SELECT osm_id, arg_min(node, (d2, node)) AS node, min(d2) AS d2 FROM pr WHERE d2 <= 14400 GROUP BY 1)", "SELECT s.osm_id, node, round(sqrt(d2), 6) AS distance FROM subjects s LEFT JOIN bs USING (osm_id)"),
         "buildings_near": _q(PLACES + "," + BUILDINGS, "SELECT osm_id, buildings FROM buildings"),
