@@ -7,10 +7,14 @@ id. Suffixes are dealt out by prefixes of variable length, so that a task holds
     windows have equal anchors. Anchors that stand in one document only are dropped: no repeat goes
     through them.
 2.  The suffixes that begin in the windows of a repeated anchor form its subtree. A subtree of at most
-    GROUP documents is built in one task: its suffixes are sorted by their words, those that agree in WINDOW
-    words hang below one internal node of that depth, and a node's least document keeps the passage.
-3.  An anchor of more documents is split by longer prefixes, the whole WINDOW words: such a prefix is a node
-    itself, and its least document comes from a minimum that is taken before the shuffle.
+    GROUP documents is built in one task: its suffixes are sorted by their first WINDOW words (ranks of runs of 1, 2, 4, ... words, each from
+    the ranks of two shorter ones, so without hashes), those that agree in all of them hang below one internal node of that depth, and a
+    node's least document keeps the passage.
+3.  An anchor of more documents is split by longer prefixes, the whole WINDOW words: such a prefix, named by its hash beside the
+    anchor's, is a node itself, and its least document comes from a minimum that is taken before the shuffle.
+
+The anchor may stand anywhere in the window, so groups are not those of a suffix tree's prefixes: dealing each suffix by its own first words would
+send every word WINDOW times.
 
 Windows of the documents are judged on the input, not on what is left of it.
 """
@@ -114,6 +118,16 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[one])), pa.array(anchor[one]), pa.array(at[one] - ends[doc[one]]), pa.array(np.ones(len(one), np.int64)), pa.nulls(len(one), pa.string()), pa.array(whole[at[one]].view(np.int64))], names)
 
 
+def window_ranks(codes: np.ndarray, size: int) -> np.ndarray:
+    """Rank of the `size` words from each place among all such runs, in the order of their codes; equal runs have equal ranks."""
+    rank, done = codes, 1
+    while done < size:
+        step = min(done, size - done)
+        rank = np.unique(rank[:-step] * (rank.max() + 1) + rank[step:], return_inverse=True)[1]
+        done += step
+    return rank
+
+
 def _repeats(table: pa.Table) -> pa.Table:
     """Windows of whole groups that also begin in a smaller document of their group, as (doc_id, start, n)."""
     words, ends = word_lists(plain_text(table.column("words").combine_chunks()))
@@ -121,8 +135,8 @@ def _repeats(table: pa.Table) -> pa.Table:
     n = table.column("n").to_numpy()
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    # equal first WINDOW words are a node of that depth; codes are exact within this table
-    node = run_hashes(mix64(codes.astype(np.uint64) + np.uint64(1)), WINDOW)[ends[:-1][row] + step] ^ mix64(table.column("anchor").to_numpy()[row].view(np.uint64))
+    # suffixes of one rank share their first WINDOW words: a node of that depth
+    node = window_ranks(codes, WINDOW)[ends[:-1][row] + step] if len(row) else row
     doc = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)[1][row]
     order = np.lexsort((doc, node))
     head = np.ones(len(order), bool)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+
+import numpy as np
 import re
 
 import pytest
@@ -71,3 +73,11 @@ def test_query_over_its_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     got = queries.op7_substring_dedup(spark, SF_DIR).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 50])
+def test_ranks_are_those_of_sorted_suffixes(size):
+    codes = np.random.default_rng(size).integers(0, 2, 300)
+    runs = [tuple(codes[k : k + size]) for k in range(len(codes) - size + 1)]
+    order = {r: k for k, r in enumerate(sorted(set(runs)))}
+    assert substring_dedup.window_ranks(codes, size).tolist() == [order[r] for r in runs]
