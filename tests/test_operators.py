@@ -313,8 +313,24 @@ class TestRules:
     def test_equal_scores_rank_by_id(self, spark):
         df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 9)], "id string, v int")
         found = scoring.explained(df, {"v": F.col("v")}, {"v": 2.0}, "id").orderBy("rank").collect()
-        assert [(r["id"], r["score"], r["why"]) for r in found] == [("c", 18.0, "v contributes 18.000"), ("a", 2.0, "v contributes 2.000"), ("b", 2.0, "v contributes 2.000")]
+        assert [(r["id"], r["score"], r["why"]) for r in found] == [("c", 18.0, "v=9 contributes 18.000"), ("a", 2.0, "v=1 contributes 2.000"), ("b", 2.0, "v=1 contributes 2.000")]
 
     def test_the_largest_blocks_are_dropped_first(self, spark):
         df = spark.createDataFrame([("p", "a", 10), ("p", "b", 50), ("p", "c", 30)], "page string, name string, size int")
         assert {r["name"] for r in facts.within_budget(df, 45).collect() if r["kept"]} == {"a", "c"}
+
+
+def test_shortest_paths_along_a_deep_chain(spark):
+    """More hops than any number of rounds one would fix, with a dear short cut."""
+    n = 120
+    steps = [(k, k + 1, 3) for k in range(n)] + [(0, n, 1_000)]
+    edges = spark.createDataFrame(steps + [(v, u, c) for u, v, c in steps], "u bigint, v bigint, cost bigint")
+    seeds = spark.createDataFrame([("x", 0, "t"), ("x", n // 2, "s")], "class string, node bigint, target string")
+    found = {r["node"]: (r["cost"], r["target"]) for r in fixpoint.shortest_paths(seeds, edges, ["class"]).collect()}
+    assert found == {k: min((3 * k, "t"), (3 * abs(k - n // 2), "s")) for k in range(n + 1)}
+
+
+def test_cells_beyond_a_million_columns_stay_apart(spark):
+    cells = spark.createDataFrame([(0, 1_000_000), (1, 0), (-1, -5), (-1, -4)], "row int, col int")
+    found = {(r["row"], r["col"]): r["comp"] for r in raster.label_components(cells).collect()}
+    assert len(set(found.values())) == 3 and found[-1, -5] == found[-1, -4]
