@@ -32,7 +32,7 @@ from .common import bound_batches, materialise, small_side
 
 WINDOW, LEAST, MASK_BITS, MOST = 16, 192, 9, 4096
 #: Children of a node of the manifest's tree, and levels of such nodes below a part's root.
-FANOUT, LEVELS = 1_024, 3
+FANOUT, LEVELS = 1_024, 2
 #: White space beside white space, or a space at an end: there an encoding can depend on what stands around it.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 UNSAFE = rf"(^ )|( $)|({SPACE}{SPACE})|\x00"
