@@ -95,13 +95,6 @@ def data_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("osm_id", "snapped", F.when(~F.col("snapped"), "not on the network").otherwise(F.concat(F.lit("no baseline road access: "), lacks)).alias("reason"))
 
 
-def status_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three fixed statuses, also those that nobody has."""
-    names = spark.createDataFrame([("CUT OFF",), ("UNCERTAIN",), ("CONNECTED",)], "status string")
-    counted = _isolated(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    return names.join(counted, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 NEAR = "sqrt(greatest(c.col * 10 - {x}, {x} - (c.col + 1) * 10, 0) ** 2 + greatest(c.row * 10 - {y}, {y} - (c.row + 1) * 10, 0) ** 2)"
 CORNER = "sqrt(((c.col + {a}) * 10 - x0 - t{k} * (x1 - x0)) ** 2 + ((c.row + {b}) * 10 - y0 - t{k} * (y1 - y0)) ** 2)"
 CORNERS = [(a, b) for a in (0, 1) for b in (0, 1)]
@@ -163,6 +156,5 @@ walk(node, links, responsible) AS (SELECT node, 0, 0 FROM hc WHERE cost = 0 UNIO
     "link_priorities": _q(DAMAGED + ", s AS (SELECT *, count * 10.0::DOUBLE + hospital * 20 + town * 10 + evidence_tier * 3 AS score FROM dl WHERE count > 0)", "SELECT link_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, link_id) AS rank, format('settlements={} contributes {:.3f}; hospital={} contributes {:.3f}; town={} contributes {:.3f}; evidence={} contributes {:.3f}', count, count * 10.0::DOUBLE, hospital, hospital * 20.0::DOUBLE, town, town * 10.0::DOUBLE, evidence_tier, evidence_tier * 3.0::DOUBLE) AS why FROM s", True),
     "links_without_leverage": _q(DAMAGED, "SELECT link_id, evidence_tier FROM dl WHERE count = 0", True),
     "data_gaps": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT osm_id, snapped, CASE WHEN NOT snapped THEN 'not on the network' ELSE 'no baseline road access: ' || concat_ws(', ', CASE WHEN NOT baseline_hospital THEN 'hospital' END, CASE WHEN NOT baseline_town THEN 'town' END) END AS reason FROM isolated WHERE status = 'UNCERTAIN' AND (NOT snapped OR NOT baseline_hospital OR NOT baseline_town) AND NOT ((baseline_hospital AND NOT possible_hospital) OR (baseline_town AND NOT possible_town))", True),
-    "status_tallies": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT t.s AS status, count(i.osm_id) AS n FROM (VALUES ('CUT OFF'), ('UNCERTAIN'), ('CONNECTED')) t(s) LEFT JOIN isolated i ON i.status = t.s GROUP BY 1", True),
 }
-QUERIES = {f.__name__: f for f in (line_damage, merged_damage, damage_summary, polygon_cells, road_pieces, latent_bridges, route_evidence, link_priorities, links_without_leverage, data_gaps, status_tallies)}
+QUERIES = {f.__name__: f for f in (line_damage, merged_damage, damage_summary, polygon_cells, road_pieces, latent_bridges, route_evidence, link_priorities, links_without_leverage, data_gaps)}
