@@ -20,6 +20,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ FANOUT, LEVELS = 1_024, 2
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 UNSAFE = rf"(^ )|( $)|({SPACE}{SPACE})|\x00"
 KEPT_UNITS, JOINED = 400_000, 10_000
+#: How byte-level vocabularies write the byte of a space; they write ASCII letters as they are.
+SPACE_BYTE = "\u0120"
 
 
 class Encoder:
@@ -49,12 +52,11 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # for units of a space and letters only: the same model, cut at spaces without the pattern
-        self.letters = Tokenizer.from_file(path)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", behavior="merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # for units of a space and ASCII letters only, which are one piece: the model without what cuts pieces
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         self.spaced = np.fromiter((self.library.decode([k], skip_special_tokens=False).startswith(" ") for k in range(size)), bool, size)
@@ -81,8 +83,8 @@ class Encoder:
         self.units.update(zip(units, range(n, n + len(units)), strict=True))
 
     def places(self, units: list[str]) -> np.ndarray:
-        """Where the ids of the distinct `units` are. Units that begin with a space and hold no other are
-        encoded many at a time: in their joined text each id that begins with a space begins a unit."""
+        """Where the ids of the distinct `units` are. Units of a space and ASCII letters go to the model as they are. Others that begin
+        with a space and hold no other are encoded many at a time: in their joined text each id that begins with a space begins a unit."""
         if len(self.units) > KEPT_UNITS:
             self.forget()
         get = self.units.get
@@ -94,18 +96,18 @@ class Encoder:
         for k in missing.tolist():
             u = units[k]
             (plain if u[:1] != " " else letters if u.isascii() and u[1:].isalpha() else spaced).append(k)
-        for at, library in ((letters, self.letters), (spaced, self.library)):
-            for a in range(0, len(at), JOINED):
-                part = at[a : a + JOINED]
-                own = [units[k] for k in part]
-                ids = np.array(library.encode("".join(own), add_special_tokens=False).ids, np.uint32)
-                found[part] = len(self.units) + np.arange(len(part))
-                self.learn(own, ids, np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids)))
-        if plain:
-            own = [units[k] for k in plain]
-            ids = self.whole(own)
-            found[plain] = len(self.units) + np.arange(len(plain))
-            self.learn(own, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+        for a in range(0, len(spaced), JOINED):
+            part = spaced[a : a + JOINED]
+            own = [units[k] for k in part]
+            ids = self.whole(["".join(own)])[0]
+            found[part] = len(self.units) + np.arange(len(part))
+            self.learn(own, ids, np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids)))
+        for at, encoded in ((letters, lambda own: [[t.id for t in self.model.tokenize(SPACE_BYTE + u[1:])] for u in own]), (plain, self.whole)):
+            if at:
+                own = [units[k] for k in at]
+                ids = encoded(own)
+                found[at] = len(self.units) + np.arange(len(at))
+                self.learn(own, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
         return found
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
