@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgeo.operators.exposure import flooded_length, hit
@@ -79,12 +79,13 @@ def summary(damage: DataFrame, by: str) -> DataFrame:
 def inside_polygons(cells: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     """Distinct cells whose centre lies in a polygon, by the even-odd rule: row, col, poly_id.
 
-    `edges` are (poly_id, x0, y0, x1, y1). An edge meets only the rows whose centre line it crosses, so the join is by row;
-    crossings to the right of a centre are counted per polygon and cell.
+    `edges` are (poly_id, x0, y0, x1, y1). An edge meets only the rows whose centre line it crosses, and a polygon's
+    crossings of a row are its few edges there. Taken in order, two and two of them enclose the centres between them.
     """
     top, low = F.greatest("y0", "y1"), F.least("y0", "y1")
     crossed = edges.where("y0 <> y1").withColumn("row", F.explode_outer(F.filter(F.sequence(F.floor(low / cell - 0.5).cast("int"), F.floor(top / cell + 0.5).cast("int")), lambda r: ((r + 0.5) * cell >= low) & ((r + 0.5) * cell < top)))).where("row is not null")
     at = F.col("x0") + ((F.col("row") + 0.5) * cell - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
-    spans = crossed.select("poly_id", "row", at.alias("x"))
-    met = cells.select("row", "col").join(spans, "row").where(F.col("x") > (F.col("col") + 0.5) * cell)
-    return met.groupBy("poly_id", "row", "col").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("poly_id", "row", "col")
+    along = Window.partitionBy("poly_id", "row").orderBy("x")
+    spans = crossed.select("poly_id", "row", at.alias("x")).select("poly_id", "row", F.col("x").alias("x0"), F.lead("x").over(along).alias("x1"), F.row_number().over(along).alias("k")).where("k % 2 = 1 and x0 < x1")
+    columns = F.filter(F.sequence(F.floor(F.col("x0") / cell - 0.5).cast("int"), F.ceil(F.col("x1") / cell).cast("int")), lambda c: ((c + 0.5) * cell >= F.col("x0")) & ((c + 0.5) * cell < F.col("x1")))
+    return spans.select("poly_id", "row", F.explode(columns).alias("col")).join(cells.select("row", "col").distinct(), ["row", "col"]).select("poly_id", "row", "col")

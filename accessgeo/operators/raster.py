@@ -114,10 +114,17 @@ def fill_voids(cells: DataFrame, z: str, most: int = 16) -> DataFrame:
 
 
 def near(cells: DataFrame, reach: float) -> DataFrame:
-    """Distinct cells whose centre is at most `reach` cells from one of `cells`."""
+    """Distinct cells whose centre is at most `reach` cells from one of `cells`.
+
+    A cell sends one span of columns to each row that its disk meets; in a row, in order, a span gives the columns that no span before it reached.
+    """
     r = int(reach)
-    disk = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= reach * reach]
-    return shifted(cells, disk, []).select("row", "col").distinct()
+    widths = [(a, max(b for b in range(r + 1) if a * a + b * b <= reach * reach)) for a in range(-r, r + 1)]
+    sent = cells.select("row", "col", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(w).alias("w")) for a, w in widths])).alias("s"))
+    spans = sent.select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") - F.col("s.w")).alias("lo"), (F.col("col") + F.col("s.w")).alias("hi"))
+    before = F.max("hi").over(Window.partitionBy("row").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("lo", F.greatest("lo", before + 1)).where("lo <= hi")
+    return fresh.select("row", F.explode(F.sequence("lo", "hi")).alias("col"))
 
 
 def box_statistics(cells: DataFrame, value: str, radius: int) -> DataFrame:
@@ -150,13 +157,17 @@ def lee_filter(cells: DataFrame, value: str, window: int = 5) -> DataFrame:
 
 
 def slope_degrees(cells: DataFrame, z: str, resolution: float) -> DataFrame:
-    """Slope from centred differences, one-sided at the ends of a row or column."""
-    def gradient(by: str, along: str) -> Column:
+    """Slope from centred differences, one-sided at the border of the grid; null in a void and where a neighbour that is needed is null or absent."""
+    edge = F.broadcast(cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")))
+
+    def gradient(by: str, along: str, first: str, last: str) -> Column:
         w = Window.partitionBy(by).orderBy(along)
-        low, high = F.lag(z).over(w), F.lead(z).over(w)
-        return F.when(low.isNull(), high - F.col(z)).when(high.isNull(), F.col(z) - low).otherwise((high - low) / 2) / resolution
+        low = F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag(z).over(w))
+        high = F.when(F.lead(along).over(w) == F.col(along) + 1, F.lead(z).over(w))
+        return F.when(F.col(along) == F.col(first), high - F.col(z)).when(F.col(along) == F.col(last), F.col(z) - low).otherwise((high - low) / 2) / resolution
 
-    return cells.select("row", "col", F.degrees(F.atan(F.hypot(gradient("row", "col"), gradient("col", "row")))).alias("slope"))
+    steepest = F.degrees(F.atan(F.hypot(gradient("row", "col", "c0", "c1"), gradient("col", "row", "r0", "r1"))))
+    return cells.join(edge).select("row", "col", F.when(F.col(z).isNotNull(), steepest).alias("slope"))
 
 
 def receivers(cells: DataFrame, z: str) -> DataFrame:

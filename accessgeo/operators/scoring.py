@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accessgeo.session import checkpointed
+
 
 def explained(df: DataFrame, values: dict[str, Column], weights: dict[str, float], id_col: str, shown: dict[str, Column] | None = None) -> DataFrame:
     """score, rank and `why` over transformed values; equal scores go by id. `why` tells each value, from `shown` where it was transformed,
     and what it contributes.
 
-    The rank is the number of rows with a higher (score, id): taken in ranges, so that no task orders all rows.
+    Rows are dealt by ranges of (score, id), so that no task orders all rows however many share a score; a rank is a row's place in its
+    range behind the rows of the ranges before it.
     """
     parts = {k: v.cast("double") * weights[k] for k, v in values.items()}
     score = sum(parts.values(), F.lit(0.0))
     why = F.array(*[F.format_string(f"{k}=%s contributes %.3f", (shown or {}).get(k, values[k]).cast("string"), v) for k, v in parts.items()])
     scored = df.withColumn("score", F.round(score, 6)).withColumn("why", F.array_join(why, "; "))
-    bucket = F.floor(-F.col("score") / 10)
-    sizes = scored.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "before")
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), id_col))
-    return scored.withColumn("bucket", bucket).join(before, "bucket").withColumn("rank", F.col("before") + inside).drop("bucket", "before")
+    order = [F.desc("score"), F.col(id_col)]
+    dealt = checkpointed(checkpointed(scored).repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "range").withColumn("rank", F.col("before") + inside).drop("range", "before")

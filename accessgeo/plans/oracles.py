@@ -112,8 +112,9 @@ def oracle_sql() -> dict[str, str]:
           bs AS (SELECT ar, ac, avg(x) AS m, greatest(avg(x * x) - avg(x) * avg(x), 0) AS v FROM ask JOIN pw USING (row, col) GROUP BY 1, 2),
           st AS (SELECT pw.row, pw.col, m, v, x FROM bs JOIN pw ON pw.row = ar AND pw.col = ac), nz AS (SELECT quantile_cont(v / (m * m), 0.25) AS c FROM st WHERE m <> 0 AND x IS NOT NULL),
           fi AS (SELECT *, greatest((v - c * m * m) / (1 + c), 0) AS sig, c * m * m AS spread FROM st, nz)""", "SELECT row, col, round(CASE WHEN x IS NOT NULL THEN m + CASE WHEN sig + spread > 0 THEN sig / (sig + spread) ELSE 0 END * (x - m) END, 6) AS power FROM fi"),
-        "terrain_slope": _q(PIXELS + """, g AS (SELECT row, col, hand AS z, lag(hand) OVER r AS w, lead(hand) OVER r AS e, lag(hand) OVER c AS n, lead(hand) OVER c AS s FROM px WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)),
-          h AS (SELECT row, col, CASE WHEN w IS NULL THEN e - z WHEN e IS NULL THEN z - w ELSE (e - w) / 2 END / 10 AS gx, CASE WHEN n IS NULL THEN s - z WHEN s IS NULL THEN z - n ELSE (s - n) / 2 END / 10 AS gy FROM g)""", "SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope FROM h"),
+        "terrain_slope": _q(PIXELS + """, ed AS (SELECT min(row) r0, max(row) r1, min(col) c0, max(col) c1 FROM px),
+          g AS (SELECT p.row, p.col, p.hand AS z, w.hand AS w, e.hand AS e, n.hand AS n, s.hand AS s FROM px p LEFT JOIN px w ON w.row = p.row AND w.col = p.col - 1 LEFT JOIN px e ON e.row = p.row AND e.col = p.col + 1 LEFT JOIN px n ON n.col = p.col AND n.row = p.row - 1 LEFT JOIN px s ON s.col = p.col AND s.row = p.row + 1),
+          h AS (SELECT row, col, CASE WHEN z IS NULL THEN NULL WHEN col = c0 THEN e - z WHEN col = c1 THEN z - w ELSE (e - w) / 2 END / 10 AS gx, CASE WHEN row = r0 THEN s - z WHEN row = r1 THEN z - n ELSE (s - n) / 2 END / 10 AS gy FROM g, ed)""", "SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope FROM h"),
         "flow_receivers": _q(PIXELS + "," + FLOW, "SELECT row, col, to_row, to_col FROM recv"),
         "filled_pits": _q(PIXELS + """, ed AS (SELECT min(row) r0, max(row) r1, min(col) c0, max(col) c1, max(hand) AS top FROM px),
           zz AS (SELECT row, col, (row::BIGINT * 4294967296 + col) AS node, hand AS z, row = r0 OR row = r1 OR col = c0 OR col = c1 AS border, top FROM px, ed),

@@ -67,6 +67,15 @@ class TestMorphology:
     def test_near(self, spark):
         assert {tuple(r) for r in raster.near(self.mask(spark, ["...", ".#."]), 1).collect()} == {(1, 1), (0, 1), (2, 1), (1, 0), (1, 2)}
 
+    def test_near_equals_the_disks(self, spark):
+        rng = random.Random(3)
+        wet = {(rng.randrange(30), rng.randrange(30)) for _ in range(40)}
+        df = spark.createDataFrame(sorted(wet), "row int, col int")
+        for reach in (0, 1.5, 4.4, 5):
+            found = [tuple(r) for r in raster.near(df, reach).select("row", "col").collect()]
+            told = {(r + a, c + b) for r, c in wet for a in range(-5, 6) for b in range(-5, 6) if a * a + b * b <= reach * reach}
+            assert len(found) == len(told) and set(found) == told
+
     def test_components_by_joins_equal_those_of_one_task(self, spark):
         rng = random.Random(5)
         edges = spark.createDataFrame([(k, k + 1) for k in range(80)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(70)], "u bigint, v bigint")
@@ -80,6 +89,15 @@ class TestTerrain:
         out = raster.slope_degrees(cells(spark, [[c * 1.0 + r * 2.0 for c in range(4)] for r in range(4)]), "z", 10)
         assert all(math.isclose(v, math.degrees(math.atan(math.hypot(0.1, 0.2)))) for v in grid(out, "slope").values())
 
+    def test_no_slope_in_and_beside_a_void(self, spark):
+        z = [[c * 1.0 + r * 2.0 for c in range(6)] for r in range(5)]
+        z[2][2] = None
+        whole = cells(spark, z)
+        for table in (whole, whole.where("z is not null")):
+            found = grid(raster.slope_degrees(table, "z", 10), "slope")
+            assert {k for k, v in found.items() if v is None} - {(2, 2)} == {(1, 2), (3, 2), (2, 1), (2, 3)}
+            assert math.isclose(found[(2, 0)], math.degrees(math.atan(math.hypot(0.1, 0.2))))
+
     def test_valley(self, spark):
         z = [[abs(c - 5) * 5 + (12 - r) * 0.1 for c in range(11)] for r in range(13)]
         out = hydrology.height_above_drainage(cells(spark, z), 13)
@@ -148,6 +166,22 @@ class TestExposure:
         found = {r["tier"]: r["n"] for r in exposure.box_tier(boxes, self.flood(spark), 10).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
         assert set(found) == {0, 3} and sum(found.values()) == 100_000
 
+    def test_polygons_equal_the_even_odd_rule_cell_by_cell(self, spark):
+        rng = random.Random(9)
+        px = spark.createDataFrame([(r, c) for r in range(12) for c in range(12)], "row int, col int")
+        edges = []
+        for poly in range(12):
+            at = [(float(rng.randrange(-20, 140)), float(rng.randrange(-20, 140))) for _ in range(rng.randint(3, 8))]
+            edges += [(poly, *a, *b) for a, b in zip(at, at[1:] + at[:1], strict=True)]
+        told = set()
+        for poly, r, c in ((p, r, c) for p in range(12) for r in range(12) for c in range(12)):
+            x, y = c * 10 + 5, r * 10 + 5
+            right = sum(1 for p, x0, y0, x1, y1 in edges if p == poly and min(y0, y1) <= y < max(y0, y1) and x0 + (y - y0) / (y1 - y0) * (x1 - x0) > x)
+            if right % 2:
+                told.add((poly, r, c))
+        found = [tuple(r) for r in damage.inside_polygons(px, spark.createDataFrame(edges, "poly_id int, x0 double, y0 double, x1 double, y1 double"), 10).collect()]
+        assert len(found) == len(told) and set(found) == told
+
     def test_a_polygon_holds_the_cells_whose_centre_it_holds(self, spark):
         px = spark.createDataFrame([(r, c) for r in range(6) for c in range(6)], "row int, col int")
         square = [(1, 10.0, 10.0, 30.0, 10.0), (1, 30.0, 10.0, 30.0, 40.0), (1, 30.0, 40.0, 10.0, 40.0), (1, 10.0, 40.0, 10.0, 10.0)]
@@ -315,6 +349,12 @@ class TestRules:
         found = scoring.explained(df, {"v": F.col("v")}, {"v": 2.0}, "id").orderBy("rank").collect()
         assert [(r["id"], r["score"], r["why"]) for r in found] == [("c", 18.0, "v=9 contributes 18.000"), ("a", 2.0, "v=1 contributes 2.000"), ("b", 2.0, "v=1 contributes 2.000")]
 
+    def test_ranks_of_many_equal_scores(self, spark):
+        df = spark.range(3_000).selectExpr("id", "id % 3 as v").repartition(7)
+        found = scoring.explained(df, {"v": F.col("v")}, {"v": 2.0}, "id").orderBy("rank").collect()
+        assert [r["rank"] for r in found] == list(range(1, 3_001))
+        assert [r["id"] for r in found] == sorted(range(3_000), key=lambda k: (-(k % 3), k))
+
     def test_the_largest_blocks_are_dropped_first(self, spark):
         df = spark.createDataFrame([("p", "a", 10), ("p", "b", 50), ("p", "c", 30)], "page string, name string, size int")
         assert {r["name"] for r in facts.within_budget(df, 45).collect() if r["kept"]} == {"a", "c"}
