@@ -6,6 +6,7 @@ executor costs one round.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +27,25 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], sign: str
         before, now = after, checkpointed(step(now))
 
 
-#: Edges that one task settles; more are settled by joins. Hops of a round of shortest paths, and rows that are broadcast at most.
-LOCAL_EDGES, HOPS, SENT_ROWS = 100_000, 6, 50_000
+def doubled(start: DataFrame, step: Callable[[DataFrame], DataFrame], going: str) -> DataFrame:
+    """Apply `step`, which doubles the reach of pointers (node, to), until no row is `going` (an SQL condition) any more.
+
+    A pointer that still goes on when its reach is longer than the table runs in a circle, and then stands on a node of it: ValueError names one.
+    """
+    now = checkpointed(start)
+    rounds = now.count().bit_length() + 1
+    for _ in range(rounds):
+        if now.where(going).isEmpty():
+            return now
+        now = checkpointed(step(now))
+    lost = now.where(going).agg(F.min("to").alias("n")).first()["n"]
+    if lost is not None:
+        raise ValueError(f"pointers run in a circle, for one through node {lost}")
+    return now
+
+
+#: Edges that one task settles; more are settled by joins. Edges of a shard of shortest paths, and rows that are broadcast at most.
+LOCAL_EDGES, SHARD_EDGES, SENT_ROWS = 1_000_000, 50_000, 50_000
 
 
 def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,44 +83,125 @@ def components(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDGES) ->
     return fixpoint(nodes.select("node", F.col("node").alias("comp")).distinct(), step, "sum(cast(comp as decimal(38,0)))")
 
 
-def shortest_paths(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """`df` (checkpointed), broadcast only if it has at most `rows` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shards(edges: DataFrame, shard_edges: int = SHARD_EDGES) -> DataFrame:
+    """(node, shard): parts of a graph of edges u, v with about `shard_edges` edges each, the fewer edges between parts the better.
+
+    Components that fit into a shard stay whole, and many small ones share one; larger ones are cut by ranges of their node numbers.
+    """
+    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+    comp = checkpointed(components(ends, edges))
+    sizes = checkpointed(edges.join(comp.withColumnRenamed("node", "u"), "u").groupBy("comp").agg(F.count(F.lit(1)).alias("edges")))
+    large = checkpointed(sizes.where(F.col("edges") > shard_edges).select("comp", F.lit(True).alias("large")))
+    count = sizes.agg(F.sum(F.when(F.col("edges") <= shard_edges, F.col("edges"))).alias("small"), F.sum(F.when(F.col("edges") > shard_edges, F.col("edges"))).alias("large")).first()
+    bins = -(-(count["small"] or 0) // shard_edges)
+    marked = comp.join(sent(large), "comp", "left")
+    whole = marked.where("large is null").select("node", F.pmod(F.xxhash64("comp"), F.lit(max(1, bins))).cast("int").alias("shard"))
+    if not count["large"]:
+        return checkpointed(whole)
+    cut = marked.where("large").repartitionByRange(-(-count["large"] // shard_edges), "comp", "node").select("node", (F.spark_partition_id() + bins + 1).alias("shard"))
+    return checkpointed(whole.unionByName(cut))
+
+
+def _settled(at: int, highest: bool = False) -> Callable[..., pa.Table]:
+    """Labels of a shard and its edges -> the labels that fell. The first columns of the labels are the keys, `at` of them, then node, cost, target, fresh."""
+
+    def settle(labels: pa.Table, edges: pa.Table) -> pa.Table:
+        u, v, w = (edges.column(c).to_numpy() for c in ("u", "v", "w"))
+        node = labels.column("node").to_numpy()
+        names, place = np.unique(np.concatenate([node, u, v]), return_inverse=True)
+        here, u, v = place[: len(node)], place[len(node) : len(node) + len(u)], place[len(node) + len(u) :].tolist()
+        by = np.argsort(u, kind="stable")
+        first = np.searchsorted(u[by], np.arange(len(names) + 1)).tolist()
+        ahead, weight = [v[k] for k in by.tolist()], w[by].tolist()
+        keys = list(zip(*[labels.column(k).to_pylist() for k in range(at)], strict=True)) if at else [()] * len(here)
+        known: dict[tuple, dict[int, tuple]] = {}
+        heaps: dict[tuple, list[tuple]] = {}
+        for key, n, cost, target, fresh in zip(keys, here.tolist(), labels.column("cost").to_pylist(), labels.column("target").to_pylist(), labels.column("fresh").to_pylist(), strict=True):
+            if fresh:
+                heaps.setdefault(key, []).append((cost, target, n))
+            else:
+                known.setdefault(key, {})[n] = (cost, target)
+        out = []
+        for key, heap in heaps.items():
+            best, fell = known.get(key, {}), set()
+            heapq.heapify(heap)
+            while heap:
+                cost, target, n = heapq.heappop(heap)
+                if n in best and best[n] <= (cost, target):
+                    continue
+                best[n] = (cost, target)
+                fell.add(n)
+                for k in range(first[n], first[n + 1]):
+                    more = (max(cost, weight[k]) if highest else cost + weight[k], target)
+                    if ahead[k] not in best or more < best[ahead[k]]:
+                        heapq.heappush(heap, (*more, ahead[k]))
+            out += [(*key, names[n], *best[n]) for n in fell]
+        fields = [labels.schema.field(k) for k in [*range(at), "node", "cost", "target"]]
+        columns = list(zip(*out, strict=True)) or [[] for _ in fields]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], names=[f.name for f in fields])
+
+    return settle
+
+
+def shortest_paths(seeds: DataFrame, edges: DataFrame, keys: list[str], shard_edges: int = SHARD_EDGES, highest: bool = False) -> DataFrame:
     """Least cost from the seeds of each key to every node that they reach.
 
-    `seeds`: keys, node, target; `edges`: keys that the edges depend on (a subset of `keys`), u, v, cost, in
-    both directions. Returns keys, node, cost, target; equal costs go to the least target.
+    `seeds`: keys, node, target and perhaps a cost to begin with; `edges`: keys that the edges depend on (a subset of `keys`), u, v, cost, in
+    both directions. Returns keys, node, cost, target; equal costs go to the least target. A way costs the sum of its edges, or with `highest`
+    its dearest edge (then of several targets at one cost any may be told).
 
-    A round moves only the nodes whose cost fell in the round before, HOPS edges far, and keeps what is better than before; so there
-    are about as many rounds as HOPS goes into the most edges of a cheapest path, and there is no limit on them.
+    A task settles a shard of the graph at once, with a heap; only what crosses from one shard to another takes a further round, in which
+    the shards that it reaches are settled anew from what fell. So rounds grow with the shards that a cheapest path crosses, and a graph of
+    components that fit into shards takes one.
     """
     on = [k for k in keys if k in edges.columns]
+    keys = [*on, *[k for k in keys if k not in on]]
     edges = checkpointed(edges.groupBy(*on, F.col("u"), F.col("v")).agg(F.min("cost").alias("w")))
-    at = [*keys, "node"]
+    at, group = [*keys, "node"], [*on, "shard"]
 
     def best(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*at).agg(F.min(F.struct("cost", "target")).alias("b")).select(*at, "b.cost", "b.target")
 
-    now = front = checkpointed(best(seeds.select(*at, F.lit(0).cast("long").alias("cost"), "target")))
+    start = best(seeds.select(*at, F.col("cost") if "cost" in seeds.columns else F.lit(0).cast("long").alias("cost"), "target"))
+    if edges.limit(shard_edges + 1).count() <= shard_edges:
+        where, cross, inner = None, None, edges.withColumn("shard", F.lit(0))
+    else:
+        where = shards(edges, shard_edges)
+        both = checkpointed(edges.join(where.select(F.col("node").alias("u"), "shard"), "u").join(where.select(F.col("node").alias("v"), F.col("shard").alias("to")), "v"))
+        inner, cross = both.where("shard = to"), checkpointed(both.where("shard <> to").select(*on, F.col("u").alias("node"), "v", "w"))
+    plain = start.select(*at, "cost", "target").schema
+    settle = _settled(len(keys), highest)
+    near = inner.select(*[F.col(k).alias(k + "_") for k in group], "u", "v", "w")  # other names, as both sides may come from one table
+
+    def settled(labels: DataFrame) -> DataFrame:
+        placed = labels.withColumn("shard", F.lit(0)) if where is None else labels.join(where, "node", "left").withColumn("shard", F.coalesce("shard", F.lit(0)))
+        placed = placed.select(*at, "cost", "target", "fresh", "shard")
+        return checkpointed(placed.groupBy(*group).cogroup(near.groupBy(*[k + "_" for k in group])).applyInArrow(settle, plain))
+
+    now = fell = settled(start.withColumn("fresh", F.lit(True)))
+    if cross is None or cross.isEmpty():
+        return now
     while True:
-        reached, step = None, front
-        for _ in range(HOPS):
-            moved = step.withColumnRenamed("node", "u").join(edges, [*on, "u"])
-            step = best(moved.select(*keys, F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), "target"))
-            reached = step if reached is None else reached.unionByName(step)
-        reached = checkpointed(best(reached))
-        sent = F.broadcast(reached) if reached.limit(SENT_ROWS + 1).count() <= SENT_ROWS else reached
-        known = now.join(sent.select(*at), at, "left_semi").select(*at, F.struct("cost", "target").alias("old"))
-        front = checkpointed(reached.join(known, at, "left").where(F.col("old").isNull() | (F.struct("cost", "target") < F.col("old"))).drop("old"))
-        fell = front.count()
-        if not fell:
+        arrived = best(fell.join(cross, [*on, "node"]).select(*keys, F.col("v").alias("node"), (F.greatest("cost", "w") if highest else F.col("cost") + F.col("w")).alias("cost"), "target"))
+        old = now.select(*at, F.struct("cost", "target").alias("old"))
+        fresh = checkpointed(arrived.join(old, at, "left").where(F.col("old").isNull() | (F.struct("cost", "target") < F.col("old"))).drop("old"))
+        if fresh.isEmpty():
             return now
-        gone = front.select(*at)
-        now = checkpointed(now.join(F.broadcast(gone) if fell <= SENT_ROWS else gone, at, "left_anti").unionByName(front))
+        reached = checkpointed(fresh.join(where, "node").select(*on, "shard").distinct())
+        labels = now.join(where, "node").join(sent(reached), group, "left_semi").select(*at, "cost", "target", F.lit(False).alias("fresh"))
+        fell = settled(labels.unionByName(fresh.withColumn("fresh", F.lit(True))))
+        now = checkpointed(now.join(sent(fell.select(*at)), at, "left_anti").unionByName(fell).repartition(*[F.col(k) for k in at]))
 
 
 def jump_to_marked(pointers: DataFrame) -> DataFrame:
     """(node, root): follow `next` from each node to the first node with `marked`, null if there is none.
 
-    Pointers double their length in each round. A node without `next` that is not marked leads nowhere.
+    Pointers double their length in each round. A node without `next` that is not marked leads nowhere; a circle without a marked node raises ValueError.
     """
     start = pointers.select("node", F.when(F.col("marked"), F.col("node")).otherwise(F.col("next")).alias("to"), F.col("marked").alias("done"))
 
@@ -110,5 +209,5 @@ def jump_to_marked(pointers: DataFrame) -> DataFrame:
         there = now.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("done").alias("done2"))
         return now.join(there, "to", "left").select("node", F.when(F.col("done"), F.col("to")).otherwise(F.col("to2")).alias("to"), F.coalesce(F.col("done") | F.col("done2"), F.lit(False)).alias("done"))
 
-    end = fixpoint(start, step, "struct(sum(cast(done as int)), sum(hash(node, to)))")
+    end = doubled(start, step, "not done and to is not null")
     return end.select("node", F.when(F.col("done"), F.col("to")).alias("root"))

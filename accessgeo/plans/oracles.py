@@ -13,6 +13,12 @@ cl AS (SELECT *, valid AND p_post >= 0.6 AS water_post, valid AND p_pre >= 0.6 A
 cm AS (SELECT *, water_post AND water_pre AS preexisting, water_post AND NOT water_pre AS new_water, water_post AND NOT water_pre AND NOT plausible AS excluded FROM cl),
 cells AS (SELECT *, CASE WHEN new_water AND plausible AND support AND p_post >= 0.8 AND p_pre < 0.2 THEN 3 WHEN new_water AND plausible AND (support OR p_post >= 0.8) THEN 2 WHEN new_water AND plausible THEN 1 ELSE 0 END AS tier FROM cm)
 """
+FILLED = """
+zn AS (SELECT a.row, a.col, count(*) AS n FROM px a JOIN px b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY 1, 2),
+zz AS (SELECT row, col, (row::BIGINT * 4294967296 + col) AS node, hand AS z, n < 9 AS border, max(hand) OVER () AS top FROM px JOIN zn USING (row, col)),
+ne AS (SELECT a.node AS u, b.node AS v, b.z, b.border FROM zz a JOIN zz b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.node <> b.node),
+ff(n, f) USING KEY (n) AS (SELECT node, CASE WHEN border THEN z ELSE top END FROM zz UNION SELECT e.v, min(greatest(e.z, ff.f)) FROM ff JOIN ne e ON e.u = ff.n JOIN recurring.ff r ON r.n = e.v WHERE NOT e.border AND greatest(e.z, ff.f) < r.f GROUP BY e.v)
+"""
 COMPONENTS = """
 wet AS (SELECT row, col, tier, (row::BIGINT * 4294967296 + col) AS node FROM cells WHERE tier > 0),
 we AS (SELECT a.node AS u, b.node AS v FROM wet a JOIN wet b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.node <> b.node),
@@ -116,10 +122,7 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT p.row, p.col, p.hand AS z, w.hand AS w, e.hand AS e, n.hand AS n, s.hand AS s FROM px p LEFT JOIN px w ON w.row = p.row AND w.col = p.col - 1 LEFT JOIN px e ON e.row = p.row AND e.col = p.col + 1 LEFT JOIN px n ON n.col = p.col AND n.row = p.row - 1 LEFT JOIN px s ON s.col = p.col AND s.row = p.row + 1),
           h AS (SELECT row, col, CASE WHEN z IS NULL THEN NULL WHEN col = c0 THEN e - z WHEN col = c1 THEN z - w ELSE (e - w) / 2 END / 10 AS gx, CASE WHEN row = r0 THEN s - z WHEN row = r1 THEN z - n ELSE (s - n) / 2 END / 10 AS gy FROM g, ed)""", "SELECT row, col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope FROM h"),
         "flow_receivers": _q(PIXELS + "," + FLOW, "SELECT row, col, to_row, to_col FROM recv"),
-        "filled_pits": _q(PIXELS + """, ed AS (SELECT min(row) r0, max(row) r1, min(col) c0, max(col) c1, max(hand) AS top FROM px),
-          zz AS (SELECT row, col, (row::BIGINT * 4294967296 + col) AS node, hand AS z, row = r0 OR row = r1 OR col = c0 OR col = c1 AS border, top FROM px, ed),
-          ne AS (SELECT a.node AS u, b.node AS v, b.z, b.border FROM zz a JOIN zz b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.node <> b.node),
-          ff(n, f) USING KEY (n) AS (SELECT node, CASE WHEN border THEN z ELSE top END FROM zz UNION SELECT e.v, min(greatest(e.z, ff.f)) FROM ff JOIN ne e ON e.u = ff.n JOIN recurring.ff r ON r.n = e.v WHERE NOT e.border AND greatest(e.z, ff.f) < r.f GROUP BY e.v)""", "SELECT row, col, z, f AS fill FROM zz JOIN ff ON ff.n = node", True),
+        "filled_pits": _q(PIXELS + "," + FILLED, "SELECT row, col, z, f AS fill FROM zz JOIN ff ON ff.n = node", True),
         "drainage_height": _q(PIXELS + "," + FLOW + """, walk(row, col, r, c, steps) AS (SELECT row, col, row, col, 0 FROM recv UNION ALL SELECT w.row, w.col, t.to_row, t.to_col, steps + 1 FROM walk w JOIN recv t ON t.row = w.r AND t.col = w.c WHERE t.to_row IS NOT NULL),
           acc AS (SELECT r AS row, c AS col, count(*) AS cells FROM walk GROUP BY 1, 2),
           goal AS (SELECT w.row, w.col, arg_min(z.z, steps) AS z0 FROM walk w JOIN acc a ON a.row = w.r AND a.col = w.c AND a.cells >= 5 JOIN z ON z.row = w.r AND z.col = w.c GROUP BY 1, 2)""", "SELECT recv.row, recv.col, cells, cells >= 5 AS stream, CASE WHEN z0 IS NOT NULL THEN greatest(z - z0, 0) ELSE NULL END AS hand FROM recv JOIN acc USING (row, col) LEFT JOIN goal USING (row, col)", True),

@@ -73,7 +73,7 @@ def flow_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filled_pits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hydrology.fill_pits(adapters.pixels(spark, sf_dir).select("row", "col", F.col("hand").alias("z")))
+    return hydrology.fill_pits(adapters.pixels(spark, sf_dir).select("row", "col", F.col("hand").alias("z"))).select("row", "col", "z", "fill")
 
 
 def drainage_height(spark: SparkSession, sf_dir: str) -> DataFrame:

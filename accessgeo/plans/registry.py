@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accessgeo.plans import access, acquisition, impact, oracles, reporting, streams
+from accessgeo.plans import access, acquisition, impact, oracles, reporting, streams, terrain
 from accessgeo.plans import queries as first
 
-PARTS = (acquisition, impact, reporting, streams, access)
+PARTS = (acquisition, impact, reporting, streams, access, terrain)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
