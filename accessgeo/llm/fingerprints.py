@@ -5,7 +5,7 @@ randomised subsets of the lexicon hashes those of them that it holds. Texts with
 the share of equal hashes tells how alike two texts are.
 
 A term is its 64-bit hash, whose low bits deal the lexicon into 2^s disjoint random subsets. s follows the number of terms of the
-text, so that a subset holds about one of them: larger subsets would change with each edit, smaller ones would be empty. The fingerprint
+text, so that a subset holds about one of them (and short texts have as many subsets as others): larger subsets would change with each edit. The fingerprint
 has the first SUBSETS subsets at s and at s + 1, so that texts of up to twice the terms can be compared.
 """
 
@@ -20,8 +20,8 @@ from .common import WORD, materialise, small_side
 
 #: Lexicon: terms in this share of all documents. There are at most (terms of a mean document) / BAND[0] such terms, whatever the corpus.
 BAND = (0.001, 0.1)
-#: Hashes at each of the two levels, and terms in the band from which on a text is told by them; below, all its terms count.
-SUBSETS, LEAST_TERMS = 64, 32
+#: Hashes at each of the two levels, the least s, and terms in the band from which on a text is told by them; below, all its terms count.
+SUBSETS, LEAST_BITS, LEAST_TERMS = 64, 6, 32
 #: Documents that meet in a block of the order by id, most blocks, and lexicon terms that are broadcast at most.
 BLOCK_ROWS, MAX_BLOCKS, SENT_TERMS = 500, 100_000, 500_000
 
@@ -64,7 +64,7 @@ def fingerprint(inside: Column, outside: Column) -> Column:
         return F.concat_ws(" ", F.concat(F.lit("s"), bits.cast("string")), *levels)
 
     terms = F.array_sort(F.when(F.size(inside) >= LEAST_TERMS, inside).otherwise(F.concat(inside, outside)))
-    return _bound(terms, lambda t: F.when(F.size(t) == 0, "0").otherwise(_bound(F.ceil(F.log2(F.size(t).cast("double"))).cast("int"), lambda bits: told(t, bits))))
+    return _bound(terms, lambda t: F.when(F.size(t) == 0, "0").otherwise(_bound(F.greatest(F.ceil(F.log2(F.size(t).cast("double"))).cast("int"), F.lit(LEAST_BITS)), lambda bits: told(t, bits))))
 
 
 def likeness(a: Column, b: Column) -> Column:
