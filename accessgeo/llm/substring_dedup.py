@@ -7,11 +7,11 @@ id. Suffixes are dealt out by prefixes of variable length, so that a task holds
     windows have equal anchors. Anchors that stand in one document only are dropped: no repeat goes
     through them.
 2.  The suffixes that begin in the windows of a repeated anchor form its subtree. A subtree of at most
-    GROUP documents is built in one task: its suffixes are sorted by their first WINDOW words (ranks of runs of 1, 2, 4, ... words, each from
+    GROUP words is built in one task: its suffixes are sorted by their first WINDOW words (ranks of runs of 1, 2, 4, ... words, each from
     the ranks of two shorter ones, so without hashes), those that agree in all of them hang below one internal node of that depth, and a
     node's least document keeps the passage.
-3.  An anchor of more documents is split by longer prefixes, the whole WINDOW words: such a prefix, named by its hash beside the
-    anchor's, is a node itself, and its least document comes from a minimum that is taken before the shuffle.
+3.  An anchor of more words is split by longer prefixes, the whole WINDOW words: such a prefix, named by two hashes of its words beside the
+    anchor's (192 bits; they are not compared with the words), is a node itself, and its least document comes from a minimum that is taken before the shuffle.
 
 The anchor may stand anywhere in the window, so groups are not those of a suffix tree's prefixes: dealing each suffix by its own first words would
 send every word WINDOW times.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .arrays import coded, mix64, plain_text, ragged, slices, word_hashes, word_lists
 from .common import bound_batches, materialise, small_side
 
-WINDOW, ANCHOR, GROUP = 50, 25, 1_000
+WINDOW, ANCHOR, GROUP = 50, 25, 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,13 +83,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.searchsorted(ends, at, "right") - 1
         fresh = np.ones(len(at), bool)
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[fresh])), pa.array(anchor[fresh])], ["doc_id", "anchor"])
+        first = np.flatnonzero(fresh)
+        words_of = np.diff(np.append(first, len(at))) + WINDOW - 1
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[first])), pa.array(anchor[first]), pa.array(words_of)], ["doc_id", "anchor", "n"])
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each run of windows with one repeated anchor: its start, number of windows and words; for an anchor of
-    many documents a row per window with the window's hash instead."""
-    names = ["doc_id", "anchor", "start", "n", "words", "window"]
+    many words a row per window with two hashes of the window instead."""
+    names = ["doc_id", "anchor", "start", "n", "words", "window", "check"]
     for batch in slices(batches):
         words, ends = word_lists(plain_text(batch.column("text")))
         h, at, anchor = window_anchors(words, ends)
@@ -111,11 +113,11 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = bound[np.searchsorted(bound, first, "right")] - first if len(first) else first
         spread = ragged(np.arange(len(words)), at[first], n + WINDOW - 1) if len(first) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n + WINDOW - 1)]).astype(np.int32)), words.take(pa.array(spread)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[first])), pa.array(anchor[first]), pa.array(at[first] - ends[doc[first]]), pa.array(n.astype(np.int64)), pc.binary_join(lists, " "), pa.nulls(len(first), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[first])), pa.array(anchor[first]), pa.array(at[first] - ends[doc[first]]), pa.array(n.astype(np.int64)), pc.binary_join(lists, " "), *[pa.nulls(len(first), pa.int64())] * 2], names)
         one = np.flatnonzero(hot)
         if len(one):
-            whole = run_hashes(mix64(h + np.uint64(1)), WINDOW)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[one])), pa.array(anchor[one]), pa.array(at[one] - ends[doc[one]]), pa.array(np.ones(len(one), np.int64)), pa.nulls(len(one), pa.string()), pa.array(whole[at[one]].view(np.int64))], names)
+            whole, check = (run_hashes(mix64(h + np.uint64(k)), WINDOW)[at[one]].view(np.int64) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[one])), pa.array(anchor[one]), pa.array(at[one] - ends[doc[one]]), pa.array(np.ones(len(one), np.int64)), pa.nulls(len(one), pa.string()), pa.array(whole), pa.array(check)], names)
 
 
 def window_ranks(codes: np.ndarray, size: int) -> np.ndarray:
@@ -191,20 +193,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    anchors = materialise(known.mapInArrow(_anchor_rows, f"doc_id {kind}, anchor bigint"), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("anchor", (F.col("rows") > GROUP).alias("many"))
+    anchors = materialise(known.mapInArrow(_anchor_rows, f"doc_id {kind}, anchor bigint, n bigint"), "anchors")
+    repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("words")).where("lo < hi").select("anchor", (F.col("words") > GROUP).alias("many"))
     lists = materialise(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "many")).alias("anchors")), "lists")
     # at most two million anchors in 200,000 rows are sent to all tasks; more are joined by a shuffle
     size = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
     if size[0] <= 200_000 and size[1] <= 2_000_000:
         lists = F.broadcast(lists)
-    suffixes = materialise(known.join(lists, "doc_id").mapInArrow(_suffix_rows, f"doc_id {kind}, anchor bigint, start bigint, n bigint, words string, window bigint"), "suffixes")
+    suffixes = materialise(known.join(lists, "doc_id").mapInArrow(_suffix_rows, f"doc_id {kind}, anchor bigint, start bigint, n bigint, words string, window bigint, check bigint"), "suffixes")
     grouped = suffixes.where("window is null").select("doc_id", "anchor", "start", "n", "words").repartition("anchor").sortWithinPartitions("anchor")
     small = grouped.mapInArrow(_subtrees, f"doc_id {kind}, start bigint, n bigint")
-    single = suffixes.where("window is not null").select("doc_id", "anchor", "start", "window")
-    nodes = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
+    name = ["anchor", "window", "check"]
+    single = suffixes.where("window is not null").select("doc_id", "start", *name)
+    nodes = single.groupBy(*name).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(*name, "lo")
     nodes = small_side(materialise(nodes, "nodes"), 200_000)  # else both sides are dealt anew, and Spark splits a passage of very many documents
-    large = single.join(nodes, ["anchor", "window"]).where("doc_id > lo").select("doc_id", "start", F.lit(1).cast("long").alias("n"))
+    large = single.join(nodes, name).where("doc_id > lo").select("doc_id", "start", F.lit(1).cast("long").alias("n"))
     return small.unionByName(large)
 
 

@@ -38,9 +38,9 @@ def found(docs):
     return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["h"]) for r in out.withColumn("h", substring_dedup.digest(out["kept"])).collect()), key=repr)
 
 
-@pytest.mark.parametrize("most", [1_000, 3])
+@pytest.mark.parametrize("most", [500_000, 300])
 def test_equals_brute_force(documents, prose, monkeypatch, most):
-    """The second case sends anchors of more than three documents through longer prefixes."""
+    """The second case sends anchors of more than 300 words through longer prefixes."""
     monkeypatch.setattr(substring_dedup, "GROUP", most)
     rng = random.Random(3)
     texts, passages = prose(40, 150, 1), prose(5, 75, 2)
@@ -63,6 +63,15 @@ def test_nulls_empty_short_long_and_no_id(documents, prose):
     assert found(documents(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [500_000, 5_000])
+def test_periodic_texts(documents, monkeypatch, most):
+    """All windows of a repeated line have one anchor."""
+    monkeypatch.setattr(substring_dedup, "GROUP", most)
+    line = "one line that is told again and again "
+    rows = [(k, line * (200 + 7 * k) + ("end " * k)) for k in range(12)] + [(20, "other " + line * 30), (21, "a b c " * 300)]
+    assert found(documents(rows)) == brute(rows)
+
+
 def test_empty_table(documents):
     assert substring_dedup.without_repeats(documents([])).count() == 0
 
