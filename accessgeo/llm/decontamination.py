@@ -124,19 +124,48 @@ def build_index(ids: list, texts: list[str]) -> Index:
     return Index([sorted(set(named[t]), key=lambda x: (x is not None, x)) for t in ordered], ordered, budget, np.maximum(n - Q * budget, 1), keys, first, count, item[order], at[order], bitmap, short)
 
 
+#: Scripts that are written without spaces, as ranges of code points.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+_WORDLIKE = np.array([chr(k).isalnum() and k < 128 for k in range(256)])
+
+
+def _joins(c: str) -> bool:
+    """Whether a letter or digit beside `c` would belong to its word."""
+    return c.isalnum() and not any(a <= ord(c) <= b for a, b in UNSPACED)
+
+
+def _character(data: np.ndarray, at: int, step: int) -> str:
+    """The character of which the byte at `at` is the first (step 1) or the last (step -1), '' between texts."""
+    end = at
+    if step > 0:
+        while end + 1 < len(data) and data[end + 1] & 0xC0 == 0x80:
+            end += 1
+    else:
+        while at > 0 and data[at] & 0xC0 == 0x80:
+            at -= 1
+    return data[at : end + 1].tobytes().decode() if 0 <= at < len(data) and data[at] != 255 else ""
+
+
+def _is_whole(data: np.ndarray, at: int, item: bytes) -> bool:
+    """Whether no letter or digit beside the place goes on with the item's first or last word."""
+    text, end = item.decode(), at + len(item)
+    before = _character(data, at - 1, -1) if at else ""
+    after = _character(data, end, 1) if end < len(data) else ""
+    return not (_joins(text[0]) and before and _joins(before)) and not (_joins(text[-1]) and after and _joins(after))
+
+
 def _short_places(data: np.ndarray, index: Index) -> Iterator[tuple[int, int]]:
     """(item, start) of each place where a short item stands as whole words."""
-    apart = (data == 32) | (data == 255)
-    edge = np.concatenate([[True], apart, np.ones(Q, bool)])
-    begin = np.flatnonzero(edge[: len(data)] & ~apart)
+    begin = np.flatnonzero(((data & 0xC0) != 0x80) & (data != 255) & (data != 32)) if index.short else np.zeros(0, np.int64)
+    word = np.concatenate([[False], _WORDLIKE[data], np.zeros(Q, bool)])  # the byte before each place
     for n, (values, which) in index.short.items():
         at = begin[begin + n <= len(data)]
-        at = at[edge[at + n + 1]]
+        at = at[~(word[at] & word[at + 1]) & ~(word[at + n] & word[at + n + 1])]
         found = packed(data, at, n)
         lo, hi = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
         for place, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
             for k in which[a:b].tolist():
-                if data[place : place + n].tobytes() == index.texts[k]:
+                if data[place : place + n].tobytes() == index.texts[k] and _is_whole(data, place, index.texts[k]):
                     yield k, place
 
 

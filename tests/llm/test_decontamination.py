@@ -95,9 +95,10 @@ def test_query_finds_every_verbatim_item(spark):
 
 
 def test_short_items_are_found_as_whole_words(spark, documents):
-    rows = [(1, "Yes, no"), (2, "say  YES now"), (3, "yesterday"), (4, "aye"), (5, "é a\nb"), (6, "a bc")]
-    got = decontamination.contaminated_places(documents(rows), items(spark, [(1, "yes"), (2, " a B"), (3, "Aye"), (4, "")])).collect()
-    assert sorted((r["doc_id"], r["item_id"], rows[r["doc_id"] - 1][1][r["start"] : r["end"]], r["edits"]) for r in got) == [(2, 1, "YES", 0), (4, 3, "aye", 0), (5, 2, "a\nb", 0)]
+    rows = [(1, "Yes, no"), (2, "say  YES now"), (3, "yesterday"), (4, "aye"), (5, "é a\nb"), (6, "a bc"), (7, "(yes)yes, _yes éyes yesé 9yes"), (8, "東京大学へ行く"), (9, "京 x京y"), (10, "a b"), (11, "yes")]
+    got = decontamination.contaminated_places(documents(rows), items(spark, [(1, "yes"), (2, " a B"), (3, "Aye"), (4, ""), (5, "京"), (6, "b")])).collect()
+    told = [(1, 1, "Yes"), (2, 1, "YES"), (4, 3, "aye"), (5, 2, "a\nb"), (5, 6, "b"), (7, 1, "yes"), (7, 1, "yes"), (7, 1, "yes"), (8, 5, "京"), (9, 5, "京"), (9, 5, "京"), (10, 2, "a b"), (10, 6, "b"), (11, 1, "yes")]
+    assert sorted((r["doc_id"], r["item_id"], rows[r["doc_id"] - 1][1][r["start"] : r["end"]]) for r in got) == told and not any(r["edits"] for r in got)
 
 
 def test_items_that_share_an_id_or_a_text(spark, documents):
