@@ -31,7 +31,7 @@ KINDS = {"#text": 0, "p": 1, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "blockquote": 1
 KIND_COUNT, OTHER_KIND, BUCKETS, DENSE = 7, 6, 4096, 8
 NAMES = "nav menu side ad ads advert promo sponsor cookie notice banner consent comment respons discuss repl footer header head masthead share social related recommend subscribe newsletter login search form breadcrumb widget popup modal alert toolbar pager tag meta author content article post entry story body main text".split()
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 

@@ -65,6 +65,18 @@ def test_nulls_empty_broken_long_and_repeated_pages(spark):
     assert [r["text"] for r in got if r["page_id"] == 8] == [by_id[8]] * 2
 
 
+@pytest.mark.parametrize("tag", ['<p title="oops>', "<p title='oops>", '<p class=a title="b" id="c>'])
+def test_quotes_that_never_close_leave_no_markup(model, tag):
+    page = f"<html><body><article>{tag}Hello there world, this is the first paragraph of it.</p><p>And this one follows the first.</p></article></body></html>"
+    (text,) = h.extract(model, [page])
+    assert "<" not in text and "oops" not in text and "id=" not in text and "follows the first" in text
+
+
+def test_very_deep_pages(model):
+    (text,) = h.extract(model, ["<body>" + "<section>" * 20_000 + "<p>Deep below all of these sections stands one sentence of text.</p>"])
+    assert text == "Deep below all of these sections stands one sentence of text."
+
+
 def test_empty_table(spark):
     assert h.main_text(frame(spark, [])).count() == 0
 
