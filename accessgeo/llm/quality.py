@@ -118,17 +118,21 @@ def forward(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.nda
     return hidden, hidden @ w2 + b2[0]
 
 
+def gradients(layers: list[np.ndarray], x: np.ndarray, y: np.ndarray, decay: float) -> list[np.ndarray]:
+    """Of the mean log loss plus decay / 2 times the squared weights (not the offsets), by each layer."""
+    h, z = forward(layers, x)
+    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+    back = g[:, None] * layers[2] * (1 - h * h)
+    return [x.T @ back + decay * layers[0], back.sum(0), h.T @ g + decay * layers[2], np.array([g.sum()])]
+
+
 def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 300, rate: float = 0.01, decay: float = 1e-3) -> list[np.ndarray]:
     """Adam on the mean log loss with weight decay."""
     rng = np.random.default_rng(5)
     layers = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     first, second = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers]
     for step in range(1, rounds + 1):
-        h, z = forward(layers, x)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        back = g[:, None] * layers[2] * (1 - h * h)
-        grads = [x.T @ back + decay * layers[0], back.sum(0), h.T @ g + decay * layers[2], np.array([g.sum()])]
-        for k, d in enumerate(grads):
+        for k, d in enumerate(gradients(layers, x, y, decay)):
             first[k], second[k] = 0.9 * first[k] + 0.1 * d, 0.999 * second[k] + 0.001 * d * d
             layers[k] = layers[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return layers

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,6 +12,9 @@ import pyarrow as pa
 import pytest
 
 from accessgeo.llm import labelled, quality, queries, toxicity
+from accessgeo.llm.arrays import coded, word_lists
+
+from .conftest import SF_DIR
 
 BIG = "/root/testdata/sf0.01"
 
@@ -99,3 +103,65 @@ def test_temperature_is_fitted_on_rows_the_weights_have_not_seen():
     model = quality.fit(texts, [k % 2 for k in range(100)])
     p = model.score(pa.array(["good fine good", "bad poor bad"]))
     assert p[0] > 0.9 > 0.1 > p[1] and 0.25 <= model.temperature <= 8
+
+
+@pytest.mark.parametrize("decay", [0.0, 0.1])
+def test_gradients_of_the_network_are_those_of_small_steps(decay):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, (30, 7)), (rng.random(30) > 0.5).astype(float)
+    layers = [rng.normal(0, 1, (7, 4)), rng.normal(0, 1, 4), rng.normal(0, 1, 4), rng.normal(0, 1, 1)]
+
+    def loss():
+        return quality.log_loss(quality.forward(layers, x)[1], y) + decay / 2 * (np.sum(layers[0] ** 2) + np.sum(layers[2] ** 2))
+
+    for layer, told in zip(layers, quality.gradients(layers, x, y, decay), strict=True):
+        for at in np.ndindex(layer.shape):
+            old = layer[at]
+            layer[at] = old + 1e-6
+            up = loss()
+            layer[at] = old - 1e-6
+            down = loss()
+            layer[at] = old
+            assert abs((up - down) / 2e-6 - told[at]) < 1e-6
+
+
+def slow_vectors(keys, text):
+    """Index vector plus normed sum of the neighbours' index vectors, pair by pair."""
+    index = quality.index_vectors(keys.size, 11).astype(float)
+    sums, words = np.zeros_like(index), re.findall(r"[^\x20\x09-\x0D]+", text)
+    for kind in keys.of(words):
+        for i, a in enumerate(kind):
+            for b in kind[i + 1 : i + 1 + quality.REACH]:
+                sums[a] += index[b]
+                sums[b] += index[a]
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    out = unit(index) + unit(sums)
+    out[keys.no_word] = 0
+    return out
+
+
+def slow_pooled(model, text):
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x]
+    own, looks = model.keys.of(words)
+    means = [np.mean([model.vectors[k] for k in kind], axis=0) if words else np.zeros(quality.DIMENSIONS) for kind in (own, looks)]
+    return np.concatenate([*means, [np.log1p(len(words)) / 10, len(set(words)) / max(len(words), 1), 1 - len(set(lines)) / len(lines) if lines else 0]])
+
+
+def test_word_vectors_equal_sums_over_pairs():
+    text = "One two three, two ONE three one two 4 Five one two three two one"
+    keys = quality.Keys(["one", "two", "three"], ["x", "Xx", "9"])
+    words, _ = word_lists(pa.array([text]))
+    codes, distinct = coded(words)
+    assert np.allclose(quality.word_vectors(keys, codes, distinct), slow_vectors(keys, text), atol=1e-5)
+
+
+def test_quality_query_equals_scoring_text_by_text(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    sample = sorted((r["at"], r["text"], r["y"]) for r in labelled.fitting_sample(docs, labels, "quality").collect())
+    model = quality.fit([t for _, t, _ in sample], [y for *_, y in sample])
+    told = {}
+    for r in docs.collect():
+        hidden = np.tanh(((slow_pooled(model, r["text"] or "") - model.centre) / model.scale) @ model.layers[0] + model.layers[1])
+        told[r["doc_id"]] = 1 / (1 + np.exp(-np.clip((hidden @ model.layers[2] + model.layers[3][0]) / model.temperature, -30, 30)))
+    got = {r["doc_id"]: r["score"] for r in queries.op4_quality(spark, SF_DIR).collect()}
+    assert set(got) == set(told) and all(abs(got[d] - told[d]) < 1e-3 for d in told)
