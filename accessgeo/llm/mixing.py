@@ -105,8 +105,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of `docs`, all columns, each as often as mix_sources takes it."""
-    plan = mix_plan(_sized(docs), weights, share, most).select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("cut").alias("__cut"))
-    times = F.col("__copies") + (document_hash(F.col("doc_id")) < F.col("__cut")).cast("long")
-    rows = docs.withColumn("__key", _key()).join(plan, "__key").withColumn("__times", times).where("__times > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__copy")).drop("__copy")
+    """The rows of `docs`, all columns whatever their names, each as often as mix_sources takes it."""
+    plan = mix_plan(_sized(docs), weights, share, most).select("key", "copies", "cut")
+    held = docs.select(F.struct(*docs.columns).alias("row"), _key().alias("key"), document_hash(F.col("doc_id")).alias("h"))
+    times = F.col("copies") + (F.col("h") < F.col("cut")).cast("long")
+    return held.join(plan, "key").select("row", times.alias("times")).where("times > 0").select(F.explode(F.array_repeat("row", F.col("times").cast("int"))).alias("row")).select("row.*")

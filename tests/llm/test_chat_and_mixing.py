@@ -100,6 +100,14 @@ def test_mix_of_no_rows_and_of_rows_without_words(documents):
     assert [(r["size"], r["taken"]) for r in mixing.mix_sources(documents([(1, None, "a"), (2, "", None)])).collect()] == [(0, 0)] * 2
 
 
+def test_columns_of_any_name_stay_as_they_are(spark):
+    names = ["__key", "__copies", "__cut", "__copy", "__times", "key", "row", "times", "copies", "cut", "h"]
+    docs = spark.createDataFrame([(k, "some words here", "s0", *[f"mine {k}"] * len(names)) for k in range(20)], ", ".join(["doc_id bigint", "text string", "source string", *[f"{n} string" for n in names]]))
+    mixed = mixing.mixed_documents(docs)
+    rows = mixed.collect()
+    assert mixed.columns == docs.columns and len(rows) == 30 and all(r[n] == f"mine {r['doc_id']}" for r in rows for n in names)
+
+
 def test_reruns_agree_and_rows_repeat_as_taken(documents, prose):
     docs = documents([(k, t, "ab"[k % 2]) for k, t in enumerate(prose(50, 20, 4))])
     first, second = (sorted((r["doc_id"], r["copies"]) for r in mixing.mix_sources(docs).collect()) for _ in range(2))
