@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,38 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths handed out by `scratch` while a list is noted here.
+_noted: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def noted_paths() -> Iterator[list[str]]:
+    """The list of all scratch paths handed out inside the block."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str], unless: DataFrame | None = None) -> list[str]:
+    """Delete tables in the shared folder, but those that `unless` still reads: these are returned."""
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+    read = set() if unless is None else {part for f in unless.inputFiles() for part in f.split("/") if part in names}
+    for path, name in zip(paths, names, strict=True):
+        if name not in read:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return [p for p, name in zip(paths, names, strict=True) if name in read]
 
 
 def bound_batches(spark: SparkSession, rows: int = 2_000, megabytes: int = 8) -> None:
