@@ -186,6 +186,16 @@ def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(more, more - d.sum(-1))
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that the counts of their words do not rule out."""
+    for batch in batches:
+        n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+        bags = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for x in ("bag", "gab")]
+        most = ((1 - SIMILARITY) * np.maximum(n, m) + 1e-9).astype(np.int64)
+        keep = pa.array((np.abs(n - m) <= most) & (_missing(*bags) <= most), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+
 def _block_pairs(node: np.ndarray, c: np.ndarray, n: np.ndarray, part: np.ndarray, bags: np.ndarray, i: int, j: int, first: bool) -> np.ndarray:
     """Pairs of different classes, one of part i and one of part j of a bucket, that the counts of their words do not rule out: each
     edit takes at most one word from either text, so no pair that is similar goes. With `first` a text of part i has its nearest partner only."""
@@ -299,12 +309,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     words = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
     texts = materialise(kept.groupBy("node").agg(F.first(words).alias("text")), "texts")
 
+    counted = materialise(texts.mapInArrow(_bags, "node bigint, n bigint, bag binary"), "counted")
+
     def verify(candidates: DataFrame) -> DataFrame:
-        with_b = candidates.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        """Only texts of candidates travel; two of them for each pair."""
+        needed = small_side(materialise(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed"), 200_000)
+        own = texts.join(needed, "node", "left_semi")
+        with_b = candidates.join(own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        both = with_b.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         return materialise(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"), "links")
 
-    tested, links = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), verify(pairs)
+    # counts of words go before texts: most pairs that share a key by chance end here
+    with_b = pairs.join(counted.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bag").alias("gab")), "b")
+    likely = materialise(with_b.join(counted.withColumnRenamed("node", "a"), "a").select("a", "b", "n", "m", "bag", "gab").mapInArrow(_possible, "a bigint, b bigint"), "likely")
+    tested, links = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), verify(likely)
     # a bucket of two is settled by its pivot; larger ones that hold several classes first join each text to its nearest one of
     # another class, which merges what belongs together, and then all pairs of classes that are left are compared
     wide, bags = buckets.where("size > 2").select("key", "node"), None
@@ -313,7 +331,6 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         mixed = _mixed_buckets(materialise(placed, "placed"))
         if bags is None:
             wide = mixed.select("key", "node")
-            counted = texts.join(wide.select("node").distinct(), "node").select("node", "text").mapInArrow(_bags, "node bigint, n bigint, bag binary")
             bags = materialise(counted.join(wide.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "bags")
         fresh = materialise(_open_pairs(mixed, bags, first).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested, links = tested.unionByName(fresh), links.unionByName(verify(fresh))
