@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The area of interest in grid units: west, south, east, north.
@@ -33,6 +36,93 @@ def passes(scenes: DataFrame) -> DataFrame:
     return found.select("orbit_state", "relative_orbit", "day", "ids", "scenes", (covered / ((e - w) * (n - s))).alias("coverage"))
 
 
+#: Footprints of a pass that are laid over each other at once; a pass of more is cut into tiles of the area.
+AT_ONCE = 24
+PASS = ["orbit_state", "relative_orbit", "day"]
+
+
+def union_area(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> float:
+    """Area of the union of polygons (rings of x, y, even-odd where a ring crosses itself) inside a box.
+
+    The box is cut where a corner lies or two sides cross, so between two cuts the polygons are trapezoids whose sides do not cross, and the union's
+    height in the middle times the width is its area there.
+    """
+    x0, y0, x1, y1 = box
+    start = np.concatenate([*rings, [[x0, y0], [x0, y1]]])
+    end = np.concatenate([*[np.roll(r, -1, 0) for r in rings], [[x1, y0], [x1, y1]]])
+    owner = np.repeat(np.arange(len(rings) + 1), [*map(len, rings), 2])
+    steep = start[:, 0] == end[:, 0]
+    low, high = (np.where((start[:, 0] <= end[:, 0])[:, None] == first, start, end)[~steep] for first in (True, False))
+    owner = owner[~steep]
+    slope = (high[:, 1] - low[:, 1]) / (high[:, 0] - low[:, 0])
+    base = low[:, 1] - slope * low[:, 0]
+    cuts = [np.array([x0, x1]), low[:, 0], high[:, 0]]
+    for k in range(len(low) - 1):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = (base[k + 1 :] - base[k]) / (slope[k] - slope[k + 1 :])
+        cuts.append(x[np.isfinite(x) & (x > np.maximum(low[k, 0], low[k + 1 :, 0])) & (x < np.minimum(high[k, 0], high[k + 1 :, 0]))])
+    cuts = np.unique(np.concatenate(cuts))
+    cuts, total = cuts[(cuts >= x0) & (cuts <= x1)], 0.0
+    for left, right in zip(cuts[:-1], cuts[1:], strict=True):
+        middle = (left + right) / 2
+        met = np.flatnonzero((low[:, 0] <= left) & (high[:, 0] >= right) & (owner < len(rings)))
+        y = base[met] + slope[met] * middle
+        order = np.lexsort((y, owner[met]))
+        span = np.clip(y[order].reshape(-1, 2), y0, y1)
+        span = span[np.argsort(span[:, 0])]
+        if len(span):
+            till = np.maximum.accumulate(span[:, 1])
+            total += (right - left) * float(np.maximum(span[:, 1] - np.maximum(span[:, 0], np.concatenate([[y0], till[:-1]])), 0).sum())
+    return total
+
+
+def footprint_passes(scenes: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:
+    """One row per (orbit_state, relative_orbit, day): ids, scenes, platforms, first and last time, and the share of `area` (west, south, east, north) that
+    the union of the footprints covers.
+
+    `scenes`: id, orbit_state, relative_orbit, time, platform and ring, the corners of a polygon as array<struct<x, y>>, closed or not. The day is that of
+    the time in UTC. Scenes without an id, with another orbit than ascending or descending and a positive number, without a time, or with a ring that is null, holds a null
+    or non-finite number or has no area are left out; of several scenes with one id in a pass the latest counts. Equal footprints of a pass count once before they are
+    laid over each other; a pass of more than AT_ONCE of them is cut into tiles of the area, so that a task holds those of a tile.
+    """
+    w, s, e, n = (float(x) for x in area)
+    if not (e > w and n > s):
+        raise ValueError("the area must have a positive width and height")
+    c = F.col
+    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    finite = F.forall("ring", lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull() & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
+    nexts = F.zip_with("ring", F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    known = scenes.select("id", F.lower("orbit_state").alias("orbit_state"), c("relative_orbit").cast("int").alias("relative_orbit"), "time", F.to_date("time").alias("day"), "platform", ring.alias("ring"))
+    known = known.where(c("id").isNotNull() & (c("id") != "") & c("orbit_state").isin("ascending", "descending") & (c("relative_orbit") > 0) & c("time").isNotNull())
+    known = known.where((F.size("ring") >= 3) & finite).where(F.aggregate(nexts, F.lit(0.0), lambda t, v: t + v) != 0)
+    frames = known.groupBy(*PASS, "id").agg(F.max(F.struct("time", "ring", "platform")).alias("f")).select(*PASS, "id", "f.*")
+    found = frames.groupBy(*PASS).agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count(F.lit(1)).alias("scenes"), F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("platforms"), F.min("time").alias("earliest"), F.max("time").alias("latest"))
+
+    shapes = frames.select(*PASS, "ring").distinct()
+    cut = shapes.groupBy(*PASS).agg(F.ceil(F.sqrt(F.count(F.lit(1)) / AT_ONCE)).cast("int").alias("side"))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+
+    def tiles(values: Column, low: float, high: float) -> Column:
+        at = lambda v: F.floor((v - low) / (high - low) * c("side"))
+        first, last = F.greatest(at(F.array_min(values)), F.lit(0)), F.least(at(F.array_max(values)), c("side") - 1)
+        return F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>")))
+
+    laid = shapes.join(cut, PASS).select(*PASS, "side", "ring", tiles(xs, w, e).alias("i")).select("*", tiles(ys, s, n).alias("j"))
+    grouped = laid.groupBy(*PASS, "side", "i", "j").agg(F.collect_list("ring").alias("rings"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            areas = []
+            for rings, side, i, j in zip(batch.column("rings").to_pylist(), *[batch.column(k).to_pylist() for k in ("side", "i", "j")], strict=True):
+                box = (w + (e - w) * i / side, s + (n - s) * j / side, w + (e - w) * (i + 1) / side, s + (n - s) * (j + 1) / side)
+                areas.append(union_area([np.array([(p["x"], p["y"]) for p in r]) for r in rings], box))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in PASS], pa.array(areas, pa.float64())], [*PASS, "area"])
+
+    covered = grouped.mapInArrow(run, "orbit_state string, relative_orbit int, day date, area double").groupBy(*PASS).agg(F.sum("area").alias("area"))
+    share = F.least(F.coalesce(c("area"), F.lit(0.0)) / ((e - w) * (n - s)), F.lit(1.0))
+    return found.join(covered, PASS, "left").select(*PASS, "ids", "scenes", "platforms", "earliest", "latest", share.alias("coverage"))
+
+
 def rank_pairs(found: DataFrame, flood: dt.date, least_coverage: float = 0.5, good_coverage: float = 0.95, keep: int = 4) -> DataFrame:
     """The best pairs of one pass before and one after the flood on the same orbit, ranked."""
     a, b, c, d = windows(flood)
