@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from accessgeo.operators import paths
 from accessgeo.session import checkpointed
 
-MAIN = ("hospital", "town")
+MAIN, CLASSES = ("hospital", "town"), ("hospital", "town", "clinic")
+#: Counts of the hit links on a way: all, and those with evidence of tier 1 and 2.
+HITS = ["responsible", "ones", "twos"]
 #: A detour of more than this many times the time before is degraded access.
 DEGRADED = 1.5
 
@@ -42,18 +44,18 @@ def other_towns(found: DataFrame, edges: DataFrame, towns: DataFrame) -> DataFra
 
 
 def route_hits(found: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
-    """class, node, `responsible` (links on the way to the nearest destination whose fastest member is hit), `ones` (those of evidence tier 1).
+    """class, node, `responsible` (links on the way to the nearest destination whose fastest member is hit), `ones` and `twos` (those of evidence tier 1 and 2).
 
     `found`: class, node, cost, target of one scenario. A way keeps to the region of its destination; the least next node wins among equal ways.
     """
     keys = ["class", "target"]
     ahead = paths.route_pointers(found.select(*keys, "node", "cost"), edges.select("u", "v", "cost", "link_id"), keys).join(links.select("link_id", *_hits()), "link_id", "left")
-    valued = ahead.select(*keys, "node", "next", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("responsible", "ones")])
-    return paths.sums_along(valued, ["responsible", "ones"], keys).drop("target")
+    valued = ahead.select(*keys, "node", "next", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in HITS])
+    return paths.sums_along(valued, HITS, keys).drop("target")
 
 
 def _hits() -> list[Column]:
-    return [F.col("fastest_hit").cast("long").alias("responsible"), (F.col("fastest_hit") & (F.col("evidence_tier") == 1)).cast("long").alias("ones")]
+    return [F.col("fastest_hit").cast("long").alias("responsible"), *[(F.col("fastest_hit") & (F.col("evidence_tier") == k)).cast("long").alias(c) for k, c in ((1, "ones"), (2, "twos"))]]
 
 
 def settled(isolated: DataFrame, found: DataFrame, others: DataFrame, hits: DataFrame, links: DataFrame) -> DataFrame:
@@ -63,19 +65,19 @@ def settled(isolated: DataFrame, found: DataFrame, others: DataFrame, hits: Data
     before and after are those of the baseline and likely graphs; a town's own place is no destination of it.
     """
     here = isolated.select("osm_id", "place", F.col("at").alias("node"))
-    wanted = [(s, k) for s in ("baseline", "likely") for k in MAIN]
-    direct = here.join(found, "node").where("class = 'hospital' or place <> 'town'").select("osm_id", "scenario", "class", "cost")
+    wanted = [(s, k) for s in ("baseline", "likely") for k in CLASSES]
+    direct = here.join(found, "node").where("class <> 'town' or place <> 'town'").select("osm_id", "scenario", "class", "cost")
     to_town = others.select("osm_id", "scenario", F.lit("town").alias("class"), "cost")
     costs = direct.unionByName(to_town).groupBy("osm_id").agg(*[F.min(F.when((F.col("scenario") == s) & (F.col("class") == k), F.col("cost"))).alias(f"{s}_{k}_ms") for s, k in wanted])
 
-    own = here.join(hits, "node").where("class = 'hospital' or place <> 'town'").select("osm_id", "responsible", "ones")
+    own = here.join(hits, "node").where("class = 'hospital' or place <> 'town'").select("osm_id", *HITS)
     way = others.where("scenario = 'baseline' and u is not null")
-    ends = way.select("osm_id", F.explode(F.array("u", "v")).alias("node")).join(hits.where("class = 'town'"), "node").select("osm_id", "responsible", "ones")
-    between = way.select("osm_id", "link_id").join(links.select("link_id", *_hits()), "link_id").select("osm_id", "responsible", "ones")
-    met = own.unionByName(ends).unionByName(between).groupBy("osm_id").agg(F.sum("responsible").alias("responsible"), F.sum("ones").alias("ones"))
+    ends = way.select("osm_id", F.explode(F.array("u", "v")).alias("node")).join(hits.where("class = 'town'"), "node").select("osm_id", *HITS)
+    between = way.select("osm_id", "link_id").join(links.select("link_id", *_hits()), "link_id").select("osm_id", *HITS)
+    met = own.unionByName(ends).unionByName(between).groupBy("osm_id").agg(*[F.sum(c).alias(c) for c in HITS])
 
-    out = isolated.join(costs, "osm_id", "left").join(met, "osm_id", "left").fillna(0, ["responsible", "ones"])
-    for k in MAIN:
+    out = isolated.join(costs, "osm_id", "left").join(met, "osm_id", "left").fillna(0, HITS)
+    for k in CLASSES:
         before, after = F.col(f"baseline_{k}_ms"), F.col(f"likely_{k}_ms")
         out = out.withColumn(f"detour_{k}", F.when(before.isNull() | after.isNull(), None).when(before == 0, 1.0).otherwise(after / before))
     doubtful = (F.col("status") == "CONNECTED") & (F.col("responsible") > 0) & (F.col("responsible") == F.col("ones"))
@@ -105,8 +107,35 @@ def restoration(isolated: DataFrame, destinations: DataFrame, links: DataFrame,
 
 def analysed(isolated: DataFrame, destinations: DataFrame, graphs: dict[str, DataFrame], routes: DataFrame) -> DataFrame:
     """`settled` over the graphs `baseline` (links) and `likely`; `routes` are those of network.routes over both."""
-    found = checkpointed(routes.where("class in ('hospital', 'town')"))
+    found = checkpointed(routes)
     edges = checkpointed(both_ways(graphs["baseline"], "baseline").unionByName(both_ways(graphs["likely"], "likely")))
     others = checkpointed(other_towns(found.where("class = 'town'"), edges, destinations.where("class = 'town'").select("osm_id", "at")))
-    hits = checkpointed(route_hits(found.where("scenario = 'baseline'"), edges.where("scenario = 'baseline'"), graphs["baseline"]))
+    hits = checkpointed(route_hits(found.where("scenario = 'baseline' and class <> 'clinic'"), edges.where("scenario = 'baseline'"), graphs["baseline"]))
     return settled(isolated, found, others, hits, graphs["baseline"])
+
+
+def attributed(final: DataFrame, buildings: DataFrame, links: DataFrame, likely: DataFrame) -> DataFrame:
+    """`final` (see settled) with cluster_buildings, tier, detour, degraded, attributable and gap.
+
+    tier: the least evidence tier of the hit links on a settlement's ways and, if it is cut off, of the removed links around its component of the likely graph
+    (`likely`: node, comp); 0 without any. cluster_buildings: of a cut-off settlement all buildings of those in its component. detour: the greatest
+    over the classes, 1 if none is known. A settlement is attributable to the flood if it is cut off; or on the network with a hit way and a degraded one; or uncertain with a hit way and either a
+    loss in the possible scenario or complete access before and evidence of tier 1. An uncertain one that is not, without a place on the network
+    or without hospital and town before, is a gap in the data. Buildings and tiers are summed by component before they meet settlements.
+    """
+    c = F.col
+    cut, complete = c("status") == "CUT OFF", c("baseline_hospital") & c("baseline_town")
+    own = final.join(buildings, "osm_id", "left").withColumn("buildings", F.coalesce("buildings", F.lit(0)))
+    totals = own.where(cut).groupBy("likely_comp").agg(F.sum("buildings").alias("total"))
+    sides = links.where("lost_likely").select("a", "b", "evidence_tier").join(likely.select(c("node").alias("a"), c("comp").alias("ca")), "a").join(likely.select(c("node").alias("b"), c("comp").alias("cb")), "b").where("ca <> cb")
+    around = sides.select(F.explode(F.array("ca", "cb")).alias("likely_comp"), "evidence_tier").groupBy("likely_comp").agg(F.min("evidence_tier").alias("around"))
+    rows = own.join(totals, "likely_comp", "left").join(around, "likely_comp", "left")
+    on_way = F.when(c("ones") > 0, 1).when(c("twos") > 0, 2).when(c("responsible") > 0, 3)
+    slow = F.greatest(*[F.coalesce(f"detour_{k}", F.lit(1.0)) for k in CLASSES])
+    rows = rows.withColumns({
+        "cluster_buildings": F.when(cut, F.greatest("buildings", F.coalesce("total", F.lit(0)))).otherwise(c("buildings")), "tier": F.coalesce(F.least(on_way, F.when(cut, c("around"))), F.lit(0)),
+        "detour": F.greatest(*[F.col(f"detour_{k}") for k in CLASSES]), "degraded": (c("access_detail") == "degraded") | (slow > DEGRADED)})
+    hit = c("snapped") & (c("responsible") > 0)
+    loss = c("lost_possible_hospital") | c("lost_possible_town")
+    rows = rows.withColumn("detour", F.coalesce("detour", F.lit(1.0))).withColumn("attributable", cut | (hit & c("degraded")) | ((c("status") == "UNCERTAIN") & hit & (loss | (complete & (c("ones") > 0)))))
+    return rows.withColumn("gap", ~c("attributable") & (c("status") == "UNCERTAIN") & (~c("snapped") | ~complete)).drop("total", "around", "buildings")

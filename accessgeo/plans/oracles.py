@@ -146,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
         "scenario_links": _q(ROADS, "SELECT a, b, travel_ms, fastest, members, scenario FROM surv WHERE scenario <> 'baseline'"),
         "road_components": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT node, comp FROM comp WHERE scenario = 'baseline'", True),
         "road_summary": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT count(*) AS nodes, count(DISTINCT comp) AS components, (SELECT count(*) FROM links) AS links, (SELECT count(*) FILTER (members > 1) FROM links) AS parallel_links, (SELECT max(m) / sum(m) FROM (SELECT sum(length_m) AS m FROM links JOIN comp ON node = a AND scenario = 'baseline' GROUP BY comp)) AS largest_share FROM comp WHERE scenario = 'baseline'", True),
-        "settlement_status": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT osm_id, snapped, " + ", ".join(f"{s}_{k}" for s in ("baseline", "likely", "possible") for k in ("hospital", "town", "clinic")) + ", status FROM isolated", True),
+        "settlement_status": _q(ROADS + "," + PLACES + "," + ACCESS, "SELECT osm_id, snapped, " + ", ".join(f"{s}_{k}" for s in ("baseline", "likely", "possible") for k in ("hospital", "town", "clinic")) + ", status AS status_by_access FROM isolated", True),
         "isolated_clusters": _q(ROADS + "," + PLACES + "," + ACCESS + """, cut AS (SELECT c.comp, count(*) AS n_subjects, bool_or(lost_h) AS hospital, bool_or(lost_t) AS town, string_agg(osm_id, ',' ORDER BY osm_id) AS subjects FROM isolated i JOIN comp c ON c.scenario = 'likely' AND c.node = i.loc WHERE status = 'CUT OFF' GROUP BY 1),
           bd AS (SELECT k.comp, string_agg(DISTINCT link_id, ',' ORDER BY link_id) AS boundary FROM (SELECT link_id, x.comp AS ca, y.comp AS cb FROM links JOIN comp x ON x.scenario = 'likely' AND x.node = a JOIN comp y ON y.scenario = 'likely' AND y.node = b WHERE lost_likely AND x.comp <> y.comp) e, LATERAL (SELECT unnest([ca, cb]) AS comp) k GROUP BY 1)""", "SELECT comp, n_subjects, hospital, town, subjects, coalesce(boundary, '') AS boundary FROM cut LEFT JOIN bd USING (comp)", True),
         "damaged_links": _q(ROADS + "," + PLACES + "," + ACCESS + """, gone AS (SELECT link_id, evidence_tier, x.comp AS ca, y.comp AS cb FROM links JOIN comp x ON x.scenario = 'likely' AND x.node = a JOIN comp y ON y.scenario = 'likely' AND y.node = b WHERE lost_likely),
@@ -159,7 +159,6 @@ def oracle_sql() -> dict[str, str]:
         "detours": _q(ROADS + "," + PLACES + "," + SP + ", w AS (SELECT node, min(cost) FILTER (scenario = 'baseline') AS before, min(cost) FILTER (scenario = 'likely') AS after FROM cost WHERE class = 'hospital' GROUP BY 1), r AS (SELECT *, CASE WHEN before IS NULL OR after IS NULL THEN NULL WHEN before = 0 THEN 1.0::DOUBLE ELSE after / before END AS x FROM w)", "SELECT node, before, after, round(x, 9) AS ratio, CASE WHEN before IS NULL THEN 'unmapped' WHEN after IS NULL THEN 'none' WHEN x > 1.5 THEN 'degraded' ELSE 'full' END AS detail FROM r", True),
         "snapped_settlements": _q(ROADS + "," + PLACES + ", nd AS (SELECT node, (node % 100) * 100 AS x, (node // 100) * 100 AS y FROM nodes), pr AS (SELECT s.osm_id, (s.x + 37 - nd.x) ** 2 + (s.y - 21 - nd.y) ** 2 AS d2, node FROM subjects s JOIN nd ON abs(s.x + 37 - nd.x) <= 120 AND abs(s.y - 21 - nd.y) <= 120), bs AS (SELECT osm_id, arg_min(node, (d2, node)) AS node, min(d2) AS d2 FROM pr WHERE d2 <= 14400 GROUP BY 1)", "SELECT s.osm_id, node, round(sqrt(d2), 6) AS distance FROM subjects s LEFT JOIN bs USING (osm_id)"),
         "buildings_near": _q(PLACES + "," + BUILDINGS, "SELECT osm_id, buildings FROM buildings"),
-        "settlement_priorities": _q(ROADS + "," + PLACES + "," + ACCESS + "," + BUILDINGS + ", sv AS (SELECT osm_id, lost_h::INT AS h, lost_t::INT AS t, least(log10(buildings + 1), 3) AS b, buildings FROM isolated JOIN buildings USING (osm_id) WHERE status = 'CUT OFF'), sr AS (SELECT *, round(0.0::DOUBLE + 100 + h * 50.0::DOUBLE + t * 20.0::DOUBLE + b * 10.0::DOUBLE, 6) AS score FROM sv)", "SELECT osm_id, score, row_number() OVER (ORDER BY score DESC, osm_id) AS rank, format('status=CUT OFF contributes 100.000; hospital={} contributes {:.3f}; town={} contributes {:.3f}; buildings={} contributes {:.3f}', h, h * 50.0::DOUBLE, t, t * 20.0::DOUBLE, buildings, b * 10) AS why FROM sr", True),
         "confusion_by_region": _q(LABELS + ", c AS (SELECT region, " + COUNTS.format(t=0.5) + " FROM known GROUP BY ROLLUP (region))", f"SELECT *, {RATIOS} FROM c"),
         "threshold_sweep": _q(LABELS + ", c AS (SELECT k / 20.0::DOUBLE AS threshold, " + COUNTS.format(t="k / 20.0::DOUBLE") + " FROM known, range(1, 20) t(k) GROUP BY k)", f"SELECT *, {RATIOS} FROM c"),
         "best_threshold": _q(LABELS + ", c AS (SELECT k / 20.0::DOUBLE AS threshold, " + COUNTS.format(t="k / 20.0::DOUBLE") + f" FROM known, range(1, 20) t(k) GROUP BY k), r AS (SELECT *, {RATIOS} FROM c)", "SELECT arg_max(threshold, (f1, -abs(threshold - 0.5), -threshold)) AS threshold, max(f1) AS f1 FROM r"),

@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessgeo.functions.roads import SETTLEMENT_WEIGHTS, STATUS_POINTS
-from accessgeo.operators import agreement, elements, exposure, hydrology, metrics, network, raster, scenes, scoring
+from accessgeo.operators import agreement, elements, exposure, hydrology, metrics, network, raster, scenes
 from accessgeo.session import checkpointed, read
 from accessgeo.sources import adapters
 
@@ -169,7 +168,8 @@ def _isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settlement_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _isolated(spark, sf_dir).select("osm_id", "snapped", *[f"{s}_{k}" for s in ("baseline", "likely", "possible") for k in network.CLASSES], "status")
+    """Access in each scenario, and the status by access alone; `settlement_access` has the final one."""
+    return _isolated(spark, sf_dir).select("osm_id", "snapped", *[f"{s}_{k}" for s in ("baseline", "likely", "possible") for k in network.CLASSES], F.col("status").alias("status_by_access"))
 
 
 def isolated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,13 +212,6 @@ def buildings_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.subjects(spark, sf_dir).select("osm_id", F.col("at").alias("node")).join(counted, "node", "left").select("osm_id", F.coalesce("n", F.lit(0)).alias("buildings"))
 
 
-def settlement_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _isolated(spark, sf_dir).where("status = 'CUT OFF'").join(buildings_near(spark, sf_dir), "osm_id")
-    values = {"status": F.lit(STATUS_POINTS["CUT OFF"]), "hospital": F.col("lost_likely_hospital").cast("int"), "town": F.col("lost_likely_town").cast("int"), "buildings": F.least(F.log10(F.col("buildings") + 1), F.lit(3.0))}
-    shown = {"status": F.lit("CUT OFF"), "buildings": F.col("buildings")}
-    return scoring.explained(rows, values, SETTLEMENT_WEIGHTS, "osm_id", shown).select("osm_id", "score", "rank", "why")
-
-
 def confusion_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(adapters.scored_labels(spark, sf_dir), 0.5, ["region"])
 
@@ -293,6 +286,6 @@ def queries() -> dict[str, Query]:
     named = [
         flood_tiers, flood_statistics, flood_pixels, flood_components, component_statistics, hole_filling, debris_candidates, lee_filtered, terrain_slope, flow_receivers, filled_pits, drainage_height, backscatter_db, quality_flags, trust,
         scene_passes, scene_pairs, element_duplicates, snapshot_audit, element_tags, polygon_exposure, line_exposure, line_samples, road_links, scenario_links, road_components, road_summary, settlement_status, isolated_clusters, damaged_links, nearest_routes, detours,
-        snapped_settlements, buildings_near, settlement_priorities, confusion_by_region, threshold_sweep, best_threshold, reliability_bins, calibration_error, class_balance, channel_statistics, training_loss, extent_agreement, tolerant_agreement, area_windows, area_tiles, number_trace, content_keys,
+        snapped_settlements, buildings_near, confusion_by_region, threshold_sweep, best_threshold, reliability_bins, calibration_error, class_balance, channel_statistics, training_loss, extent_agreement, tolerant_agreement, area_windows, area_tiles, number_trace, content_keys,
     ]
     return {f.__name__: f for f in named}
