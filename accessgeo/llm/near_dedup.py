@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .alignment import banded_distance
 from .arrays import coded, mix64, plain_text, slices, word_hashes, word_lists
-from .common import bound_batches, materialise, small_side
+from .common import bound_batches, discard, materialise, noted_paths, small_side
 from .components import components
 
 RUNS, SAMPLE, SEEDS, SIMILARITY = (5, 2), 64, 24, 0.8
@@ -295,13 +295,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("name", name_of(F.col("text")))
-    sketched = materialise(named.mapInArrow(_sketch_rows, f"doc_id {kind}, name binary, some boolean, keys array<bigint>"), "sketches")
-    one = sketched.where("some").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    keyed = materialise(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    nodes = keyed.select("name", "node", "rep")
+    spark = docs.sparkSession
+    # the keys are most of what is written; tables that hold them are deleted as soon as the next ones are there
+    with noted_paths() as wide_sketches:
+        wide = materialise(named.mapInArrow(_sketch_rows, f"doc_id {kind}, name binary, some boolean, keys array<bigint>"), "sketches")
+    sketched = materialise(wide.select("doc_id", "name", "some"), "documents")
+    one = wide.where("some").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    with noted_paths() as wide_nodes:
+        keyed = materialise(one.withColumn("node", F.monotonically_increasing_id()), "keyed")
+    nodes = materialise(keyed.select("name", "node", "rep"), "nodes")
+    discard(spark, wide_sketches)
     members = keyed.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     crowded = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("pivot < last").select("key", "pivot", "size")
     buckets = materialise(members.join(crowded, "key"), "buckets")
+    discard(spark, wide_nodes)
     pairs = materialise(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     wanted = small_side(materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "wanted"), 200_000)
@@ -320,8 +327,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         return materialise(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"), "links")
 
     # counts of words go before texts: most pairs that share a key by chance end here
-    with_b = pairs.join(counted.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bag").alias("gab")), "b")
-    likely = materialise(with_b.join(counted.withColumnRenamed("node", "a"), "a").select("a", "b", "n", "m", "bag", "gab").mapInArrow(_possible, "a bigint, b bigint"), "likely")
+    stars = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("member")).join(counted.select(F.col("node").alias("member"), F.col("n").alias("m"), F.col("bag").alias("gab")), "member")
+    stars = stars.join(counted.withColumnRenamed("node", "pivot"), "pivot").select(F.col("pivot").alias("a"), F.col("member").alias("b"), "n", "m", "bag", "gab")
+    likely = materialise(stars.mapInArrow(_possible, "a bigint, b bigint"), "likely")
     tested, links = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), verify(likely)
     # a bucket of two is settled by its pivot; larger ones that hold several classes first join each text to its nearest one of
     # another class, which merges what belongs together, and then all pairs of classes that are left are compared
