@@ -43,6 +43,13 @@ def safe_markup(text: Column) -> Column:
     return text
 
 
+def safe_script(json: Column) -> Column:
+    """JSON that is safe inside a script block: what could end the block or a line there is written as an escape of a JSON string."""
+    for old, new in (("&", "0026"), ("<", "003c"), (">", "003e"), ("\u2028", "2028"), ("\u2029", "2029")):
+        json = F.replace(json, F.lit(old), F.lit("\\u" + new))
+    return json
+
+
 def point_features(points: DataFrame, properties: list[str]) -> DataFrame:
     """One GeoJSON feature per point (x, y rounded to six decimals), properties sorted, NaN as null."""
     number = lambda c: F.when(~F.isnan(c), F.round(c, 6))

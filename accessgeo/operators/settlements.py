@@ -95,14 +95,16 @@ def restoration(isolated: DataFrame, destinations: DataFrame, links: DataFrame,
     back all that it lost.
 
     A restored link unites two components, and a lost class has no other destination at home, so the other side's counts decide. Members are
-    summed by component before any join with links. `buildings` has osm_id and buildings; a cluster without a boundary gives no row.
+    summed by component before any join with links. `buildings` has osm_id and buildings; a cluster without a boundary gives
+    one row without a link.
     """
     there = destinations.join(likely, destinations["at"] == likely["node"]).groupBy(F.col("comp").alias("other")).agg(*[F.bool_or(F.col("class") == k).alias("has_" + k) for k in MAIN])
     cut = isolated.where("status = 'CUT OFF'").join(buildings, "osm_id", "left").groupBy(F.col("likely_comp").alias("comp")).agg(F.sum(F.coalesce("buildings", F.lit(0))).alias("buildings"), *[F.bool_or(f"lost_likely_{k}").alias(k) for k in MAIN])
     gone = links.where("lost_likely").join(likely.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(likely.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
     sides = gone.select("link_id", F.explode(F.array(F.struct(F.col("ca").alias("comp"), F.col("cb").alias("other")), F.struct(F.col("cb").alias("comp"), F.col("ca").alias("other")))).alias("s")).select("link_id", "s.*")
     enough = [~F.col(k) | F.coalesce("has_" + k, F.lit(False)) for k in MAIN]
-    return cut.join(sides, "comp").join(there, "other", "left").select("comp", "buildings", "link_id", (enough[0] & enough[1]).alias("sufficient"))
+    found = cut.join(sides, "comp", "left").join(there, "other", "left")
+    return found.select("comp", "buildings", "link_id", F.when(F.col("link_id").isNotNull(), enough[0] & enough[1]).alias("sufficient"))
 
 
 def analysed(isolated: DataFrame, destinations: DataFrame, graphs: dict[str, DataFrame], routes: DataFrame) -> DataFrame:

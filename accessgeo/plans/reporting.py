@@ -34,6 +34,11 @@ def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("digest"), F.length(t).alias("n"))
 
 
+def script_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = facts.safe_script(F.concat(F.lit('["'), F.regexp_replace("text", '["\\\\\\x00-\\x1f]', " "), F.lit('</script>&\u2028\u2029"]')))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("digest"), F.length(t).alias("n"))
+
+
 def settlement_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = adapters.subjects(spark, sf_dir).selectExpr("osm_id as id", "osm_id", "x + 0.25D as x", "cast(y as double) as y", "place")
     return facts.point_features(s, ["place", "osm_id"])
@@ -54,8 +59,12 @@ SELECT p_partkey, coalesce(regexp_replace(format('{:.4f}', round(x, 4)), '\.?0+$
 """,
     "escaped_texts": """
 WITH e AS (SELECT doc_id, replace(replace(replace(replace(replace(text || ' <a href="x">''&', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS t FROM documents) SELECT doc_id, md5(t) AS digest, length(t)::INT AS n FROM e
+""",
+    "script_texts": r"""
+WITH j AS (SELECT doc_id, '["' || regexp_replace(text, '["\\\x00-\x1f]', ' ', 'g') || '</script>&' || chr(8232) || chr(8233) || '"]' AS t FROM documents),
+e AS (SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '\u0026'), '<', '\u003c'), '>', '\u003e'), chr(8232), '\u2028'), chr(8233), '\u2029') AS t FROM j) SELECT doc_id, md5(t) AS digest, length(t) AS n FROM e
 """,
     "settlement_features": _q(PLACES, """SELECT osm_id AS id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (x + 0.25)::DOUBLE::VARCHAR || ',' || y::DOUBLE::VARCHAR || ']},"properties":{"osm_id":"' || osm_id || '","place":"' || place || '"}}' AS feature FROM subjects"""),
     "widened_windows": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 60)::INT END AS before, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 12)::INT WHEN 1 THEN (o_orderkey % 30)::INT END AS after FROM orders",
 }
-QUERIES = {f.__name__: f for f in (ordered_flags, capped_layers, page_budget, number_texts, escaped_texts, settlement_features, widened_windows)}
+QUERIES = {f.__name__: f for f in (ordered_flags, capped_layers, page_budget, number_texts, escaped_texts, script_texts, settlement_features, widened_windows)}

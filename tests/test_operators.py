@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -344,6 +345,11 @@ class TestRules:
         df = spark.createDataFrame([(1.5,), (100.0,), (0.00001,), (-2.0,), (None,)], "x double")
         assert [r[0] for r in df.select(facts.number_text(F.col("x"))).collect()] == ["1.5", "100", "0", "-2", "not available"]
 
+    def test_script_texts_hold_nothing_that_ends_a_script_or_a_line(self, spark):
+        text = '{"a":"</script>&amp; \u2028x\u2029 \\\\u003c"}'
+        shown = spark.createDataFrame([(text,), (None,)], "t string").select(facts.safe_script(F.col("t"))).collect()
+        assert not set("<>&\u2028\u2029") & set(shown[0][0]) and json.loads(shown[0][0]) == json.loads(text) and shown[1][0] is None
+
     def test_equal_scores_rank_by_id(self, spark):
         df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 9)], "id string, v int")
         found = scoring.explained(df, {"v": F.col("v")}, {"v": 2.0}, "id").orderBy("rank").collect()
