@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accessgeo.plans import access, acquisition, footprints, impact, oracles, reporting, shapes, streams, terrain
+from accessgeo.plans import access, acquisition, footprints, grids, impact, oracles, reporting, shapes, streams, terrain
 from accessgeo.plans import queries as first
 
-PARTS = (acquisition, impact, reporting, streams, access, terrain, shapes, footprints)
+PARTS = (acquisition, impact, reporting, streams, access, terrain, shapes, footprints, grids)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
