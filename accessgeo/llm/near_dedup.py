@@ -320,7 +320,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     def verify(candidates: DataFrame) -> DataFrame:
         """Only texts of candidates travel; two of them for each pair."""
-        needed = small_side(materialise(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed"), 200_000)
+        needed = small_side(materialise(candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct(), "needed"), 200_000)
         own = texts.join(needed, "node", "left_semi")
         with_b = candidates.join(own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         both = with_b.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
