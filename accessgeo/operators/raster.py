@@ -88,14 +88,13 @@ def fill_voids(cells: DataFrame, z: str, most: int = 16) -> DataFrame:
     """row, col and `z`, where enclosed voids (null cells, 8-connected) of at most `most` cells are filled.
 
     A filled cell is the mean of its four neighbours, filled ones included, so a plane is continued exactly. Voids that are larger or
-    touch the border of the grid stay. A group is one void, so a task solves systems of at most `most` unknowns.
+    touch the border of the grid, where a cell has no neighbour on some side, stay. A group is one void, so a task solves systems of at most `most` unknowns.
     """
-    edge = F.broadcast(cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")))
-    found = label_components(cells.where(F.col(z).isNull())).join(edge)
-    border = (F.col("row") == F.col("r0")) | (F.col("row") == F.col("r1")) | (F.col("col") == F.col("c0")) | (F.col("col") == F.col("c1"))
-    small = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.bool_or(border).alias("open")).where((F.col("n") <= most) & ~F.col("open"))
-    inside = found.select("row", "col", "comp").join(small.select("comp"), "comp")
     around = shifted(cells.select("row", "col", F.col(z).alias("zn"), F.col("row").alias("at_row"), F.col("col").alias("at_col")), EIGHT[::2], ["zn", "at_row", "at_col"])
+    met = label_components(cells.where(F.col(z).isNull())).select("row", "col", "comp").join(around, ["row", "col"], "left")
+    counted = met.groupBy("comp", "row", "col").agg(F.count("at_row").alias("beside"))
+    small = counted.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("beside").alias("beside")).where((F.col("n") <= most) & (F.col("beside") == 4))
+    inside = met.join(small.select("comp"), "comp")
 
     def solved(group: pd.DataFrame) -> pd.DataFrame:
         places = {p: k for k, p in enumerate(dict.fromkeys(zip(group["row"], group["col"], strict=True)))}
@@ -109,7 +108,7 @@ def fill_voids(cells: DataFrame, z: str, most: int = 16) -> DataFrame:
                 b[k] += value
         return pd.DataFrame({"row": [p[0] for p in places], "col": [p[1] for p in places], "filled": np.linalg.solve(a, b)})
 
-    filled = inside.join(around, ["row", "col"]).groupBy("comp").applyInPandas(solved, "row int, col int, filled double")
+    filled = inside.groupBy("comp").applyInPandas(solved, "row int, col int, filled double")
     return cells.select("row", "col", F.col(z).alias("z")).join(filled, ["row", "col"], "left").select("row", "col", F.coalesce("z", "filled").alias(z))
 
 

@@ -80,7 +80,7 @@ def stopped_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clipped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = areas.clip_segments(_segments(spark, sf_dir).withColumn("y1", F.expr("case when seg_id % 3 = 2 then y0 else y1 end")), 101, 12, 403, 331)
+    out = areas.clip_segments(_segments(spark, sf_dir), 101, 12, 403, 331)
     return out.withColumns({c: F.round(c, 6) for c in ("x0", "y0", "x1", "y1", "length")})
 
 
@@ -96,17 +96,10 @@ def resampled_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filled_voids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = adapters.pixels(spark, sf_dir)
-    # whole rows only, so that every inner cell has its neighbours
-    grid = px.where(F.col("row").between(1, (F.lit(px_rows(spark, sf_dir)) - 1))).select("row", "col", F.when(F.col("valid"), F.col("hand")).alias("hand"))
+    grid = adapters.pixels(spark, sf_dir).select("row", "col", F.when(F.col("valid"), F.col("hand")).alias("hand"))
     return raster.fill_voids(grid, "hand").withColumn("hand", F.round("hand", 8))
 
 
-def px_rows(spark: SparkSession, sf_dir: str) -> int:
-    """Number of the last row of the pixel table."""
-    return read(spark, sf_dir, "part").agg(F.max(F.expr("p_partkey div 50"))).first()[0]
-
-
 def zoned_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").selectExpr("event_id", "concat('2024-01-', lpad(1 + event_id % 28, 2, '0'), 'T', lpad(event_id % 24, 2, '0'), ':00:00', element_at(array('Z', '+02:00', '', 'x'), cast(event_id % 4 + 1 as int))) as t")
     return e.select("event_id", areas.zoned_time(F.col("t"), False).alias("strict"), areas.zoned_time(F.col("t"), True).alias("assumed"))
@@ -149,11 +142,14 @@ t AS (SELECT *, row_number() OVER (PARTITION BY run, streak ORDER BY epoch) - 1
 z AS (SELECT run, min(epoch) FILTER (stale >= 7) AS till FROM t GROUP BY 1)
 SELECT run, max(epoch) AS last_epoch, arg_max(epoch, (score, -epoch)) AS best_epoch, max(score) AS best_score FROM t JOIN z USING (run) WHERE till IS NULL OR epoch <= till GROUP BY 1
 """,
-    "clipped_segments": _q(PIXELS + "," + SEGMENTS + ", k AS (SELECT seg_id, greatest(x0, 101) AS a, greatest(y0, 12) AS b, least(x1, 403) AS c, least(CASE WHEN seg_id % 3 = 2 THEN y0 ELSE y1 END, 331) AS d FROM sg)", "SELECT seg_id, a::DOUBLE AS x0, b::DOUBLE AS y0, c::DOUBLE AS x1, d::DOUBLE AS y1, (c - a + d - b)::DOUBLE AS length FROM k WHERE c >= a AND d >= b AND c - a + d - b > 0"),
+    "clipped_segments": _q(PIXELS + "," + SEGMENTS + """, ct AS (SELECT seg_id, unnest(list_distinct([0, 1, (101 - x0) / nullif(x1 - x0, 0), (403 - x0) / nullif(x1 - x0, 0), (12 - y0) / nullif(y1 - y0, 0), (331 - y0) / nullif(y1 - y0, 0)])) AS t FROM sg),
+tw AS (SELECT seg_id, t AS t0, lead(t) OVER (PARTITION BY seg_id ORDER BY t) AS t1 FROM ct WHERE t BETWEEN 0 AND 1),
+md AS (SELECT sg.*, t0, t1 FROM tw JOIN sg USING (seg_id) WHERE t1 > t0 AND x0 + (t0 + t1) / 2 * (x1 - x0) BETWEEN 101 AND 403 AND y0 + (t0 + t1) / 2 * (y1 - y0) BETWEEN 12 AND 331)""",
+        "SELECT seg_id, round(x0 + t0 * (x1 - x0), 6) AS x0, round(y0 + t0 * (y1 - y0), 6) AS y0, round(x0 + t1 * (x1 - x0), 6) AS x1, round(y0 + t1 * (y1 - y0), 6) AS y1, round((t1 - t0) * sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) AS length FROM md"),
     "blended_patches": _q(PIXELS + """, p AS (SELECT row, col, p_post, row - row % 4 - i AS tr, col - col % 4 - j AS tc FROM px, (VALUES (0), (4)) a(i), (VALUES (0), (4)) b(j)),
 w AS (SELECT row, col, p_post + (((tr + tc) % 3) + 3) % 3 * 0.01::DOUBLE AS v, greatest(sin(pi() * (row - tr + 0.5) / 8) ** 2, 0.001) * greatest(sin(pi() * (col - tc + 0.5) / 8) ** 2, 0.001) AS w FROM p)""", "SELECT row, col, round(sum(v * w) / sum(w), 8) AS value, count(*) AS patches FROM w GROUP BY 1, 2"),
     "resampled_heights": _q(PIXELS + """, n AS (SELECT p.id, q.hand, CASE WHEN a = 1 THEN p.id % 4 * 0.25 ELSE 1 - p.id % 4 * 0.25 END * CASE WHEN b = 1 THEN p.id % 2 * 0.5 ELSE 1 - p.id % 2 * 0.5 END AS w FROM px p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(a, b) LEFT JOIN px q ON q.row = p.row + b AND q.col = p.col + a)""", "SELECT id, CASE WHEN count(hand) = count(*) THEN round(sum(hand * w)::DOUBLE, 8) END AS hand FROM n WHERE w > 0 GROUP BY 1"),
-    "filled_voids": _q(PIXELS + ", g AS (SELECT row, col, CASE WHEN valid THEN hand END AS z FROM px WHERE row >= 1 AND row < (SELECT max(p_partkey // 50) FROM part))", "SELECT a.row, a.col, round(coalesce(any_value(a.z), CASE WHEN count(b.z) = 4 THEN avg(b.z) END), 8) AS hand FROM g a LEFT JOIN g b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY 1, 2"),
+    "filled_voids": _q(PIXELS + ", g AS (SELECT row, col, CASE WHEN valid THEN hand END AS z FROM px)", "SELECT a.row, a.col, round(coalesce(any_value(a.z), CASE WHEN count(b.z) = 4 THEN avg(b.z) END), 8) AS hand FROM g a LEFT JOIN g b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY 1, 2"),
     "zoned_times": "WITH e AS (SELECT event_id, event_id % 4 AS z, (epoch(TIMESTAMP '2024-01-01') + (event_id % 28) * 86400 + (event_id % 24) * 3600)::BIGINT AS t FROM events) SELECT event_id, CASE z WHEN 0 THEN t WHEN 1 THEN t - 7200 END AS strict, CASE z WHEN 0 THEN t WHEN 1 THEN t - 7200 WHEN 2 THEN t END AS assumed FROM e",
     "element_quality": "WITH n AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'node' ELSE 'way' END AS type, event_id % 400 AS id, max(ts) AS ts FROM events GROUP BY 1, 2), a AS (SELECT type, DATE '2024-02-01' - ts::DATE AS age FROM n) SELECT type, count(*) AS elements, quantile_cont(age, 0.5)::DOUBLE AS median_age, avg((age > 5)::INT::DOUBLE) AS stale_share FROM a GROUP BY 1",
 }

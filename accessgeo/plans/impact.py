@@ -17,7 +17,7 @@ KINDS_SQL = "seg_id % 7 IN (0, 3) AS is_bridge, seg_id % 7 = 1 AS is_tunnel, seg
 
 
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).withColumn("y1", F.expr("case when seg_id % 3 = 2 then y0 else y1 end")).selectExpr("*", "seg_id % 7 in (0, 3) as is_bridge", "seg_id % 7 = 1 as is_tunnel", "seg_id % 7 = 2 as is_ford")
+    return _segments(spark, sf_dir).selectExpr("*", "seg_id % 7 in (0, 3) as is_bridge", "seg_id % 7 = 1 as is_tunnel", "seg_id % 7 = 2 as is_ford")
 
 
 def line_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,23 +101,26 @@ CORNERS = [(a, b) for a in (0, 1) for b in (0, 1)]
 
 
 def _damage_sql(name: str, cells: str) -> str:
-    """CTE `name` (seg_id, length, flooded, approach_hit, hit, damage_tier) over axis-parallel segments and a cell table."""
+    """CTE `name` (seg_id, length, flooded, approach_hit, hit, damage_tier) over segments and a cell table. A segment's part in a cell is its range of parameters there."""
     ts = ", ".join(f"greatest(least((((c.col + {a}) * 10 - x0) * (x1 - x0) + ((c.row + {b}) * 10 - y0) * (y1 - y0)) / nullif((x1 - x0) ** 2 + (y1 - y0) ** 2, 0), 1), 0) AS t{k}" for k, (a, b) in enumerate(CORNERS))
     corner = "least(" + ", ".join(CORNER.format(a=a, b=b, k=k) for k, (a, b) in enumerate(CORNERS)) + ")"
     ends = f"least({NEAR.format(x='x0', y='y0')}, {NEAR.format(x='x1', y='y1')})"
+    bound = lambda f, still: ", ".join(f"CASE WHEN {v}1 = {v}0 THEN {still} ELSE {f}(({k} * 10 - {v}0) / ({v}1 - {v}0), ({k} * 10 + 10 - {v}0) / ({v}1 - {v}0)) END" for v, k in (("x", "c.col"), ("y", "c.row")))
+    first, last = bound("least", 0), bound("greatest", 1)
     return f"""
-{name}_f AS (SELECT seg_id, sum(greatest(least(x1, (c.col + 1) * 10) - greatest(x0, c.col * 10), least(y1, (c.row + 1) * 10) - greatest(y0, c.row * 10)))::DOUBLE AS flooded, max(c.tier) AS tier FROM kd JOIN {cells} c
-  ON (y0 = y1 AND c.row = floor(y0 / 10) AND c.col * 10 < x1 AND (c.col + 1) * 10 > x0) OR (x0 = x1 AND c.col = floor(x0 / 10) AND c.row * 10 < y1 AND (c.row + 1) * 10 > y0) GROUP BY 1),
+{name}_p AS (SELECT seg_id, c.tier, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len, greatest(0, {first}) AS lo, least(1, {last}) AS hi
+  FROM kd JOIN {cells} c ON c.col BETWEEN floor(least(x0, x1) / 10) AND floor(greatest(x0, x1) / 10) AND c.row BETWEEN floor(least(y0, y1) / 10) AND floor(greatest(y0, y1) / 10)),
+{name}_f AS (SELECT seg_id, sum((hi - lo) * len) AS flooded, max(tier) AS tier FROM {name}_p WHERE hi > lo GROUP BY 1),
 {name}_n AS (SELECT *, {ts} FROM kd JOIN {cells} c ON c.col * 10 BETWEEN x0 - 30 AND x1 + 30 AND c.row * 10 BETWEEN y0 - 30 AND y1 + 30 WHERE is_bridge OR is_tunnel),
 {name}_a AS (SELECT seg_id, max(c.tier) AS approach FROM {name}_n c WHERE CASE WHEN is_tunnel THEN {ends} ELSE least({ends}, {corner}) END <= {REACH} GROUP BY 1),
-{name}_m AS (SELECT seg_id, x1 - x0 + y1 - y0 AS length, coalesce(flooded, 0) AS flooded, coalesce(tier, 0) AS tier, is_bridge, is_tunnel, is_ford, CASE WHEN is_bridge AND NOT is_tunnel THEN greatest(coalesce(approach, 0), coalesce(tier, 0)) ELSE coalesce(approach, 0) END AS approach
+{name}_m AS (SELECT seg_id, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS length, round(coalesce(flooded, 0), 6) AS flooded, coalesce(tier, 0) AS tier, is_bridge, is_tunnel, is_ford, CASE WHEN is_bridge AND NOT is_tunnel THEN greatest(coalesce(approach, 0), coalesce(tier, 0)) ELSE coalesce(approach, 0) END AS approach
   FROM kd LEFT JOIN {name}_f USING (seg_id) LEFT JOIN {name}_a USING (seg_id)),
 {name}_h AS (SELECT *, CASE WHEN is_tunnel THEN approach > 0 ELSE (flooded > 0 AND (flooded >= 20 OR flooded / length >= 0.1)) OR (is_bridge AND approach > 0) END AS hit FROM {name}_m),
-{name} AS (SELECT seg_id, length, flooded, approach > 0 AS approach_hit, hit, CASE WHEN NOT hit THEN 0 WHEN is_ford THEN 1 ELSE greatest(tier, approach) END AS damage_tier FROM {name}_h)
+{name} AS (SELECT seg_id, round(length, 6) AS length, flooded, approach > 0 AS approach_hit, hit, CASE WHEN NOT hit THEN 0 WHEN is_ford THEN 1 ELSE greatest(tier, approach) END AS damage_tier FROM {name}_h)
 """
 
 
-KD = PIXELS + "," + SEGMENTS + f", kd AS (SELECT * REPLACE (CASE WHEN seg_id % 3 = 2 THEN y0 ELSE y1 END AS y1), {KINDS_SQL} FROM sg), wetc AS (SELECT row, col, tier FROM cells WHERE tier > 0)," + _damage_sql("dmg", "wetc")
+KD = PIXELS + "," + SEGMENTS + f", kd AS (SELECT *, {KINDS_SQL} FROM sg), wetc AS (SELECT row, col, tier FROM cells WHERE tier > 0)," + _damage_sql("dmg", "wetc")
 DAMAGED = ROADS + "," + PLACES + "," + ACCESS + """, gone AS (SELECT link_id, evidence_tier, x.comp AS ca, y.comp AS cb FROM links JOIN comp x ON x.scenario = 'likely' AND x.node = a JOIN comp y ON y.scenario = 'likely' AND y.node = b WHERE lost_likely),
  back AS (SELECT g.link_id, i.osm_id, lost_h AND EXISTS (SELECT 1 FROM dest d JOIN comp z ON z.scenario = 'likely' AND z.node = d.loc WHERE d.class = 'hospital' AND d.osm_id <> i.osm_id AND z.comp IN (g.ca, g.cb)) AS h, lost_t AND EXISTS (SELECT 1 FROM dest d JOIN comp z ON z.scenario = 'likely' AND z.node = d.loc WHERE d.class = 'town' AND d.osm_id <> i.osm_id AND z.comp IN (g.ca, g.cb)) AS t
   FROM gone g JOIN comp c ON c.scenario = 'likely' AND c.comp IN (g.ca, g.cb) JOIN isolated i ON i.loc = c.node),
