@@ -126,20 +126,71 @@ def early_stopping(log: DataFrame, patience: int) -> DataFrame:
     return ran.groupBy("run").agg(F.max("epoch").alias("last_epoch"), F.max_by("epoch", F.struct("score", -F.col("epoch"))).alias("best_epoch"), F.max("score").alias("best_score"))
 
 
-def clip_segments(segments: DataFrame, w: float, s: float, e: float, n: float) -> DataFrame:
-    """The part of each segment (seg_id, x0, y0, x1, y1) inside a box: its ends and length, by the parameter range that every side leaves."""
+def _inside(box: Sequence[float]) -> tuple[Column, Column]:
+    """Range of the parameter (0 to 1) in which a segment (x0, y0, x1, y1) lies in a box (w, s, e, n), border included. Empty if the first is not below the second."""
     c = F.col
     low, high = F.lit(0.0), F.lit(1.0)
-    for p, q, a, b in (("x0", "x1", w, e), ("y0", "y1", s, n)):
+    for p, q, a, b in (("x0", "x1", box[0], box[2]), ("y0", "y1", box[1], box[3])):
         d = c(q) - c(p)
         t0, t1 = F.try_divide(a - c(p), d), F.try_divide(b - c(p), d)
         inside = (c(p) >= a) & (c(p) <= b)
         low = F.greatest(low, F.when(d == 0, F.when(inside, 0.0).otherwise(2.0)).otherwise(F.least(t0, t1)))
         high = F.least(high, F.when(d == 0, F.when(inside, 1.0).otherwise(-1.0)).otherwise(F.greatest(t0, t1)))
-    out = segments.withColumn("t0", low).withColumn("t1", high).where("t1 > t0")
-    at = lambda p, q, t: c(p) + c(t) * (c(q) - c(p))
-    out = out.select("seg_id", at("x0", "x1", "t0").alias("x0"), at("y0", "y1", "t0").alias("y0"), at("x0", "x1", "t1").alias("x1"), at("y0", "y1", "t1").alias("y1"))
-    return out.withColumn("length", F.hypot(c("x1") - c("x0"), c("y1") - c("y0")))
+    return low, high
+
+
+def _ends() -> list[Column]:
+    """Ends of the part of a segment between its parameters t0 and t1."""
+    at = lambda v, t: F.col(f"{v}0") + F.col(t) * (F.col(f"{v}1") - F.col(f"{v}0"))
+    return [at(v, f"t{k}").alias(f"{v}{k}") for k in (0, 1) for v in ("x", "y")]
+
+
+def clip_segments(segments: DataFrame, w: float, s: float, e: float, n: float) -> DataFrame:
+    """The part of each segment (seg_id, x0, y0, x1, y1) inside a box: its ends and length, by the parameter range that every side leaves."""
+    low, high = _inside((w, s, e, n))
+    out = segments.withColumn("t0", low).withColumn("t1", high).where("t1 > t0").select("seg_id", *_ends())
+    return out.withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+
+
+def area_parts(points: DataFrame, area: Sequence[float], context: Sequence[float]) -> DataFrame:
+    """Parts of the segments of lines (line, idx, x, y, major) inside the area, and of major lines also those inside the context but outside the area:
+    line, in_aoi, piece, seg, t0, t1 and ends. Parts that go on where the one before ended belong to one piece.
+
+    Outside is the context's range of parameters less the area's, at most one range on either side of it. Pieces are numbered from 0,
+    those in the area first, then by their place along the line; pieces without length go. Points with a null coordinate are left out of their line.
+    """
+    along = Window.partitionBy("line").orderBy("idx")
+    known = points.where("x is not null and y is not null").select("line", "major", "idx", F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"))
+    segments = known.select("*", F.lead("x0").over(along).alias("x1"), F.lead("y0").over(along).alias("y1"), F.row_number().over(along).alias("seg")).where("x1 is not null")
+    (a0, a1), (c0, c1) = _inside(area), _inside(context)
+    ranged = segments.select("*", a0.alias("a0"), a1.alias("a1"), c0.alias("c0"), c1.alias("c1"))
+    # a point that is there twice makes a range from 0 to 1 in one box, which joins what is before it with what is after it
+    still = "(x0 = x1 and y0 = y1)"
+    met, wide = f"(a1 > a0 or {still} and a1 >= a0)", "coalesce(major, false)"
+    beyond = [("c0", f"if({met}, least(c1, a0), c1)", wide), ("greatest(c0, a1)", "c1", f"{wide} and {met}")]
+    shares = [f"struct(true as in_aoi, a0 as t0, a1 as t1, {met} as some)"] + [f"struct(false as in_aoi, {x} as t0, {y} as t1, {on} and {y} > {x} and not ({still} and {met}) as some)" for x, y, on in beyond]
+    ranges = f"array({', '.join(shares)})"
+    parts = ranged.withColumn("p", F.explode(F.expr(ranges))).where("p.some").select("line", "seg", "x0", "y0", "x1", "y1", "p.in_aoi", "p.t0", "p.t1")
+    order = Window.partitionBy("line", "in_aoi").orderBy("seg", "t0")
+    goes_on = (F.col("t0") == 0) & (F.lag("t1").over(order) == 1) & (F.lag("seg").over(order) == F.col("seg") - 1)
+    run = parts.withColumn("run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order))
+    long = run.withColumn("whole", F.sum((F.col("t1") - F.col("t0")) * F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).over(Window.partitionBy("line", "in_aoi", "run"))).where("whole > 0")
+    return long.withColumn("piece", F.dense_rank().over(Window.partitionBy("line").orderBy(F.desc("in_aoi"), "run")) - 1).select("line", "in_aoi", "piece", "seg", "t0", "t1", *_ends())
+
+
+def area_pieces(parts: DataFrame) -> DataFrame:
+    """Pieces of `area_parts`: line, piece, in_aoi, number of points, length and the ends."""
+    first, last = F.struct("seg", "t0"), F.struct("seg", "t0")
+    ends = [F.min_by("x0", first).alias("x0"), F.min_by("y0", first).alias("y0"), F.max_by("x1", last).alias("x1"), F.max_by("y1", last).alias("y1")]
+    return parts.groupBy("line", "piece", "in_aoi").agg((F.count(F.lit(1)) + 1).alias("points"), F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("length"), *ends)
+
+
+def out_of_scope(parts: DataFrame, area: Sequence[float], context: Sequence[float], slack: float = 1e-8) -> DataFrame:
+    """Parts that leave the box they are said to lie in, the area or the context, by more than `slack`, or have no coordinates."""
+    def within(box: Sequence[float]) -> Column:
+        return F.coalesce(*[F.reduce(F.array(*[(F.col(f"{v}{k}") >= box[i] - slack) & (F.col(f"{v}{k}") <= box[i + 2] + slack) for i, v in enumerate("xy") for k in (0, 1)]), F.lit(True), lambda a, b: a & b), F.lit(False)])
+
+    return parts.where(~F.when(F.col("in_aoi"), within(area)).otherwise(within(context)))
 
 
 def blended(patches: DataFrame, size: int) -> DataFrame:
