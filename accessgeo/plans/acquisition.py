@@ -65,9 +65,9 @@ def endpoint_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chip_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id")
-    split = d.where("doc_id % 7 <> 0").unionByName(d.where("doc_id % 29 = 0"))
-    return areas.pairing(d.where("doc_id % 11 <> 0"), read(spark, sf_dir, "labels").select("doc_id"), split, "doc_id")
+    """Vectors are the images, pages and conversations the two splits."""
+    of = lambda table, key: read(spark, sf_dir, table).select(F.col(key).alias("doc_id"))
+    return areas.pairing(of("embeddings", "vec_id"), of("labels", "doc_id"), of("pages", "page_id").unionByName(of("conversations", "conv_id").distinct()), "doc_id")
 
 
 def chip_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ SELECT id, step, (floor(x0 / step) * step)::BIGINT AS "left", (ceil(y1 / step) *
     "elevation_mosaic": _q(PIXELS + ", l AS (SELECT row, col, 't' || (2 - k) AS item, CASE WHEN (id + k) % 4 > 0 THEN (id * 7 + k * 3) % 50 END AS value FROM px, range(3) r(k))", "SELECT row, col, arg_min(value, item) FILTER (value IS NOT NULL) AS value, count(value) AS valid, count(*) AS layers FROM l GROUP BY 1, 2"),
     "endpoint_choice": "WITH a AS (SELECT o_orderkey // 3 AS tile, (o_orderkey % 3)::INT AS rank, o_custkey % 3 <> 0 AS ok FROM orders), b AS (SELECT tile, min(rank) FILTER (ok) AS best FROM a GROUP BY 1) SELECT tile, 'e' || best AS endpoint, count(*) AS attempts, (count(*) FILTER (NOT ok AND rank < coalesce(best, 99)))::INT AS failed_before FROM a JOIN b USING (tile) GROUP BY tile, best",
     "chip_pairing": """
-WITH a AS (SELECT doc_id, 1 AS i, 0 AS l, 0 AS s FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT doc_id, 0, 1, 0 FROM labels UNION ALL SELECT doc_id, 0, 0, 1 FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 0, 0, 1 FROM documents WHERE doc_id % 29 = 0),
+WITH a AS (SELECT vec_id AS doc_id, 1 AS i, 0 AS l, 0 AS s FROM embeddings UNION ALL SELECT doc_id, 0, 1, 0 FROM labels UNION ALL SELECT page_id, 0, 0, 1 FROM pages UNION ALL SELECT DISTINCT conv_id, 0, 0, 1 FROM conversations),
 b AS (SELECT doc_id, sum(i) AS i, sum(l) AS l, sum(s) AS s FROM a GROUP BY 1)
 SELECT doc_id, CASE WHEN i = 0 THEN 'no image' WHEN l = 0 THEN 'no label' WHEN s = 0 THEN 'unassigned' ELSE 'assigned twice' END AS state FROM b WHERE i = 0 OR l = 0 OR s <> 1
 """,
