@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accessgeo.plans import access, acquisition, extracts, footprints, grids, impact, oracles, reporting, shapes, streams, terrain, trust
+from accessgeo.plans import access, acquisition, extracts, footprints, grids, impact, oracles, predictions, reporting, shapes, streams, terrain, trust
 from accessgeo.plans import queries as first
 
-PARTS = (acquisition, impact, reporting, streams, access, terrain, shapes, footprints, grids, extracts, trust)
+PARTS = (acquisition, impact, reporting, streams, access, terrain, shapes, footprints, grids, extracts, trust, predictions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
