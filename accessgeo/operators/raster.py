@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgeo.operators.fixpoint import components
+from accessgeo.session import checkpointed
 
 #: The eight neighbours in the order N, NE, E, SE, S, SW, W, NW.
 EIGHT = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
@@ -126,20 +127,64 @@ def near(cells: DataFrame, reach: float) -> DataFrame:
     return fresh.select("row", F.explode(F.sequence("lo", "hi")).alias("col"))
 
 
-def box_statistics(cells: DataFrame, value: str, radius: int) -> DataFrame:
-    """Mean and variance of the valid values around each cell; beyond the border the grid is mirrored with its edge repeated."""
-    edge = F.broadcast(cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")))
-    span = range(-radius, radius + 1)
+def _spread_along(parts: DataFrame, by: str, low: str, high: str, radius: int) -> DataFrame:
+    """Each row once for every place along `by` (between `low` and `high`) in whose window it lies, as often as the mirrored grid shows it there."""
+    at = F.col(by)
+    seen = F.array_compact(F.array(at, F.when(at < F.col(low) + radius, 2 * F.col(low) - at - 1), F.when(at > F.col(high) - radius, 2 * F.col(high) - at + 1)))
+    steps = F.array(*[F.lit(k) for k in range(-radius, radius + 1)])
+    moved = F.flatten(F.transform(seen, lambda p: F.transform(steps, lambda k: p + k)))
+    return parts.withColumn(by, F.explode(F.filter(moved, lambda p: (p >= F.col(low)) & (p <= F.col(high)))))
 
-    def inside(x: Column, low: str, high: str) -> Column:
-        return F.when(x < F.col(low), 2 * F.col(low) - x - 1).when(x > F.col(high), 2 * F.col(high) - x + 1).otherwise(x)
 
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in span for b in span])
-    asked = cells.select("row", "col").join(edge).select("row", "col", F.explode(steps).alias("s"), "r0", "r1", "c0", "c1")
-    asked = asked.select(F.col("row").alias("at_row"), F.col("col").alias("at_col"), inside(F.col("row") + F.col("s.a"), "r0", "r1").alias("row"), inside(F.col("col") + F.col("s.b"), "c0", "c1").alias("col"))
-    seen = asked.join(cells.select("row", "col", F.col(value).alias("x")), ["row", "col"])
-    out = seen.groupBy("at_row", "at_col").agg(F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("square"))
-    return out.select(F.col("at_row").alias("row"), F.col("at_col").alias("col"), "mean", F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)).alias("variance"))
+def box_statistics(cells: DataFrame, value: str, radius: int) -> DataFrame:
+    """row, col, x (the value), mean and variance of the valid values around each cell; beyond the border the grid is mirrored with its edge repeated.
+
+    Windows are summed along columns first and then along rows, so a cell travels 2 (2 radius + 1) times and not (2 radius + 1)^2 times. Parts
+    are put together by their counts, means and squared deviations, which do not cancel. The cells themselves go along, so no join is needed.
+    """
+    edge = F.broadcast(cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")))
+    bounds = ["r0", "r1", "c0", "c1"]
+    x = cells.select("row", "col", F.col(value).cast("double").alias("x")).join(edge)
+    across = _spread_along(x.where("x is not null"), "col", "c0", "c1", radius).groupBy("row", "col", *bounds).agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    parts = _spread_along(across, "row", "r0", "r1", radius).select("row", "col", F.struct("n", "m", "v").alias("part"), F.lit(None).cast("double").alias("x"), F.lit(0).alias("own"))
+    own = x.select("row", "col", F.lit(None).cast(parts.schema["part"].dataType).alias("part"), "x", F.lit(1).alias("own"))
+    # 2 radius + 1 parts at most, one for each row of the window
+    met = parts.unionByName(own).groupBy("row", "col").agg(F.collect_list("part").alias("parts"), F.max("x").alias("x"), F.max("own").alias("own")).where("own = 1")
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda s, p: s + f(p))
+    counted = met.withColumn("n", total(lambda p: p.n)).withColumn("mean", F.try_divide(total(lambda p: p.n * p.m), F.col("n")))
+    return counted.select("row", "col", "x", "mean", F.try_divide(total(lambda p: p.n * (p.v + (p.m - F.col("mean")) * (p.m - F.col("mean")))), F.col("n")).alias("variance"))
+
+
+def exact_quantile(values: DataFrame, name: str, share: float, bins: int = 4096) -> float | None:
+    """The quantile of a column, linear between two ranks; null and what is not finite are left out, None without values.
+
+    Each round counts the values in equal ranges between the least and the greatest that are left and goes on in the range that holds the rank.
+    So `bins` rows a round come to the driver, and at last the values of one range if it has no more than that; no task holds the column.
+    """
+    known = values.select(F.col(name).cast("double").alias("v")).where("abs(v) < double('infinity')")
+    low, high, n = known.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    rank, part = int(place), place - int(place)
+    below, after = 0, None
+    while low < high:
+        at = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+        found = sorted(known.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy(at.alias("k")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect(), key=lambda r: r.k)
+        for i, r in enumerate(found):
+            if below + r.n > rank:
+                break
+            below += r.n
+        after = found[i + 1].low if i + 1 < len(found) else after
+        low, high = r.low, r.high
+        if r.n <= bins:
+            last = sorted(x.v for x in known.where((F.col("v") >= low) & (F.col("v") <= high)).collect())
+            one = last[rank - below]
+            two = last[rank - below + 1] if rank - below + 1 < len(last) else after
+            return one + part * (two - one) if part else one
+        n = below + r.n
+    two = low if rank + 1 < n else after
+    return low + part * (two - low) if part else low
 
 
 def lee_filter(cells: DataFrame, value: str, window: int = 5) -> DataFrame:
@@ -147,12 +192,12 @@ def lee_filter(cells: DataFrame, value: str, window: int = 5) -> DataFrame:
 
     The noise level is the 25 % quantile of variance / mean**2 over the grid, one number.
     """
-    stats = box_statistics(cells, value, window // 2).join(cells.select("row", "col", F.col(value).alias("x")), ["row", "col"])
-    noise = F.broadcast(stats.where("mean <> 0 and x is not null").agg(F.expr("percentile(variance / (mean * mean), 0.25)").alias("noise")))
-    spread = F.col("noise") * F.col("mean") * F.col("mean")
-    signal = F.greatest((F.col("variance") - spread) / (1 + F.col("noise")), F.lit(0.0))
+    stats = checkpointed(box_statistics(cells, value, window // 2).withColumn("ratio", F.expr("case when mean <> 0 and x is not null then variance / (mean * mean) end")))
+    noise = F.lit(exact_quantile(stats, "ratio", 0.25)).cast("double")
+    spread = noise * F.col("mean") * F.col("mean")
+    signal = F.greatest((F.col("variance") - spread) / (1 + noise), F.lit(0.0))
     weight = F.when(signal + spread > 0, signal / (signal + spread)).otherwise(0.0)
-    return stats.join(noise).select("row", "col", F.when(F.col("x").isNotNull(), F.col("mean") + weight * (F.col("x") - F.col("mean"))).alias(value))
+    return stats.select("row", "col", F.when(F.col("x").isNotNull(), F.col("mean") + weight * (F.col("x") - F.col("mean"))).alias(value))
 
 
 def slope_degrees(cells: DataFrame, z: str, resolution: float) -> DataFrame:
