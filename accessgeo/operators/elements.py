@@ -13,6 +13,18 @@ def deduplicate(elements: DataFrame) -> DataFrame:
     return out.select("type", "id", F.col("n.ts").alias("ts"), F.col("n.version").alias("version"), F.col("n.event_id").alias("event_id"), "copies", (F.col("kinds") > 1).alias("conflict"))
 
 
+def merged_copies(elements: DataFrame, fields: list[str], order: str) -> DataFrame:
+    """One row per (type, id) with the fields of its newest (ts, version): of that version's copies the last by `order` that has a field gives it.
+
+    Copies are merged per version before versions meet, so an element with many copies is merged where they lie. A null `ts` or `version` is the
+    oldest; a field that no copy of the version has is null.
+    """
+    kept = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields]
+    one = elements.groupBy("type", "id", "ts", "version").agg(*kept, F.count(F.lit(1)).alias("copies"))
+    newest = F.max(F.struct("ts", "version", *fields, F.col("copies").alias("merged"))).alias("n")
+    return one.groupBy("type", "id").agg(newest, F.sum("copies").alias("copies"), (F.count(F.lit(1)) > 1).alias("conflict")).select("type", "id", "n.*", "copies", "conflict")
+
+
 def audit(elements: DataFrame, snapshot: Column) -> DataFrame:
     """Missing, newer and known timestamps; verified if some are known and none is missing or newer."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))

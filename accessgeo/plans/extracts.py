@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessgeo.operators import areas
+from accessgeo.operators import areas, elements
 from accessgeo.plans.impact import _vertices
 from accessgeo.plans.oracles import _q
+from accessgeo.sources import adapters
 
 AREA = (20051.5, 401.25, 60033.5, 1003.75)
 CONTEXT = (10027.5, 203.25, 80049.5, 1609.75)
@@ -32,6 +33,12 @@ def scope_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("in_aoi").agg(F.count(F.lit(1)).alias("parts")).join(outside, "in_aoi", "left").fillna(0, ["outside"])
 
 
+def merged_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements whose copies carry a centre, a shape or both, by day and one of two versions."""
+    e = adapters.elements(spark, sf_dir).selectExpr("type", "id", "event_id", "cast(cast(ts as date) as string) as ts", "event_id % 2 as version", "if(event_id % 3 < 2, user_id, null) as centre", "if(event_id % 5 < 2, event_type, null) as shape")
+    return elements.merged_copies(e, ["centre", "shape"], "event_id")
+
+
 def _within(box: tuple[float, ...]) -> str:
     """SQL: the middle of a cut lies in the box."""
     return f"(mx BETWEEN {box[0]} AND {box[2]} AND my BETWEEN {box[1]} AND {box[3]})"
@@ -54,5 +61,11 @@ SQL = {
     "way_extracts": _q(PARTS + """, pc AS (SELECT line, in_aoi, run, count(*) + 1 AS points, sum(m) AS length, arg_min(x0 + t0 * (x1 - x0), seg) AS a, arg_min(y0 + t0 * (y1 - y0), seg) AS b, arg_max(x0 + t1 * (x1 - x0), seg) AS c, arg_max(y0 + t1 * (y1 - y0), seg) AS d FROM pt GROUP BY 1, 2, 3)""",
         "SELECT line, row_number() OVER (PARTITION BY line ORDER BY in_aoi DESC, run) - 1 AS piece, in_aoi, points, round(length, 6) AS length, round(a, 6) AS x0, round(b, 6) AS y0, round(c, 6) AS x1, round(d, 6) AS y1 FROM pc WHERE length > 0"),
     "scope_audit": _q(PARTS, "SELECT in_aoi, count(*) AS parts, 0 AS outside FROM pt SEMI JOIN (SELECT line, run FROM pt GROUP BY 1, 2 HAVING sum(m) > 0) USING (line, run) GROUP BY 1"),
+    "merged_elements": """
+WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'node' ELSE 'way' END AS type, event_id % 400 AS id, event_id, ts::DATE::VARCHAR AS ts, event_id % 2 AS version, CASE WHEN event_id % 3 < 2 THEN user_id END AS centre, CASE WHEN event_id % 5 < 2 THEN event_type END AS shape FROM events),
+f AS (SELECT type, id, ts, version, arg_max(centre, event_id) AS centre, arg_max(shape, event_id) AS shape, count(*) AS merged FROM e GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, row_number() OVER w AS place, sum(merged) OVER (PARTITION BY type, id)::BIGINT AS copies, count(*) OVER (PARTITION BY type, id) > 1 AS conflict FROM f WINDOW w AS (PARTITION BY type, id ORDER BY ts DESC, version DESC))
+SELECT type, id, ts, version, centre, shape, merged, copies, conflict FROM k WHERE place = 1
+""",
 }
-QUERIES = {f.__name__: f for f in (way_extracts, scope_audit)}
+QUERIES = {f.__name__: f for f in (way_extracts, scope_audit, merged_elements)}
