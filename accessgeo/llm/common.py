@@ -50,7 +50,8 @@ def noted_paths() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _noted.remove(paths)
+        # by identity: a block inside this one may have noted just the same paths
+        _noted[:] = [x for x in _noted if x is not paths]
 
 
 def discard(spark: SparkSession, paths: list[str], unless: DataFrame | None = None) -> list[str]:
