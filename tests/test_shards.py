@@ -85,3 +85,27 @@ def test_circles_of_pointers_are_told(spark, ring):
             run()
     fine = pointers.where("node >= 20")
     assert {r["node"]: r["root"] for r in fixpoint.jump_to_marked(fine).collect()} == {20: 21, 21: 21}
+
+
+def test_components_by_contraction_of_ranges(spark, monkeypatch):
+    """Ranges of few edges, a hub that meets them all, links from end to end, and nodes without links; no round of joins is needed."""
+    monkeypatch.setattr(fixpoint, "PART_EDGES", 40)
+    monkeypatch.setattr(fixpoint, "_by_joins", lambda edges: 1 / 0)
+    rng = random.Random(11)
+    links = [(k, k + rng.randint(1, 7)) for k in range(0, 2_000) if k % 50 < 40] + [(2_100, 2_101 + k) for k in range(90)] + [(3, 1_990), (1_990, 3), (5, 5)]
+    nodes = list(range(2_400))
+    low = dict.fromkeys(nodes)
+    near = {}
+    for u, v in links:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    for start in nodes:
+        stack = [start] if low[start] is None else []
+        while stack:
+            n = stack.pop()
+            if low[n] is None:
+                low[n] = start
+                stack += near.get(n, [])
+    asked = spark.createDataFrame([(n,) for n in nodes], "node bigint")
+    found = fixpoint.components(asked, spark.createDataFrame(links, "u bigint, v bigint"), 100)
+    assert {r["node"]: r["comp"] for r in found.collect()} == low
