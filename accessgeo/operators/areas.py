@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accessgeo.session import shuffled
+
 KM_PER_DEGREE = 111.32
 
 
@@ -211,5 +213,5 @@ def resampled(cells: DataFrame, targets: DataFrame, value: str) -> DataFrame:
     wx = F.when(F.col("d.a") == 1, F.col("fx") - F.col("x")).otherwise(1 - (F.col("fx") - F.col("x")))
     wy = F.when(F.col("d.b") == 1, F.col("fy") - F.col("y")).otherwise(1 - (F.col("fy") - F.col("y")))
     asked = asked.select("id", (F.col("x") + F.col("d.a")).alias("col"), (F.col("y") + F.col("d.b")).alias("row"), (wx * wy).alias("weight")).where("weight > 0")
-    met = asked.join(cells.select("row", "col", F.col(value).alias("v")), ["row", "col"], "left")
+    met = asked.join(shuffled(cells.select("row", "col", F.col(value).alias("v"))), ["row", "col"], "left")
     return met.groupBy("id").agg(F.when(F.count("v") == F.count(F.lit(1)), F.sum(F.col("v") * F.col("weight"))).alias(value))

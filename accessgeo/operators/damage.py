@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgeo.operators.exposure import flooded_length, hit
+from accessgeo.session import shuffled
 
 
 def _box_distance(x: Column, y: Column, cell: float) -> Column:
@@ -37,7 +38,7 @@ def approach_tier(segments: DataFrame, flooded: DataFrame, cell: float, reach: f
     lo = lambda a, b: F.floor((F.least(a, b) - reach) / cell).cast("int")
     hi = lambda a, b: F.floor((F.greatest(a, b) + reach) / cell).cast("int")
     near = special.withColumn("col", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("row", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
-    met = near.join(flooded.select("row", "col", "tier"), ["row", "col"])
+    met = shuffled(near).join(flooded.select("row", "col", "tier"), ["row", "col"])
     ends = F.least(_box_distance(F.col("x0"), F.col("y0"), cell), _box_distance(F.col("x1"), F.col("y1"), cell))
     reached = met.where(F.when(F.col("is_tunnel"), ends).otherwise(F.least(ends, _corner_distance(cell))) <= reach)
     return reached.groupBy("seg_id").agg(F.max("tier").alias("approach"))
@@ -50,7 +51,7 @@ def line_damage(segments: DataFrame, flooded: DataFrame, cell: float, reach: flo
     """
     met = flooded_length(segments, flooded, cell).withColumn("flooded", F.round("flooded", 6))
     kinds = segments.select("seg_id", "is_bridge", "is_tunnel", "is_ford")
-    out = met.join(kinds, "seg_id").join(approach_tier(segments, flooded, cell, reach), "seg_id", "left")
+    out = met.join(shuffled(kinds), "seg_id").join(approach_tier(segments, flooded, cell, reach), "seg_id", "left")
     # what a bridge crosses is near it
     approach = F.when(F.col("is_bridge") & ~F.col("is_tunnel"), F.greatest(F.coalesce("approach", F.lit(0)), "tier")).otherwise(F.coalesce("approach", F.lit(0)))
     out = out.withColumn("approach", approach).withColumn("approach_hit", F.col("approach") > 0)
@@ -88,4 +89,4 @@ def inside_polygons(cells: DataFrame, edges: DataFrame, cell: float) -> DataFram
     along = Window.partitionBy("poly_id", "row").orderBy("x")
     spans = crossed.select("poly_id", "row", at.alias("x")).select("poly_id", "row", F.col("x").alias("x0"), F.lead("x").over(along).alias("x1"), F.row_number().over(along).alias("k")).where("k % 2 = 1 and x0 < x1")
     columns = F.filter(F.sequence(F.floor(F.col("x0") / cell - 0.5).cast("int"), F.ceil(F.col("x1") / cell).cast("int")), lambda c: ((c + 0.5) * cell >= F.col("x0")) & ((c + 0.5) * cell < F.col("x1")))
-    return spans.select("poly_id", "row", F.explode(columns).alias("col")).join(cells.select("row", "col").distinct(), ["row", "col"]).select("poly_id", "row", "col")
+    return spans.select("poly_id", "row", F.explode(columns).alias("col")).join(shuffled(cells.select("row", "col").distinct()), ["row", "col"]).select("poly_id", "row", "col")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accessgeo.session import shuffled
+
 
 def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
     """Length of each segment (seg_id, x0, y0, x1, y1) inside every cell it may touch: seg_id, row, col, length.
@@ -27,7 +29,7 @@ def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
 
 def flooded_length(segments: DataFrame, flooded: DataFrame, cell: float) -> DataFrame:
     """seg_id, length, flooded, tier over cells (row, col, tier) by an equi-join on the cell."""
-    met = segment_cells(segments, cell).join(flooded.select("row", "col", "tier"), ["row", "col"])
+    met = shuffled(segment_cells(segments, cell)).join(flooded.select("row", "col", "tier"), ["row", "col"])
     found = met.groupBy("seg_id").agg(F.sum("length").alias("flooded"), F.max("tier").alias("tier"))
     whole = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("length")
     return segments.select("seg_id", whole).join(found, "seg_id", "left").fillna(0.0, ["flooded"]).fillna(0, ["tier"])
@@ -41,7 +43,7 @@ def box_tier(boxes: DataFrame, flooded: DataFrame, cell: float) -> DataFrame:
     """Highest tier of the cells that a box (box_id, x0, y0, x1, y1) touches, 0 if none."""
     f = lambda x: F.floor(F.col(x) / cell).cast("int")
     cells = boxes.withColumn("col", F.explode(F.sequence(f("x0"), f("x1")))).withColumn("row", F.explode(F.sequence(f("y0"), f("y1"))))
-    found = cells.join(flooded.select("row", "col", "tier"), ["row", "col"]).groupBy("box_id").agg(F.max("tier").alias("tier"))
+    found = shuffled(cells).join(flooded.select("row", "col", "tier"), ["row", "col"]).groupBy("box_id").agg(F.max("tier").alias("tier"))
     return boxes.select("box_id").join(found, "box_id", "left").fillna(0, ["tier"])
 
 
@@ -50,5 +52,5 @@ def line_samples(segments: DataFrame, flooded: DataFrame, cell: float) -> DataFr
     n = F.greatest(F.ceil(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / (cell / 2)), F.lit(1)).cast("int")
     at = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("t", F.col("i") / F.col("n"))
     at = at.select("seg_id", F.floor((F.col("y0") + F.col("t") * (F.col("y1") - F.col("y0"))) / cell).cast("int").alias("row"), F.floor((F.col("x0") + F.col("t") * (F.col("x1") - F.col("x0"))) / cell).cast("int").alias("col"))
-    seen = at.join(flooded.select("row", "col", "tier"), ["row", "col"], "left")
+    seen = shuffled(at).join(flooded.select("row", "col", "tier"), ["row", "col"], "left")
     return seen.groupBy("seg_id").agg(F.count(F.lit(1)).alias("samples"), F.count("tier").alias("wet"), F.coalesce(F.expr("percentile(tier, 0.5)"), F.lit(0.0)).alias("median_tier"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from accessgeo.operators.fixpoint import SHARD_EDGES, doubled, jump_to_marked, shortest_paths
 from accessgeo.operators.raster import EIGHT, cell_number, receivers, shifted
-from accessgeo.session import checkpointed
+from accessgeo.session import checkpointed, shuffled
 
 #: Cells on a side of a tile.
 TILE = 256
@@ -130,7 +130,7 @@ def drained(cells: DataFrame, z: str = "z", tile: int = TILE, shard_edges: int =
     """
     filled = checkpointed(fill_pits(cells, z, tile, shard_edges))
     down = receivers(filled.select("row", "col", "fill"), "fill")
-    state = checkpointed(filled.join(down, ["row", "col"]).select("row", "col", "z", "fill", "outlet", "to_row", "to_col", cell_number("row", "col").alias("node"), (F.col("to_row").isNull() & ~F.col("outlet")).alias("flat")))
+    state = checkpointed(filled.join(shuffled(down), ["row", "col"]).select("row", "col", "z", "fill", "outlet", "to_row", "to_col", cell_number("row", "col").alias("node"), (F.col("to_row").isNull() & ~F.col("outlet")).alias("flat")))
     around = shifted(state.select("row", "col", "node", "fill", "flat"), EIGHT, ["node", "fill", "flat"]).select("row", "col", "k", F.col("node").alias("near"), F.col("fill").alias("same"), F.col("flat").alias("near_flat"))
     pairs = checkpointed(state.where("flat").select("row", "col", "node", "fill").join(around, ["row", "col"]).where("fill = same").select("node", "near", "near_flat", "k"))
     exits = pairs.where("not near_flat").select(F.col("near").alias("node"), F.lit(0).alias("target")).distinct()
@@ -165,8 +165,8 @@ def height_above_drainage(cells: DataFrame, least_cells: int, z: str = "z", fill
     down = (drained(cells, z) if filled else receivers(cells, z)).select("row", "col", cell_number("row", "col").alias("node"), cell_number("to_row", "to_col").alias("next"))
     down = checkpointed(down)
     total = accumulation(down.select("node", "next"))
-    marked = down.join(total, "node").withColumn("marked", F.col("cells") >= least_cells)
+    marked = down.join(shuffled(total), "node").withColumn("marked", F.col("cells") >= least_cells)
     root = jump_to_marked(marked.select("node", "next", "marked"))
     heights = cells.select(cell_number("row", "col").alias("root"), F.col(z).alias("z0"))
-    out = marked.join(root, "node").join(cells.select("row", "col", F.col(z).alias("z1")), ["row", "col"]).join(heights, "root", "left")
+    out = marked.join(shuffled(root), "node").join(shuffled(cells.select("row", "col", F.col(z).alias("z1"))), ["row", "col"]).join(shuffled(heights), "root", "left")
     return out.select("row", "col", "cells", F.col("marked").alias("stream"), F.when(F.col("z0").isNotNull(), F.greatest(F.col("z1") - F.col("z0"), F.lit(0.0))).alias("hand"))

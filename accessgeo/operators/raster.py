@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgeo.operators.fixpoint import components
-from accessgeo.session import checkpointed
+from accessgeo.session import checkpointed, shuffled
 
 #: The eight neighbours in the order N, NE, E, SE, S, SW, W, NW.
 EIGHT = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
@@ -48,7 +48,7 @@ def shifted(cells: DataFrame, offsets: list[tuple[int, int]], keep: list[str]) -
     """Each cell's neighbours at the offsets: row, col, k (place in `offsets`) and the neighbour's columns, one row for each neighbour that exists."""
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(offsets)])
     moved = cells.select("row", "col", *keep, F.explode(steps).alias("s"))
-    return moved.select((F.col("row") - F.col("s.a")).alias("row"), (F.col("col") - F.col("s.b")).alias("col"), F.col("s.k").alias("k"), *keep)
+    return shuffled(moved.select((F.col("row") - F.col("s.a")).alias("row"), (F.col("col") - F.col("s.b")).alias("col"), F.col("s.k").alias("k"), *keep))
 
 
 def cell_number(row: str, col: str) -> Column:
@@ -61,7 +61,7 @@ def label_components(cells: DataFrame) -> DataFrame:
     named = cells.select("row", "col", cell_number("row", "col").alias("node"))
     near = shifted(named, EIGHT[:4], ["node"]).withColumnRenamed("node", "v").drop("k")
     edges = named.join(near, ["row", "col"]).select(F.col("node").alias("u"), "v")
-    return named.join(components(named.select("node"), edges), "node").select("row", "col", "comp")
+    return shuffled(named).join(components(named.select("node"), edges), "node").select("row", "col", "comp")
 
 
 def remove_small(cells: DataFrame, least: int) -> DataFrame:
@@ -110,7 +110,7 @@ def fill_voids(cells: DataFrame, z: str, most: int = 16) -> DataFrame:
         return pd.DataFrame({"row": [p[0] for p in places], "col": [p[1] for p in places], "filled": np.linalg.solve(a, b)})
 
     filled = inside.groupBy("comp").applyInPandas(solved, "row int, col int, filled double")
-    return cells.select("row", "col", F.col(z).alias("z")).join(filled, ["row", "col"], "left").select("row", "col", F.coalesce("z", "filled").alias(z))
+    return cells.select("row", "col", F.col(z).alias("z")).join(shuffled(filled), ["row", "col"], "left").select("row", "col", F.coalesce("z", "filled").alias(z))
 
 
 def near(cells: DataFrame, reach: float) -> DataFrame:
@@ -219,7 +219,7 @@ def receivers(cells: DataFrame, z: str) -> DataFrame:
     around = shifted(cells.select("row", "col", F.col(z).alias("zn"), F.col("row").alias("to_row"), F.col("col").alias("to_col")), EIGHT, ["zn", "to_row", "to_col"])
     drop = (F.col(z) - F.col("zn")) / F.when(F.col("k") % 2 == 1, F.sqrt(F.lit(2.0))).otherwise(F.lit(1.0))
     best = cells.join(around, ["row", "col"]).where(F.col("zn") < F.col(z)).groupBy("row", "col").agg(F.max(F.struct(drop.alias("drop"), (-F.col("k")).alias("first"), "to_row", "to_col")).alias("b"))
-    return cells.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.col("b.to_row").alias("to_row"), F.col("b.to_col").alias("to_col"))
+    return cells.select("row", "col").join(shuffled(best), ["row", "col"], "left").select("row", "col", F.col("b.to_row").alias("to_row"), F.col("b.to_col").alias("to_col"))
 
 
 def power_to_db(power: Column) -> Column:
