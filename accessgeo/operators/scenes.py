@@ -36,14 +36,52 @@ def passes(scenes: DataFrame) -> DataFrame:
     return found.select("orbit_state", "relative_orbit", "day", "ids", "scenes", (covered / ((e - w) * (n - s))).alias("coverage"))
 
 
-#: Footprints of a pass that are laid over each other at once; a pass of more is cut into tiles of the area.
-AT_ONCE = 24
+#: Footprints of a pass that one task holds; a pass of more is cut into tiles of the area.
+AT_ONCE = 4_000
+#: Footprints with a side in a box that are swept at once; a box of more is halved both ways, down to a 2 ** -DEEPEST of its sides.
+SWEPT, DEEPEST = 6, 10
 PASS = ["orbit_state", "relative_orbit", "day"]
 
 
 def union_area(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> float:
     """Area of the union of polygons (rings of x, y, even-odd where a ring crosses itself) inside a box.
 
+    A box that one polygon fills is done, and polygons without a side in it are in it wholly or not at all. So boxes are quartered until few sides are left in each, and
+    only along the border of the union are polygons laid over each other.
+    """
+    if not rings:
+        return 0.0
+    start, end = np.concatenate(rings), np.concatenate([np.roll(r, -1, 0) for r in rings])
+    owner = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+    total, open_ = 0.0, [(np.arange(len(start)), tuple(map(float, box)), 0)]
+    while open_:
+        sides, (x0, y0, x1, y1), depth = open_.pop()
+        a, b, own = start[sides], end[sides], owner[sides]
+        names, own = np.unique(own, return_inverse=True)
+        # a side meets the box if their extents meet and the corners are not all on one side of it
+        meets = (np.minimum(a, b) <= (x1, y1)).all(1) & (np.maximum(a, b) >= (x0, y0)).all(1)
+        turn = [(b[:, 0] - a[:, 0]) * (y - a[:, 1]) - (b[:, 1] - a[:, 1]) * (x - a[:, 0]) for x in (x0, x1) for y in (y0, y1)]
+        meets &= (np.minimum.reduce(turn) <= 0) & (np.maximum.reduce(turn) >= 0)
+        crossed = np.bincount(own, meets, len(names)) > 0
+        x, y = (x0 + x1) / 2, (y0 + y1) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            right = ((a[:, 1] > y) != (b[:, 1] > y)) & (x < a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
+        inside = np.bincount(own, right, len(names)) % 2 == 1
+        if (inside & ~crossed).any():
+            total += (x1 - x0) * (y1 - y0)
+            continue
+        left = names[crossed]
+        if len(left) <= SWEPT or depth == DEEPEST:
+            total += _swept([rings[k] for k in left.tolist()], (x0, y0, x1, y1)) if len(left) else 0.0
+            continue
+        kept = sides[crossed[own]]
+        open_ += [(kept, part, depth + 1) for part in ((x0, y0, x, y), (x, y0, x1, y), (x0, y, x, y1), (x, y, x1, y1))]
+    return total
+
+
+def _swept(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> float:
+    """`union_area` by one sweep over all cuts.
+
     The box is cut where a corner lies or two sides cross, so between two cuts the polygons are trapezoids whose sides do not cross, and the union's
     height in the middle times the width is its area there.
     """

@@ -63,3 +63,14 @@ def test_passes_of_many_footprints_and_of_bad_ones(spark, monkeypatch):
         assert one["coverage"] * 56 == pytest.approx(scenes.union_area([np.array(r) for r in rings], area))
     with pytest.raises(ValueError, match="area"):
         scenes.footprint_passes(df, (0, 0, 0, 1))
+
+
+def test_many_large_footprints_are_swept_by_few(monkeypatch):
+    """Hundreds of footprints over each other: no sweep holds more than a few, and the area is that of one sweep over all."""
+    rng = random.Random(3)
+    rings, box = [quad(rng) * 0.6 for _ in range(60)], (-0.75, 0.4, 9.5, 8.25)
+    whole, sizes = scenes._swept(rings, box), []
+    swept = scenes._swept
+    monkeypatch.setattr(scenes, "_swept", lambda few, part: sizes.append(len(few)) or swept(few, part))
+    assert scenes.union_area(rings, box) == pytest.approx(whole, abs=1e-10)
+    assert sorted(sizes)[len(sizes) * 9 // 10] <= scenes.SWEPT

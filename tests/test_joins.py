@@ -8,7 +8,7 @@ from accessgeo.operators import damage, exposure, raster
 def test_exploded_tables_are_not_broadcast(spark):
     ids = spark.range(50)
     segments = ids.selectExpr("id as seg_id", "id * 10D as x0", "5D as y0", "id * 10D + 40 as x1", "25D as y1", "true as is_bridge", "false as is_tunnel", "false as is_ford")
-    cells = ids.selectExpr("cast(id div 10 as int) as row", "cast(id % 10 as int) as col", "1 as tier", "1D as z")
+    cells = ids.selectExpr("cast(id div 10 as int) as row", "cast(id % 10 as int) as col", "1 as tier", "id % 7 * 1D as z")
     edges = segments.selectExpr("seg_id as poly_id", "x0", "y0", "x1", "y1")
     found = [
         exposure.flooded_length(segments, cells, 10), damage.approach_tier(segments, cells, 10, 12), damage.inside_polygons(cells, edges, 10),
