@@ -2,7 +2,7 @@
 
 Vectors on the unit sphere lie in coarse inverted lists; the residual to the list's centroid is stored as
 one code per subspace, with the length of what the codes miss. A vector looks into each list that is likely to hold one as near
-as the threshold asks (see SPREAD); neighbouring lists form groups, and a vector is sent once to each group it looks into. Table look-ups give its inner product with each code, which errs by no more than the stored length, and what
+as the threshold asks (see SPREAD); neighbouring lists form groups, and a vector is sent once to each group it looks into. Its inner product with each decoded code errs by no more than the stored length, and what
 that bound leaves is ranked by the exact cosine. Lists and codebooks are fitted on a bounded sample;
 every vector is indexed.
 """
@@ -28,7 +28,9 @@ THRESHOLD, SUBSPACES, CODES = 0.9, 8, 128
 SPREAD = 4.5
 #: Vectors the index is fitted on at most, and the most lists; rows of a block of a group of lists, and of vectors that look into it;
 #: inner products that are held at once.
-FIT_ROWS, MOST_LISTS, BLOCK, QUERY_BLOCK, AT_ONCE = 16_384, 4_096, 6_000, 16_000, 2_000_000
+FIT_ROWS, MOST_LISTS, BLOCK, QUERY_BLOCK, AT_ONCE = 16_384, 4_096, 12_000, 32_000, 2_000_000
+#: More than single precision errs in the inner product of two vectors of about unit length.
+ROUNDED = 1e-3
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -85,6 +87,10 @@ class Index:
             left[:, a:b] -= book[codes[:, m]]
         return codes, np.sqrt((left * left).sum(1))
 
+    def decode(self, codes: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """What the codes hold: the list's centroid and one codeword per subspace."""
+        return self.lists[home] + np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+
 
 def fit(sample: np.ndarray, vectors: int) -> Index:
     """About the square root of `vectors` lists, and CODES codewords for each of SUBSPACES subspaces."""
@@ -144,19 +150,17 @@ def _match(sent, kind: str, threshold: float):
         codes, missed = np.frombuffer(b"".join(inside.column("codes").to_pylist()), np.uint8).reshape(len(x), -1), inside.column("missed").to_numpy()
         nodes_in, nodes_q = inside.column("node").to_numpy(), asking.column("node").to_numpy()
         home_in, home_q = inside.column("home").to_numpy(), asking.column("home").to_numpy()
-        tables = [y[:, index.edges[m] : index.edges[m + 1]] @ book.T for m, book in enumerate(index.books)]
+        # products with the decoded codes in single precision, ROUNDED more than which no product errs
+        decoded, asked = index.decode(codes, home_in).astype(np.float32), y.astype(np.float32)
         lists = np.unique(home_in)
         looks = index.looks(y, home_q, lists)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for k, home in enumerate(lists.tolist()):
             d, asks = np.flatnonzero(home_in == home), np.flatnonzero(looks[:, k])
-            step = max(1, AT_ONCE // len(d))
+            step, least = max(1, AT_ONCE // len(d)), (threshold - ROUNDED - missed[d]).astype(np.float32)
             for at in range(0, len(asks), step):
                 q = asks[at : at + step]
-                close = np.repeat((y[q] @ index.lists[home])[:, None], len(d), axis=1)
-                for m, distances in enumerate(tables):
-                    close += distances[q][:, codes[d, m]]
-                i, j = np.nonzero(close >= threshold - 1e-9 - missed[d][None, :])
+                i, j = np.nonzero(asked[q] @ decoded[d].T >= least)
                 i, j = q[i], d[j]
                 for a in range(0, len(i), AT_ONCE // 16):
                     u, v = i[a : a + AT_ONCE // 16], j[a : a + AT_ONCE // 16]

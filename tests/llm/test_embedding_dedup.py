@@ -99,3 +99,15 @@ def test_recall_over_the_whole_table(spark):
     told = brute(rows)
     assert len(got) == len(told) and sum(g[1] for g in got) >= 0.9 * sum(t[1] for t in told)
     assert all(g[1] <= t[1] for g, t in zip(got, told, strict=True))
+
+
+def test_products_with_decoded_codes_err_by_no_more_than_is_stored():
+    rng = np.random.default_rng(9)
+    x = e.unit_rows([v.tobytes() for v in rng.normal(size=(3_000, 24))], "<f8")
+    index = e.fit(x, 20_000)
+    home = index.home(x)
+    codes, missed = index.encode(x, home)
+    decoded = index.decode(codes, home)
+    assert np.allclose(np.sqrt(((x - decoded) ** 2).sum(1)), missed)
+    exact, single = x[:500] @ x.T, x[:500].astype(np.float32) @ decoded.astype(np.float32).T
+    assert (np.abs(exact - single) <= missed + e.ROUNDED).all()
