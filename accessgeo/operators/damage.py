@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgeo.operators.exposure import flooded_length, hit
-from accessgeo.session import shuffled
+from accessgeo.session import dealt, shuffled
 
 
 def _box_distance(x: Column, y: Column, cell: float) -> Column:
@@ -18,13 +18,13 @@ def _box_distance(x: Column, y: Column, cell: float) -> Column:
 
 
 def _corner_distance(cell: float) -> Column:
-    """Least distance of the cell's corners to the segment."""
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    """Least distance of the cell's corners to the segment, which has dx, dy and dd, the square of its length."""
+    dx, dy, dd = F.col("dx"), F.col("dy"), F.col("dd")
     each = []
     for a in (0, 1):
         for b in (0, 1):
             px, py = (F.col("col") + a) * cell - F.col("x0"), (F.col("row") + b) * cell - F.col("y0")
-            t = F.greatest(F.least(F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+            t = F.greatest(F.least(F.when(dd == 0, F.lit(0.0)).otherwise((px * dx + py * dy) / dd), F.lit(1.0)), F.lit(0.0))
             each.append(F.hypot(px - t * dx, py - t * dy))
     return F.least(*each)
 
@@ -32,16 +32,17 @@ def _corner_distance(cell: float) -> Column:
 def approach_tier(segments: DataFrame, flooded: DataFrame, cell: float, reach: float) -> DataFrame:
     """Highest tier of the cells near a bridge (whole length) or a tunnel (its ends): seg_id, approach.
 
-    The segment's box, wider by `reach`, names the candidate cells, which meet the flooded ones by an equi-join.
+    The segment's box, wider by `reach`, names the candidate cells, which meet the flooded ones by an equi-join. What is the same for all cells
+    of a segment is computed before they are named: Java does not compile a method of more than 8,000 bytes, which the test of all corners else is.
     """
-    special = segments.where("is_bridge or is_tunnel")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    special = dealt(segments.where("is_bridge or is_tunnel")).select("seg_id", "x0", "y0", "x1", "y1", "is_tunnel", dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("dd"))
     lo = lambda a, b: F.floor((F.least(a, b) - reach) / cell).cast("int")
     hi = lambda a, b: F.floor((F.greatest(a, b) + reach) / cell).cast("int")
     near = special.withColumn("col", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("row", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
-    met = shuffled(near).join(flooded.select("row", "col", "tier"), ["row", "col"])
     ends = F.least(_box_distance(F.col("x0"), F.col("y0"), cell), _box_distance(F.col("x1"), F.col("y1"), cell))
-    reached = met.where(F.when(F.col("is_tunnel"), ends).otherwise(F.least(ends, _corner_distance(cell))) <= reach)
-    return reached.groupBy("seg_id").agg(F.max("tier").alias("approach"))
+    reached = near.where(F.least(ends, F.when(F.col("is_tunnel"), None).otherwise(_corner_distance(cell))) <= reach).select("seg_id", "row", "col")
+    return shuffled(reached).join(flooded.select("row", "col", "tier"), ["row", "col"]).groupBy("seg_id").agg(F.max("tier").alias("approach"))
 
 
 def line_damage(segments: DataFrame, flooded: DataFrame, cell: float, reach: float = 30, least_m: float = 20, least_share: float = 0.1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accessgeo.session import shuffled
+from accessgeo.session import dealt, shuffled
 
 
 def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
@@ -16,7 +16,7 @@ def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
     c = F.col
     lo = lambda a, b: F.floor(F.least(a, b) / cell).cast("int")
     hi = lambda a, b: F.floor(F.greatest(a, b) / cell).cast("int")
-    out = segments.withColumn("col", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("row", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
+    out = dealt(segments).withColumn("col", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("row", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
     low, high = F.lit(0.0), F.lit(1.0)
     for p, q, k in (("x0", "x1", "col"), ("y0", "y1", "row")):
         d = c(q) - c(p)
