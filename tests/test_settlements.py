@@ -134,3 +134,14 @@ def test_restoration(spark, case):
                 ok = all(nearest(again, r["at"], {t: x for t, x, c in places if c == k and t != r.osm_id}) for r in group for k in settlements.MAIN if r[f"lost_likely_{k}"])
                 wanted.add((home, sum(number[r.osm_id] for r in group), link.link_id, ok))
     assert {tuple(r) for r in rows} == wanted and len(rows) == len(wanted) and wanted
+
+
+def test_components_are_asked_for_places_on_the_network_alone(spark, monkeypatch):
+    asked, real = [], network.components
+    monkeypatch.setattr(network, "components", lambda nodes, edges, *rest: asked.append(nodes) or real(nodes, edges, *rest))
+    members = spark.range(500).selectExpr("id as u", "id + 1 as v", "id as member_id", "10L as travel_ms", "id = 250 as hit", "2 as tier", "false as is_bridge", "1L as length_m", "'x' as highway")
+    subjects = spark.createDataFrame([("a", 3, "village"), ("b", 400, "village"), ("c", 9_000, "village")], "osm_id string, at bigint, place string")
+    places = spark.createDataFrame([("h", 7, "hospital"), ("t", 8, "town")], "osm_id string, at bigint, class string")
+    found = {r["osm_id"]: r["status"] for r in network.isolation(subjects, places, members).collect()}
+    assert found == {"a": "CONNECTED", "b": "CUT OFF", "c": "UNCERTAIN"}
+    assert [sorted(r["node"] for r in nodes.collect()) for nodes in asked] == [[3, 7, 8, 400]] * 3
