@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accessgeo.operators.areas import zoned_time
+from accessgeo.session import shuffled
 
 #: Code, stage, severity, condition and message, the last three as SQL over an incident's row. A value that is not known raises no flag.
 Rule = tuple[str, str, str, str, str]
@@ -45,6 +46,10 @@ IMPACT_RULES: list[Rule] = [
 #: The sources that inputs may come from, and the inputs that a finished run has.
 SOURCES = ("sentinel-1-rtc", "sentinel-1-grd", "sentinel-2", "cop-dem-glo-30", "pre-event-openstreetmap", "permitted-training-datasets")
 ROLES = ("s1_pre", "s1_post", "dem", "osm")
+#: What may be wrong with an input, first things first.
+PROBLEMS = ("source not allowed", "training data not registered", "map not verified", "time not readable", "map younger than the flood")
+#: Inputs that one task sorts at most, about.
+PART_ROWS = 500_000
 FLAG = ["incident", "code", "stage", "severity", "message"]
 
 
@@ -84,17 +89,25 @@ def provenance_problems(inputs: DataFrame, incidents: DataFrame, training: Seque
 
     `inputs` are (incident, place, source, collection, role, snapshot_verified, snapshot), `incidents` (incident, status, flood_date). An input has
     its first problem only. A map must be verified and not younger than the start of the flood's day; a ready incident has all roles.
+
+    All texts are looked at before the shuffles: of the inputs only those that may have a problem travel, with its number and the time of a map, and a bit
+    per role is ORed for each incident. Rows are dealt to as many tasks as hold PART_ROWS inputs each, as narrow rows pack so well that parts of a
+    size in bytes hold very many.
     """
-    met = inputs.join(incidents.select("incident", "status", "flood_date"), "incident")
+    parts = max(2, -(-inputs.count() // PART_ROWS))
+    dealt = lambda rows: shuffled(rows.repartition(parts, "incident"))
     osm, allowed = F.col("source") == "pre-event-openstreetmap", F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))
     registered = F.coalesce(F.col("collection").isin(*training), F.lit(False)) if training else F.lit(False)
-    at, limit = _moment(F.col("snapshot")), _moment(F.col("flood_date"))
-    problem = (
-        F.when(~allowed, "source not allowed").when((F.col("source") == "permitted-training-datasets") & ~registered, "training data not registered")
-        .when(osm & ~F.coalesce("snapshot_verified", F.lit(False)), "map not verified").when(osm & (at.isNull() | limit.isNull()), "time not readable").when(osm & (at > limit), "map younger than the flood")
-    )
-    each = met.select("incident", "place", problem.alias("problem")).where("problem is not null")
-    has = met.groupBy("incident").agg(F.collect_set(F.when(F.col("role").isin(*ROLES), F.col("role"))).alias("has"))
-    missing = F.array_sort(F.array_except(F.array(*[F.lit(r) for r in ROLES]), F.coalesce("has", F.array().cast("array<string>"))))
-    whole = incidents.where("status = 'ready'").join(has, "incident", "left").where(F.size(missing) > 0)
-    return each.unionByName(whole.select("incident", F.lit(None).cast("int").alias("place"), F.concat(F.lit("missing "), F.array_join(missing, ", ")).alias("problem")))
+    alone = F.when(~allowed, 0).when((F.col("source") == "permitted-training-datasets") & ~registered, 1).when(osm & ~F.coalesce("snapshot_verified", F.lit(False)), 2).cast("tinyint")
+    # what the input alone does not settle are verified maps: their time is compared with the flood's
+    judged = inputs.select("incident", "place", alone.alias("alone"), F.when(osm & alone.isNull(), _moment(F.col("snapshot"))).alias("moment"), osm.alias("osm")).where("alone is not null or osm").drop("osm")
+    met = dealt(judged).join(dealt(incidents.select("incident", _moment(F.col("flood_date")).alias("till"))), "incident")
+    number = F.when(F.col("alone").isNotNull(), F.col("alone")).when(F.col("moment").isNull() | F.col("till").isNull(), 3).when(F.col("moment") > F.col("till"), 4)
+    texts = F.array(*[F.lit(x) for x in PROBLEMS])
+    each = met.select("incident", "place", number.cast("int").alias("number")).where("number is not null").select("incident", "place", F.get(texts, F.col("number")).alias("problem"))
+
+    bit = F.coalesce(*[F.when(F.col("role") == r, 1 << k) for k, r in enumerate(sorted(ROLES))])
+    has = dealt(inputs.select("incident", bit.alias("bit")).where("bit is not null")).groupBy("incident").agg(F.bit_or("bit").alias("has"))
+    ready = dealt(incidents.where("status = 'ready'").select("incident")).join(shuffled(has), "incident", "left").withColumn("has", F.coalesce("has", F.lit(0))).where(F.col("has") < (1 << len(ROLES)) - 1)
+    missing = F.array_compact(F.array(*[F.when(F.col("has").bitwiseAND(1 << k) == 0, r) for k, r in enumerate(sorted(ROLES))]))
+    return each.unionByName(ready.select("incident", F.lit(None).cast("int").alias("place"), F.concat(F.lit("missing "), F.array_join(missing, ", ")).alias("problem")))

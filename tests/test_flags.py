@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from accessgeo.operators import flags
@@ -75,3 +77,25 @@ def test_provenance(spark):
         (2, 0, "source not allowed"), (2, 1, "source not allowed"), (2, 3, "training data not registered"), (2, None, "missing s1_post, s1_pre"),
         (3, 0, "map not verified"), (3, 1, "map younger than the flood"), (3, 3, "time not readable"), (3, 4, "time not readable"), (4, None, "missing dem, osm, s1_post, s1_pre"),
     ]
+
+
+def test_texts_of_inputs_do_not_travel(spark, capsys):
+    """Rows are narrow before a shuffle: a task that sorts them else holds the texts of all inputs."""
+    table = spark.createDataFrame([(1, 0, "my-own", None, "dem", True, "2024-01-01")], "incident int, place int, source string, collection string, role string, snapshot_verified boolean, snapshot string")
+    rows = spark.createDataFrame([(1, "ready", "2024-06-15")], "incident int, status string, flood_date string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flags.provenance_problems(table, rows).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert len(sent) >= 3 and not any(re.search(r"\b(source|collection|role|snapshot|flood_date)#", x) for x in sent)
+
+
+def test_inputs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(flags, "PART_ROWS", 10)
+    table = spark.range(95).selectExpr("cast(id as int) as incident", "0 as place", "'my-own' as source", "'x' as collection", "'dem' as role", "true as snapshot_verified", "'2024-01-01' as snapshot")
+    out = flags.provenance_problems(table, spark.range(95).selectExpr("cast(id as int) as incident", "'partial' as status", "'2024-06-15' as flood_date"))
+    assert "10), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 95
