@@ -109,3 +109,28 @@ def test_components_by_contraction_of_ranges(spark, monkeypatch):
     asked = spark.createDataFrame([(n,) for n in nodes], "node bigint")
     found = fixpoint.components(asked, spark.createDataFrame(links, "u bigint, v bigint"), 100)
     assert {r["node"]: r["comp"] for r in found.collect()} == low
+
+
+@pytest.mark.parametrize("most_sent", [0, 50_000])
+def test_nodes_inside_a_range_are_done_with_it(spark, monkeypatch, most_sent):
+    """Only nodes that ranges share meet in a shuffle; with more of them than are broadcast all do. Nodes may be asked for twice."""
+    monkeypatch.setattr(fixpoint, "PART_EDGES", 100)
+    monkeypatch.setattr(fixpoint, "SENT_ROWS", most_sent)
+    real, met = fixpoint.checkpointed, []
+
+    def spy(df):
+        out = real(df)
+        if "others" in df.columns:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(fixpoint, "checkpointed", spy)
+    rng = random.Random(3)
+    links = spark.createDataFrame([(k, k + rng.randint(1, 7)) for k in range(3_000) if k % 60 < 50], "u bigint, v bigint")
+    asked = spark.createDataFrame([(n,) for n in [*range(0, 3_100, 9), 0, 9, 9, 3_050, None]], "node bigint")
+    one = {r["node"]: (r["comp"], r["linked"]) for r in fixpoint.components(asked, links, 100_000, linked=True).collect()}
+    many = fixpoint.components(asked, links, 100, linked=True).collect()
+    assert {r["node"]: (r["comp"], r["linked"]) for r in many} == one and len(many) == len(one) and one[3_050] == (3_050, False) and one[0][1]
+    all_of_them = fixpoint.components(None, links, 100).collect()
+    assert {r["node"]: r["comp"] for r in all_of_them} == {r["node"]: r["comp"] for r in fixpoint.components(None, links, 100_000).collect()} and len({r["node"] for r in all_of_them}) == len(all_of_them)
+    assert met[0] < 1_000 if most_sent else met[0] > 2_000
