@@ -12,3 +12,12 @@ def test_summary_needs_no_whole_links(spark, monkeypatch):
     told = tuple(queries.road_summary(spark, SF_DIR).first())
     monkeypatch.setattr(network, "build_links", lambda *_: (_ for _ in ()).throw(AssertionError("all columns of all links")))
     assert tuple(queries.road_summary(spark, SF_DIR).first()) == told and told[0] > 0
+
+
+def test_components_of_damaged_links_are_asked_for_places_and_lost_links(spark, monkeypatch):
+    asked, real = [], network.components
+    monkeypatch.setattr(network, "components", lambda nodes, *rest, **named: asked.append(nodes) or real(nodes, *rest, **named))
+    queries.damaged_links(spark, SF_DIR).count()
+    m = queries.adapters.road_members(spark, SF_DIR)
+    most = network.nodes_of(network.build_links(m)).count()
+    assert len(asked) == 2 and all(nodes.distinct().count() < most for nodes in asked)
