@@ -21,3 +21,10 @@ def test_components_of_damaged_links_are_asked_for_places_and_lost_links(spark,
     m = queries.adapters.road_members(spark, SF_DIR)
     most = network.nodes_of(network.build_links(m)).count()
     assert len(asked) == 2 and all(nodes.distinct().count() < most for nodes in asked)
+
+
+def test_members_are_not_written_before_their_components_are_found(spark, monkeypatch):
+    written, real = [], network.components
+    monkeypatch.setattr(network, "components", lambda nodes, edges, local=0, written_=False, **named: written.append(written_) or real(nodes, edges, local, written_, **named))
+    queries.settlement_status(spark, SF_DIR).count()
+    assert written == [True] * 3
