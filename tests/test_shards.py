@@ -134,3 +134,25 @@ def test_nodes_inside_a_range_are_done_with_it(spark, monkeypatch, most_sent):
     all_of_them = fixpoint.components(None, links, 100).collect()
     assert {r["node"]: r["comp"] for r in all_of_them} == {r["node"]: r["comp"] for r in fixpoint.components(None, links, 100_000).collect()} and len({r["node"] for r in all_of_them}) == len(all_of_them)
     assert met[0] < 1_000 if most_sent else met[0] > 2_000
+
+
+@pytest.mark.parametrize("shard", [12, 10_000])
+def test_mirrored_edges_given_once_equal_both_directions(spark, shard):
+    """Also with a graph that holds all others, several scenarios, parallel edges, and seeds without an edge, which give no row."""
+    rng = random.Random(shard)
+    once = [(k, k + 1, rng.randint(1, 9)) for k in range(60)] + [(3, 4, 1)] + [(100 + 2 * k, 101 + 2 * k, 4) for k in range(20)]
+    rows = [(s, u, v, c) for s in ("x", "y") for u, v, c in once if s == "x" or u not in (10, 20, 104)]
+    seeds = [("x", 3, 7), ("x", 50, 5), ("y", 20, 1), ("y", 104, 2), ("y", 105, 3), ("x", 104, 2), ("x", 999, 1)]
+    edges = spark.createDataFrame(rows, "scenario string, u bigint, v bigint, cost bigint")
+    labels = spark.createDataFrame(seeds, "scenario string, node bigint, target int")
+    whole = spark.createDataFrame(once, "u bigint, v bigint, cost bigint").select("u", "v")
+    told = {}
+    for s in ("x", "y"):
+        near = {}
+        for _, u, v, c in (r for r in rows if r[0] == s):
+            near.setdefault(u, []).append((v, c))
+            near.setdefault(v, []).append((u, c))
+        told |= least([(s, n, 0, t) for k, n, t in seeds if k == s and n in near], near, False)
+    for held in (None, whole):
+        found = fixpoint.shortest_paths(labels, edges, ["scenario"], shard, mirrored=True, linked=True, whole=held).collect()
+        assert {(r["scenario"], r["node"]): (r["cost"], r["target"]) for r in found} == told and len(found) == len(told)

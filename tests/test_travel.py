@@ -28,3 +28,9 @@ def test_members_are_not_written_before_their_components_are_found(spark, monkey
     monkeypatch.setattr(network, "components", lambda nodes, edges, local=0, written_=False, **named: written.append(written_) or real(nodes, edges, local, written_, **named))
     queries.settlement_status(spark, SF_DIR).count()
     assert written == [True] * 3
+
+
+def test_routes_need_no_merged_links(spark, monkeypatch):
+    told = sorted(tuple(r) for r in queries.nearest_routes(spark, SF_DIR).collect())
+    monkeypatch.setattr(network, "build_links", lambda *_: (_ for _ in ()).throw(AssertionError("all columns of all links")))
+    assert sorted(tuple(r) for r in queries.nearest_routes(spark, SF_DIR).collect()) == told and told
