@@ -30,6 +30,13 @@ def test_members_are_not_written_before_their_components_are_found(spark, monkey
     assert written == [True] * 3
 
 
+def test_detours_are_found_for_hospitals_alone(spark, monkeypatch):
+    asked, real = [], network.routes
+    monkeypatch.setattr(network, "routes", lambda destinations, *rest: asked.append(destinations) or real(destinations, *rest))
+    assert queries.detours(spark, SF_DIR).count() > 0
+    assert [{r["class"] for r in d.select("class").distinct().collect()} for d in asked] == [{"hospital"}]
+
+
 def test_routes_need_no_merged_links(spark, monkeypatch):
     told = sorted(tuple(r) for r in queries.nearest_routes(spark, SF_DIR).collect())
     monkeypatch.setattr(network, "build_links", lambda *_: (_ for _ in ()).throw(AssertionError("all columns of all links")))
