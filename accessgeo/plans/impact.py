@@ -57,13 +57,10 @@ def road_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.way_pieces(_vertices(spark, sf_dir)).withColumn("length", F.round("length", 6))
 
 
-def _graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    links = checkpointed(network.build_links(adapters.road_members(spark, sf_dir)))
-    return links, checkpointed(network.component_of(network.nodes_of(links), links))
-
-
 def latent_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links, comp = _graphs(spark, sf_dir)
+    m = adapters.road_members(spark, sf_dir)
+    links = checkpointed(network.build_links(m).select("a", "b", "is_bridge", "lost_possible", "any_hit")).withColumn("link_id", F.concat_ws("-", "a", "b"))
+    comp = checkpointed(network.road_components(None, m).select("node", "comp"))
     return paths.latent_losses(links, comp, adapters.subjects(spark, sf_dir), adapters.destinations(spark, sf_dir))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from accessgeo.operators import network
-from accessgeo.plans import queries
+from accessgeo.operators import network, paths
+from accessgeo.plans import impact, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -41,3 +41,10 @@ def test_routes_need_no_merged_links(spark, monkeypatch):
     told = sorted(tuple(r) for r in queries.nearest_routes(spark, SF_DIR).collect())
     monkeypatch.setattr(network, "build_links", lambda *_: (_ for _ in ()).throw(AssertionError("all columns of all links")))
     assert sorted(tuple(r) for r in queries.nearest_routes(spark, SF_DIR).collect()) == told and told
+
+
+def test_only_places_carry_values_to_the_search_for_bridges(spark, monkeypatch):
+    sent, real = [], paths.bridge_sums
+    monkeypatch.setattr(paths, "bridge_sums", lambda links, valued, *rest: sent.append(valued) or real(links, valued, *rest))
+    assert impact.latent_bridges(spark, SF_DIR).count() > 0
+    assert sent[0].where("hospitals + towns + villages + town_subjects = 0").count() < sent[0].count() / 2
