@@ -74,3 +74,57 @@ def test_many_large_footprints_are_swept_by_few(monkeypatch):
     monkeypatch.setattr(scenes, "_swept", lambda few, part: sizes.append(len(few)) or swept(few, part))
     assert scenes.union_area(rings, box) == pytest.approx(whole, abs=1e-10)
     assert sorted(sizes)[len(sizes) * 9 // 10] <= scenes.SWEPT
+
+
+def frame(rings):
+    """Scenes s0, s1, ... of one pass."""
+    at = dt.datetime(2020, 8, 9, 12)
+    return [(f"s{k}", "ascending", 4, at, "A", [(float(x), float(y)) for x, y in r]) for k, r in enumerate(rings)]
+
+
+SCHEMA = "id string, orbit_state string, relative_orbit int, time timestamp, platform string, ring array<struct<x:double,y:double>>"
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_needed_footprints_have_the_union_of_all(monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(scenes, "FEW", 0)
+    rings, box = [quad(rng) * rng.choice((0.3, 0.6, 1)) for _ in range(rng.choice((3, 40, 150)))], (-0.75, 0.4, 9.5, 8.25)
+    kept = scenes.needed([*rings, *rings], box)
+    assert max(kept) < len(rings) and len(set(kept)) == len(kept)
+    assert scenes.union_area([rings[k] for k in kept], box) == pytest.approx(scenes.union_area(rings, box), abs=1e-9)
+    assert scenes.needed([], box) == [] and scenes.needed([rings[0] + 100], box) == []
+
+
+def test_large_footprints_are_not_laid_in_every_tile(spark, monkeypatch):
+    """1,600 footprints that all reach into each of the four tiles of a pass of more than AT_ONCE: those that add nothing to the union do not get there."""
+    rng = random.Random(5)
+    rings, area = [np.array([(rng.uniform(0, 40), rng.uniform(0, 40)), (rng.uniform(60, 100), rng.uniform(0, 40)), (rng.uniform(60, 100), rng.uniform(60, 100)), (rng.uniform(0, 40), rng.uniform(60, 100))]) for _ in range(1600)], (0.0, 0.0, 100.0, 100.0)
+    df = spark.createDataFrame(frame(rings), SCHEMA)
+    monkeypatch.setattr(scenes, "AT_ONCE", 1000)
+    one = scenes.footprint_passes(df, area).collect()[0]
+    assert (one["scenes"], one["coverage"] * 10_000) == (1600, pytest.approx(scenes.union_area(rings, area), abs=1e-6))
+    monkeypatch.setattr(scenes, "union_area", lambda rings, box: float(len(rings)))
+    assert scenes.footprint_passes(df, area).collect()[0]["coverage"] * 10_000 < 1600
+
+
+def test_many_small_footprints_all_count(spark, monkeypatch):
+    """Nothing of them can be left out, so the pass is cut into tiles."""
+    rings = [np.array([(x, y), (x + 0.5, y), (x + 0.5, y + 0.5), (x, y + 0.5)]) for x in range(30) for y in range(30)]
+    monkeypatch.setattr(scenes, "AT_ONCE", 100)
+    one = scenes.footprint_passes(spark.createDataFrame(frame(rings), SCHEMA), (0.0, 0.0, 30.0, 30.0)).collect()[0]
+    assert (one["scenes"], one["coverage"]) == (900, pytest.approx(0.25))
+
+
+def test_a_later_frame_without_a_sound_ring_hides_no_earlier_one(spark):
+    rows = frame([[(0, 0), (2, 0), (2, 2), (0, 2)]])
+    rows += [(*rows[0][:3], rows[0][3] + dt.timedelta(hours=k), "B", bad) for k, bad in ((1, None), (2, []), (3, [(0.0, 0.0), None, (1.0, 1.0)]), (4, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]), (5, [(0.0, 0.0), (1.0, float("inf")), (2.0, 2.0)]))]
+    one = scenes.footprint_passes(spark.createDataFrame(rows, SCHEMA), (0.0, 0.0, 4.0, 4.0)).collect()[0]
+    assert (one["ids"], one["scenes"], one["platforms"], one["coverage"], one["earliest"]) == ("s0", 1, "A", 0.25, one["latest"])
+
+
+def test_rings_are_not_made_anew_in_filters(spark):
+    """A filter that names a ring gets the whole making of it at each place, by an interpreter."""
+    df = spark.createDataFrame([(1, "s1")], "k int, id string").selectExpr("id", "'ascending' as orbit_state", "4 as relative_orbit", "timestamp '2020-08-09' as time", "'A' as platform", "array(struct(k + 0D as x, 0D as y), struct(k + 1D as x, 0D as y), struct(k + 1D as x, 1D as y)) as ring")
+    plan = scenes.footprint_passes(df, (0.0, 0.0, 4.0, 4.0))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "lambda" in line]
